@@ -1,6 +1,9 @@
 """All registered queries, in one mapping."""
 
-from assaymill.plans import agreement_queries  # noqa: F401
+from assaymill.plans import (  # noqa: F401
+    agreement_queries,
+    score_queries,
+)
 from assaymill.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

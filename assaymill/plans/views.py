@@ -7,7 +7,7 @@ DataFrame API and the oracle side prints them as a sub-query.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +23,6 @@ class View:
     joins: tuple[tuple[str, str], ...] = ()
     where: str | None = None
     parent: "View | None" = None
-    derived: dict[str, str] = field(default_factory=dict)
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.parent.frame(spark, sf_dir) if self.parent else table(spark, sf_dir, self.source)
@@ -40,7 +39,8 @@ class View:
         source = f"({self.parent.sql()})" if self.parent else self.source
         joins = "".join(f" JOIN {name} ON {condition}" for name, condition in self.joins)
         where = f" WHERE {self.where}" if self.where else ""
-        return f"SELECT {body} FROM {source}{joins}{where}"
+        # DuckDB reads list elements with another function name, also from 1.
+        return f"SELECT {body} FROM {source}{joins}{where}".replace("element_at(", "list_extract(")
 
 
 # Truth on a 5..18 scale, a prediction with planted bias, and the audit columns.
@@ -100,3 +100,40 @@ PRED = View(
         " + cast((l_orderkey % 11) - 5 as double) / 50)) end",
     },
 )
+
+# Twelve class scores per vector, a class label, and a fixed split by id.
+LOGITS = View(
+    source="embeddings",
+    columns={
+        "id": "vec_id",
+        "target": "label",
+        "split": "case when vec_id % 5 = 0 then 'test' when vec_id % 5 = 1 then 'val' else 'train' end",
+        "y_true": "12 + 3 * cast(element_at(embedding, 15) as double)",
+        "y_pred": "12 + 3 * cast(element_at(embedding, 16) as double)",
+        "sex": "case when vec_id % 2 = 0 then 'M' else 'F' end",
+        **{f"z{i}": f"8 * cast(element_at(embedding, {i}) as double)" for i in range(1, 13)},
+    },
+)
+
+# Thirteen feature columns with labels.
+FEATURES = View(
+    source="embeddings",
+    columns={
+        "id": "vec_id",
+        "site": "case when vec_id % 5 < 2 then 'north' else 'south' end",
+        "sex": "case when vec_id % 2 = 0 then 'M' else 'F' end",
+        "split": "case when vec_id % 5 = 0 then 'test' when vec_id % 5 = 1 then 'val' else 'train' end",
+        "y": "12 + 3 * cast(element_at(embedding, 14) as double)"
+        " + 2 * cast(element_at(embedding, 1) as double) - cast(element_at(embedding, 2) as double)",
+        **{
+            f"f{i}": f"cast(element_at(embedding, {i}) as double)"
+            if i not in (5, 11)
+            else (
+                "case when vec_id % 7 = 3 then null else cast(element_at(embedding, 5) as double) end"
+                if i == 5
+                else "cast(1.5 as double)"
+            )
+            for i in range(1, 14)
+        },
+    },
+)
