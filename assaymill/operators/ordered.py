@@ -179,6 +179,35 @@ def exact_quantiles(
     return rows.groupBy(*by).agg(n, *columns) if by else rows.agg(n, *columns)
 
 
+def distribution_line(
+    df: DataFrame, column: str, row_id: str, by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Minimum, the value at index n // 10, median and maximum."""
+
+    def wanted(n: Column) -> list[tuple[Column, Column]]:
+        return [
+            (F.lit("lowest"), F.lit(1)),
+            (F.lit("p10"), F.floor(n / 10) + 1),
+            (F.lit("median_lo"), F.floor((n - 1) / 2) + 1),
+            (F.lit("median_hi"), F.ceil((n - 1) / 2) + 1),
+            (F.lit("highest"), n),
+        ]
+
+    rows = rows_at(df, column, row_id, wanted, by, (), rows_per_bucket)
+
+    def at(label: str) -> Column:
+        return F.max(F.when(F.col("label") == label, F.col("value")))
+
+    columns = [
+        F.max("n").alias("n"),
+        at("lowest").alias("lowest"),
+        at("p10").alias("p10"),
+        ((at("median_lo") + at("median_hi")) / 2.0).alias("median"),
+        at("highest").alias("highest"),
+    ]
+    return rows.groupBy(*by).agg(*columns) if by else rows.agg(*columns)
+
+
 def positions(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str], out: str = "position") -> DataFrame:
     """Global position from 1 where ``bucket`` already follows the order."""
     base = df.withColumn("_bucket", bucket)

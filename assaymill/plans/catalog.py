@@ -2,6 +2,8 @@
 
 from assaymill.plans import (  # noqa: F401
     agreement_queries,
+    corpus_queries,
+    pixel_queries,
     score_queries,
 )
 from assaymill.plans.registry import REGISTRY

@@ -137,3 +137,122 @@ FEATURES = View(
         },
     },
 )
+
+# Patients: site-qualified id, value, sex, age; some values fall outside the range.
+PATIENTS = View(
+    source="customer",
+    joins=(("nation", "c_nationkey = n_nationkey"),),
+    columns={
+        "patient_id": "concat(n_name, '/', cast(c_custkey as string))",
+        "site": "n_name",
+        "key": "c_custkey",
+        "value": "round(3 + abs(c_acctbal) % 17, 2)",
+        "sex": "case when c_custkey % 2 = 0 then 'M' when c_custkey % 7 = 1 then 'unknown' else 'F' end",
+        "age": "case when c_custkey % 11 = 0 then null else cast(c_custkey % 80 + 5 as double) end",
+    },
+)
+
+# An all-text label sheet with the dirt people leave in one.
+LABELS = View(
+    source="customer",
+    columns={
+        "patient_id": "case when floor(c_custkey / 11) % 13 = 5 then concat('A', cast(floor(c_custkey / 11) as int))"
+        " when c_custkey % 3 = 0 then concat('00', cast(cast(floor(c_custkey / 11) as int) as string))"
+        " else concat(' ', cast(cast(floor(c_custkey / 11) as int) as string), ' ') end",
+        "hb": "case c_custkey % 19 when 0 then '13,7' when 1 then '  12,4 ' when 2 then '_' when 3 then 'n/a'"
+        " when 4 then '1,234' when 5 then '13.7,1' when 6 then 'Not available' when 7 then null when 8 then '45.5'"
+        " when 9 then '15' when 10 then 'NaN' when 11 then '-' else cast(round(8 + c_custkey % 90 / 10.0e0, 1) as string) end",
+        "sex": "case c_custkey % 6 when 0 then 'Male' when 1 then 'f' when 2 then ' FEMALE' when 3 then 'm.' when 4 then '?'"
+        " else null end",
+        "age": "case c_custkey % 10 when 0 then 'unknown' when 1 then null when 2 then '1e400' else"
+        " cast(20 + c_custkey % 60 as string) end",
+        "site": "case when c_mktsegment < 'C' then 'india (north)' when c_mktsegment < 'G' then 'ITALY'"
+        " when c_mktsegment < 'I' then 'Italia' when c_mktsegment < 'N' then ' INDIA' else 'clinic' end",
+        "note": "case when c_custkey % 23 = 0 then ' checked twice ' when c_custkey % 37 = 0 then 'to be Removed' else null end",
+        "flag": "case when c_custkey % 41 = 0 then 'ELIMINATO' when c_custkey % 53 = 0 then 'drop, see note' else null end",
+        "row_pos": "c_custkey",
+    },
+)
+
+# A file listing: eight files per patient folder, with copies and misspellings.
+FILES = View(
+    source="part",
+    columns={
+        "site": "case when floor(p_partkey / 8) % 2 = 0 then 'India' else 'Italy' end",
+        "folder": "case when floor(p_partkey / 8) % 5 = 0"
+        " then concat('0', cast(cast(floor(p_partkey / 16) as int) as string))"
+        " else cast(cast(floor(p_partkey / 16) as int) as string) end",
+        "name": "case when floor(p_partkey / 8) % 17 = 3 then concat('notes_', cast(p_partkey % 8 as string), '.txt')"
+        " when floor(p_partkey / 8) % 11 = 4 and p_partkey % 8 in (0, 5) then 'Thumbs.db'"
+        " when floor(p_partkey / 8) % 7 = 2 and p_partkey % 8 in (3, 4, 6) then concat('scan_', cast(p_size as string), '.PNG')"
+        " else case p_partkey % 8 when 0 then '20200118_164733.jpg' when 1 then '20200118_164733_forniceal.png'"
+        " when 2 then '20200118_164733_forniceal_palpebral.png' when 3 then '20200124_202947_palpebral.png'"
+        " when 4 then '20200124_202947_palpebral(1).png' when 5 then '1.jpg'"
+        " when 6 then 'T_64_20190612_092742_palplebral.png' else 'T_64_20190612_092742_forniceal_palplebral.png' end end",
+        "length": "cast(1000 + p_size as bigint)",
+    },
+)
+LISTING = View(
+    source="",
+    parent=FILES,
+    columns={
+        "site": "site",
+        "folder": "folder",
+        "name": "name",
+        "length": "length",
+        "path": "concat(site, '/', folder, '/', name)",
+    },
+)
+
+# Pixels of one image per supplier; some images have no mask at all.
+PIXELS = View(
+    source="lineitem",
+    columns={
+        "image_id": "l_suppkey",
+        "r": "cast(l_partkey % 256 as int)",
+        "g": "cast(l_orderkey % 256 as int)",
+        "b": "cast(l_quantity as int) * 5",
+        "in_roi": "case when l_suppkey % 10 = 7 then null else l_linenumber <= 4 and l_suppkey % 10 <> 3 end",
+    },
+)
+
+# Images of 50 by 40 pixels with positions.
+GRID = View(
+    source="part",
+    columns={
+        "image_id": "cast(floor(p_partkey / 2000) as bigint)",
+        "x": "cast(p_partkey % 50 as int)",
+        "y": "cast(floor(p_partkey / 50) % 40 as int)",
+        "r": "cast(cast(p_retailprice as bigint) % 256 as int)",
+        "g": "cast((p_partkey * 7) % 256 as int)",
+        "b": "cast(p_size * 5 as int)",
+        "in_roi": "p_partkey % 50 between 12 and 30 and floor(p_partkey / 50) % 40 between 9 and 25",
+    },
+)
+
+# Masks of 25 by 20 pixels for the same images.
+MASK_GRID = View(
+    source="part",
+    where="p_partkey % 2000 < 500",
+    columns={
+        "image_id": "cast(floor(p_partkey / 2000) as bigint)",
+        "mx": "cast(p_partkey % 25 as int)",
+        "my": "cast(floor((p_partkey % 2000) / 25) as int)",
+        "mask_on": "p_size > 20",
+    },
+)
+
+# Measured photographs.
+QUALITY = View(
+    source="documents",
+    columns={
+        "doc_id": "doc_id",
+        "lang": "lang",
+        "luma": "cast(30 + n_chars % 211 as double)",
+        "clipped": "cast(n_chars % 23 as double) / 1000",
+        "sharpness": "cast(n_chars % 997 as double) * cast(0.8 as double)",
+        "roi_area": "case when doc_id % 9 = 0 then null else cast(n_chars % 101 as double) / 100 end",
+        "height": "case when doc_id % 50 = 49 then -1 when n_chars % 5 = 0 then 3984 else 2984 end",
+        "width": "case when doc_id % 50 = 49 then -1 when n_chars % 5 = 0 then 2984 else 3984 end",
+    },
+)
