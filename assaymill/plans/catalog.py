@@ -3,6 +3,7 @@
 from assaymill.plans import (  # noqa: F401
     agreement_queries,
     corpus_queries,
+    event_queries,
     pixel_queries,
     score_queries,
 )

@@ -30,6 +30,10 @@ class View:
             other = table(spark, sf_dir, name)
             left, right = (side.strip() for side in condition.split("="))
             df = df.join(other, df[left] == other[right])
+        return self.over(df)
+
+    def over(self, df: DataFrame) -> DataFrame:
+        """The projection on a given source, also a streaming one."""
         if self.where:
             df = df.where(self.where)
         return df.selectExpr(*[f"{e} AS {n}" for n, e in self.columns.items()])
@@ -223,7 +227,7 @@ GRID = View(
         "image_id": "cast(floor(p_partkey / 2000) as bigint)",
         "x": "cast(p_partkey % 50 as int)",
         "y": "cast(floor(p_partkey / 50) % 40 as int)",
-        "r": "cast(cast(p_retailprice as bigint) % 256 as int)",
+        "r": "cast(cast(floor(p_retailprice) as bigint) % 256 as int)",
         "g": "cast((p_partkey * 7) % 256 as int)",
         "b": "cast(p_size * 5 as int)",
         "in_roi": "p_partkey % 50 between 12 and 30 and floor(p_partkey / 50) % 40 between 9 and 25",
@@ -256,3 +260,46 @@ QUALITY = View(
         "width": "case when doc_id % 50 = 49 then -1 when n_chars % 5 = 0 then 2984 else 3984 end",
     },
 )
+
+# Telemetry requests: a key, an arrival time and fields, some of them invalid.
+TELEMETRY = View(
+    source="events",
+    columns={
+        "event_id": "event_id",
+        "ts": "ts",
+        "key": "cast(user_id as string)",
+        "model_id": "case when event_id % 41 = 0 then 'Bad Model!' when event_id % 43 = 0 then ''"
+        " when event_id % 97 = 0 then repeat('m', 70) else concat('model-', cast(event_id % 3 as string), '.v1') end",
+        "band": "case when event_id % 29 = 0 then 'fine' when event_type = 'view' then 'within_range'"
+        " when event_type = 'click' then 'mild' when event_type = 'purchase' then 'moderate'"
+        " when event_type = 'error' then 'severe' else 'abstained' end",
+        "hb_hat": "case when event_id % 13 = 0 then null else floor((3 + value / 6) * 10) / 10 end",
+        "sigma": "case when event_id % 17 = 0 then null else floor(value / 2) / 10 end",
+        "quality": "case when event_id % 19 = 0 then null else cast(event_id % 103 as double) / 100 end",
+        "latency_ms": "case when event_id % 23 = 0 then null when event_id % 31 = 0 then cast(12.5 as double)"
+        " else cast((event_id * 7) % 61000 as double) end",
+        "lab": "floor(value / 8 * 10) / 10",
+        "props": "props",
+    },
+)
+BODIES = View(
+    source="",
+    parent=TELEMETRY,
+    columns={
+        "event_id": "event_id",
+        "ts": "ts",
+        "key": "key",
+        "lab": "lab",
+        "body": "case event_id % 50 when 1 then '{\"a\":' when 2 then '[1, 2]' when 3 then 'null' when 4 then '\"text\"'"
+        " when 5 then concat('{\"pad\":\"', repeat('x', 1100), '\"}') when 6 then concat('{\"pad\":\"', repeat('\u00e9', 600), '\"}')"
+        " when 7 then '{\"model_id\":\"m\",\"band\":\"mild\",\"hb_hat\":\"12\"}'"
+        " when 8 then '{\"model_id\":7,\"band\":\"mild\"}' when 9 then '{\"model_id\":\"m\",\"band\":\"mild\",\"sigma\":null}'"
+        " else concat('{\"model_id\":\"', model_id, '\",\"band\":\"', band, '\"',"
+        " case when hb_hat is null then '' else concat(',\"hb_hat\":', cast(hb_hat as string)) end,"
+        " case when sigma is null then '' else concat(',\"sigma\":', cast(sigma as string)) end,"
+        " case when quality is null then '' else concat(',\"quality\":', cast(quality as string)) end,"
+        " case when latency_ms is null then '' when latency_ms = 12.5 then ',\"latency_ms\":12.5'"
+        " else concat(',\"latency_ms\":', cast(cast(latency_ms as bigint) as string)) end,"
+        " ',\"extra\":', props, '}') end",
+    },
+)
