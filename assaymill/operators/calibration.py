@@ -98,6 +98,26 @@ def site_calibration(
     )
 
 
+def site_calibration_by(
+    df: DataFrame, confidence: str, correct: str, site: str, by: Sequence[str], n_bins: int = DEFAULTS.calibration_bins
+) -> DataFrame:
+    """The same audit for many heads at once: per site and pooled inside each."""
+    keys = list(by)
+    own = reliability(df, confidence, correct, [*keys, site], n_bins=n_bins)
+    sums = own.groupBy(*keys, "bin").agg(
+        F.sum("n").alias("n_"),
+        (F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("confidence"),
+        (F.sum(F.col("n") * F.col("accuracy")) / F.sum("n")).alias("accuracy"),
+    )
+    total = sums.withColumnRenamed("n_", "n").withColumn(site, F.lit(POOLED))
+    per_site = calibration_error(own, [*keys, site])
+    gaps = per_site.groupBy(*keys).agg(
+        F.when(F.count("ece") >= 2, F.max("ece") - F.min("ece")).alias("max_ece_gap")
+    )
+    rows = per_site.unionByName(calibration_error(total, [*keys, site]))
+    return rows.join(gaps, keys, "left").withColumn("note", F.lit(CONFOUND_NOTE))
+
+
 @dataclass(frozen=True)
 class ValidationSplit:
     """Rows of the validation split and no other; the only input of a fit."""

@@ -5,6 +5,7 @@ from assaymill.plans import (  # noqa: F401
     corpus_queries,
     event_queries,
     pixel_queries,
+    report_queries,
     score_queries,
 )
 from assaymill.plans.registry import REGISTRY

@@ -34,3 +34,111 @@ def screening_log(df: DataFrame) -> DataFrame:
         F.when(F.col("hi").isNull(), "").otherwise(two("hi")).alias("hi"),
         "status",
     )
+
+
+# --- run facts ------------------------------------------------------------------
+
+
+def with_manifest(df: DataFrame, settings: dict[str, object], corpus: str) -> DataFrame:
+    """Columns that say where a result came from."""
+    from assaymill.sources.feature_store import config_fingerprint
+
+    return df.withColumns(
+        {
+            "fingerprint": F.lit(config_fingerprint(settings)),
+            "corpus": F.lit(corpus),
+            "generated_at": F.current_timestamp(),
+        }
+    )
+
+
+# --- nested results report --------------------------------------------------------
+
+
+def results_report(heads: DataFrame, site_stats: DataFrame, site_audit: DataFrame, facts: dict[str, str]) -> DataFrame:
+    """One nested row: corpus, a list of head rows, and an audit map per head.
+
+    Every input is an aggregate, one row per head or site.
+    """
+    corpus = site_stats.agg(
+        F.sum("n").alias("n_patients"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("site", F.struct("n", "mean", "mean_age").alias("c"))))).alias("per_site"),
+    )
+    rows = heads.agg(F.array_sort(F.collect_list(F.struct("head", *[c for c in heads.columns if c != "head"]))).alias("rows"))
+    per_site = site_audit.groupBy("head").agg(
+        F.max(F.when(F.col("site") == "pooled", F.col("ece"))).alias("pooled_ece"),
+        F.max("max_ece_gap").alias("max_ece_gap"),
+        F.first("note").alias("confound"),
+        F.map_from_entries(
+            F.array_sort(F.collect_list(F.when(F.col("site") != "pooled", F.struct("site", F.struct("ece", "n").alias("c")))))
+        ).alias("per_site"),
+    )
+    audit = per_site.agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("head", F.struct("pooled_ece", "max_ece_gap", "confound", "per_site").alias("a")))
+        ).alias("audit")
+    )
+    return corpus.select(
+        F.struct(*[F.lit(v).alias(k) for k, v in facts.items()]).alias("provenance"),
+        F.struct("n_patients", "per_site").alias("corpus"),
+        rows.scalar().alias("single_split"),
+        audit.scalar().alias("site_audit"),
+    )
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    report.coalesce(1).write.mode("errorifexists").json(path)
+
+
+def read_report(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    return spark.read.schema(like.schema).json(path)
+
+
+def report_heads(report: DataFrame) -> DataFrame:
+    """Head rows in display order."""
+    rows = report.select(F.inline("single_split"))
+    return rows.withColumn("display", head_rank(F.col("head"))).orderBy("display", "head")
+
+
+def report_site_ece(report: DataFrame) -> DataFrame:
+    """Calibration per head and site, with the pooled figure and the widest gap."""
+    per_head = report.select(F.explode("site_audit").alias("head", "a"))
+    cells = per_head.select("head", "a.pooled_ece", "a.max_ece_gap", "a.confound", F.explode("a.per_site").alias("site", "c"))
+    return cells.select("head", "site", "c.ece", "c.n", "pooled_ece", "max_ece_gap", "confound")
+
+
+def sweep_report(candidates: DataFrame, header: DataFrame) -> DataFrame:
+    """Nested sweep report: header facts, the candidates and the winner."""
+    rows = candidates.agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in candidates.columns if c != "rank"]))).alias("c"))
+    lead = candidates.where("selected").select("label").agg(F.first("label"))
+    return header.select("*", rows.scalar().alias("candidates"), lead.scalar().alias("winner"))
+
+
+def sweep_summary(report: DataFrame, near_tie: float = DEFAULTS.near_tie) -> DataFrame:
+    """Candidates of a stored sweep, winner first, with the near-tie flag."""
+    rows = report.select("winner", "selection_gap", F.inline("candidates"))
+    picked = F.col("selected") | (F.col("label") == F.col("winner"))
+    out = rows.withColumns(
+        {"selected": picked, "near_tie": F.coalesce(F.col("selection_gap") < near_tie, F.lit(False))}
+    )
+    return out.orderBy(F.desc("selected"), F.asc_nulls_last("val_mae"), "label")
+
+
+def text_table(df: DataFrame, digits: int = 2) -> DataFrame:
+    """Numbers as printed in a table, a dash for what was not measured."""
+    from pyspark.sql import types as T
+
+    return df.select(
+        *[
+            F.coalesce(F.format_string(f"%.{digits}f", F.col(f.name)), F.lit("-")).alias(f.name)
+            if isinstance(f.dataType, T.DoubleType)
+            else F.coalesce(F.col(f.name).cast("string"), F.lit("-")).alias(f.name)
+            for f in df.schema.fields
+        ]
+    )
+
+
+def settings_of(cfg: AuditConfig) -> dict[str, object]:
+    from dataclasses import asdict
+
+    return asdict(cfg)
