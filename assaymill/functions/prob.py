@@ -1,8 +1,9 @@
 """Probability vectors over a fixed list of class values.
 
-Vectors are array columns of known length. Functions that normalise a vector
-work on the DataFrame and keep the maximum and the total in columns of their
-own: written as one nested expression, every element would repeat them.
+Vectors are array columns. Functions that normalise a vector work on the
+DataFrame and keep the maximum and the total in columns of their own: written as
+one nested expression, every element would repeat them, and a vector unrolled
+into its elements soon exceeds what one generated method may hold.
 """
 
 from __future__ import annotations
@@ -29,25 +30,26 @@ def total(terms: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def _shifted(df: DataFrame, logits: str, k: int, temperature: Column | float) -> DataFrame:
+def _shifted(df: DataFrame, logits: str, temperature: Column | float) -> DataFrame:
     t = F.greatest(F.lit(temperature), F.lit(MIN_TEMPERATURE))
     df = df.withColumns({"_top": F.array_max(logits), "_t": t})
-    return df.withColumn("_d", F.array(*[(z - F.col("_top")) / F.col("_t") for z in elements(logits, k)]))
+    return df.withColumn("_d", F.transform(logits, lambda z: (z - F.col("_top")) / F.col("_t")))
 
 
-def softmax(df: DataFrame, logits: str, out: str, k: int, temperature: Column | float = 1.0) -> DataFrame:
-    df = _shifted(df, logits, k, temperature)
-    df = df.withColumn("_e", F.array(*[F.exp(d) for d in elements("_d", k)]))
-    df = df.withColumn("_s", total(elements("_e", k)))
-    df = df.withColumn(out, F.array(*[e / F.col("_s") for e in elements("_e", k)]))
-    return df.drop("_top", "_t", "_d", "_e", "_s")
+def _sum(array: str) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def log_softmax(df: DataFrame, logits: str, out: str, k: int, temperature: Column | float = 1.0) -> DataFrame:
-    df = _shifted(df, logits, k, temperature)
-    df = df.withColumn("_s", F.ln(total([F.exp(d) for d in elements("_d", k)])))
-    df = df.withColumn(out, F.array(*[d - F.col("_s") for d in elements("_d", k)]))
-    return df.drop("_top", "_t", "_d", "_s")
+def softmax(df: DataFrame, logits: str, out: str, temperature: Column | float = 1.0) -> DataFrame:
+    df = _shifted(df, logits, temperature).withColumn("_e", F.transform("_d", F.exp))
+    df = df.withColumn("_s", _sum("_e"))
+    return df.withColumn(out, F.transform("_e", lambda e: e / F.col("_s"))).drop("_top", "_t", "_d", "_e", "_s")
+
+
+def log_softmax(df: DataFrame, logits: str, out: str, temperature: Column | float = 1.0) -> DataFrame:
+    df = _shifted(df, logits, temperature)
+    df = df.withColumn("_s", F.ln(F.aggregate("_d", F.lit(0.0), lambda acc, x: acc + F.exp(x))))
+    return df.withColumn(out, F.transform("_d", lambda d: d - F.col("_s"))).drop("_top", "_t", "_d", "_s")
 
 
 def soft_label(
@@ -58,11 +60,9 @@ def soft_label(
     sigma: float = DEFAULTS.soft_sigma,
 ) -> DataFrame:
     """Gaussian weights of a value over the class centres, summing to one."""
-    scores = []
-    for c in centres:
-        z = (F.col(value) - F.lit(c)) / F.lit(sigma)
-        scores.append(F.lit(-0.5) * z * z)
-    return softmax(df.withColumn("_score", F.array(*scores)), "_score", out, len(centres)).drop("_score")
+    grid = F.array(*[F.lit(c) for c in centres])
+    score = F.transform(grid, lambda c: F.lit(-0.5) * F.pow((F.col(value) - c) / F.lit(sigma), F.lit(2.0)))
+    return softmax(df.withColumn("_score", score), "_score", out).drop("_score")
 
 
 def sigmoid(x: Column) -> Column:
@@ -109,7 +109,7 @@ def decode(df: DataFrame, head: str, outputs: str, out: str, centres: Sequence[f
             out, (1.0 - F.col("_hit")) * F.lit(centres[0]) + F.col("_hit") * F.lit(centres[1])
         ).drop("_hit")
     if head in ("severity", "ordinal", "multitask"):
-        shared = softmax(df, outputs, "_p", len(centres))
+        shared = softmax(df, outputs, "_p")
         return shared.withColumn(out, expected_value("_p", centres)).drop("_p")
     raise ValueError(f"unknown head {head!r}")
 

@@ -157,8 +157,8 @@ def temperature_scale(val: ValidationSplit, logits: str, target: str, k: int, n_
     """Best temperature and the calibration error before and after it."""
     curve = temperature_curve(val, logits, target, k, n_grid)
     best = curve.agg(F.min_by("temperature", F.struct("nll", "temperature"))).scalar()
-    rows = prob.softmax(val.rows, logits, "_p1", k)
-    rows = prob.softmax(rows, logits, "_pt", k, best)
+    rows = prob.softmax(val.rows, logits, "_p1")
+    rows = prob.softmax(rows, logits, "_pt", best)
     pair = rows.select(
         (prob.argmax(logits) == F.col(target)).alias("hit"),
         F.stack(F.lit(2), F.lit("before"), F.array_max("_p1"), F.lit("after"), F.array_max("_pt")).alias("stage", "conf"),

@@ -23,6 +23,8 @@ from assaymill.operators import training as T
 
 HEADS = ("regression", "binary", "severity", "ordinal")
 GRID = (0.001, 0.01, 0.1, 1.0)
+MAX_ITERATIONS = 25
+TOLERANCE = 1e-4
 
 
 @dataclass(frozen=True)
@@ -56,7 +58,7 @@ def fit(train: DataFrame, head: str, regularisation: float = 0.01, cfg: AuditCon
     data = train.withColumn("_x", array_to_vector("features"))
     if head == "regression":
         model = LinearRegression(
-            featuresCol="_x", labelCol="y", loss="huber", regParam=regularisation, maxIter=60
+            featuresCol="_x", labelCol="y", loss="huber", regParam=regularisation, maxIter=MAX_ITERATIONS, tol=TOLERANCE
         ).fit(data)
         return Head(head, model, regularisation)
     if head == "ordinal":
@@ -66,7 +68,7 @@ def fit(train: DataFrame, head: str, regularisation: float = 0.01, cfg: AuditCon
         long = soft.select("_x", F.posexplode("_w").alias("label", "weight")).where("weight > 1e-12")
         model = LogisticRegression(
             featuresCol="_x", labelCol="label", weightCol="weight", family="multinomial",
-            regParam=regularisation, maxIter=60,
+            regParam=regularisation, maxIter=MAX_ITERATIONS, tol=TOLERANCE,
         ).fit(long)
         return Head(head, model, regularisation, tuple(cfg.centres)[: model.numClasses], tuple(range(k)))
     if head in ("binary", "severity"):
@@ -76,7 +78,7 @@ def fit(train: DataFrame, head: str, regularisation: float = 0.01, cfg: AuditCon
         weighted = data.withColumns({"label": klass, "weight": T.weight_lookup(weights, klass)})
         model = LogisticRegression(
             featuresCol="_x", labelCol="label", weightCol="weight", family="multinomial",
-            regParam=regularisation, maxIter=60,
+            regParam=regularisation, maxIter=MAX_ITERATIONS, tol=TOLERANCE,
         ).fit(weighted)
         return Head(head, model, regularisation, tuple(centres[i] for i in range(model.numClasses)))
     raise ValueError(f"unknown head {head!r}")

@@ -335,7 +335,7 @@ def head_losses(spark: SparkSession, sf: str) -> DataFrame:
     weights = T.class_weights(df.where("split = 'train'"), idx, 4)
     df = df.select("split", "y", F.array("f1", "f2", "f3", "f4").alias("z"), F.col("f6").alias("s"), idx.alias("k"))
     df = df.withColumn("w", T.weight_lookup(weights, F.col("k")))
-    df = prob.soft_label(prob.log_softmax(df, "z", "lp", 4), "y", "target", centres=(13.0, 11.0, 8.0, 6.0))
+    df = prob.soft_label(prob.log_softmax(df, "z", "lp"), "y", "target", centres=(13.0, 11.0, 8.0, 6.0))
     k, soft = F.col("k"), prob.soft_cross_entropy("lp", "target", 4)
     guess = F.col("s") + 12
     return published(

@@ -18,7 +18,7 @@ from assaymill.plans import score_queries as SQ
 from assaymill.plans.evaluate import evaluate, long_form
 from assaymill.plans.registry import published, query, r
 from assaymill.plans.views import FEATURES, PRED, View
-from assaymill.session import shared_folder
+from assaymill.session import shared_folder, written
 from assaymill.sources import feature_store, predictions, reports
 
 P = f"({PRED.sql()})"
@@ -305,12 +305,13 @@ def feature_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- model jobs -------------------------------------------------------------------
 
-READY = [f"f{i}" for i in range(1, 14) if i not in (5, 14)]
+READY = [f"f{i}" for i in range(1, 14) if i != 5]
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
     df = T.standardise(FEATURES.frame(spark, sf), READY)
-    return df.select("id", "site", "sex", "split", "y", F.array(*READY).alias("features"))
+    # An iterative fit reads its input many times: standardise it once.
+    return written(df.select("id", "site", "sex", "split", "y", F.array(*READY).alias("features")))
 
 
 @query("head_fits", "L1 L2 L3 L4 L5: chosen on validation, test scored once")
@@ -333,7 +334,7 @@ def cross_site_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("configuration_sweep", "L7 W13 W14: all candidates on validation, only the winner on test")
 def configuration_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    base = T.standardise(FEATURES.frame(spark, sf), READY)
+    base = written(T.standardise(FEATURES.frame(spark, sf), READY))
     blocks = {"deep": READY[:6], "colour": READY[6:], "hybrid": READY}
     fits, rows = {}, None
     for kind, columns in blocks.items():

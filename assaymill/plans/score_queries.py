@@ -471,7 +471,7 @@ POSTERIOR = f"""WITH c(k, mu) AS (VALUES {CENTRES}),
     {r('sum(CASE WHEN mu < ' + CUT + ' THEN p ELSE 0 END)', 'p_low')}, {r('max(p)', 'top')} FROM p GROUP BY id""",
 )
 def posterior_decode(spark: SparkSession, sf: str) -> DataFrame:
-    df = prob.softmax(_logits(spark, sf), "logits", "p", K)
+    df = prob.softmax(_logits(spark, sf), "logits", "p")
     return published(
         df.select(
             "id",
@@ -569,7 +569,7 @@ def value_interval(spark: SparkSession, sf: str) -> DataFrame:
 )
 def head_audit_block(spark: SparkSession, sf: str) -> DataFrame:
     cut = who.sex_cutoff(F.col("sex"))
-    rows = prob.softmax(_logits(spark, sf), "logits", "p", K).select(
+    rows = prob.softmax(_logits(spark, sf), "logits", "p").select(
         F.col("sex").alias("grp"),
         prob.probability_below("p", cut).alias("conf"),
         (F.col("y_true") < cut).alias("hit"),
