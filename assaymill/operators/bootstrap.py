@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from assaymill.config import DEFAULTS
 from assaymill.operators.agreement import grouped
 from assaymill.operators.clean import finite_rows
+from assaymill.session import written
 
 
 def poisson_steps(rate: float = 1.0, levels: int = 10) -> list[float]:
@@ -52,13 +53,15 @@ def bias_interval(
     n_blocks: int = 1024,
 ) -> DataFrame:
     """Percentile interval with Poisson(1) weights per block and replicate."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The block table is small but its replicates are not: keep it spread out.
-    blocks = blocks_of(df, row_id, truth, pred, by, n_blocks).repartition(parts, "block")
-    drawn = blocks.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = drawn.withColumn("u", hash_unit(F.lit(seed), F.col("rep"), F.col("block")))
+    blocks = blocks_of(df, row_id, truth, pred, by, n_blocks)
+    cells = df.sparkSession.range(replicates * n_blocks).select(
+        F.floor(F.col("id") / n_blocks).alias("rep"), (F.col("id") % n_blocks).alias("block")
+    )
+    # One draw per replicate and block, shared by all groups.
+    drawn = cells.withColumn("u", hash_unit(F.lit(seed), F.col("rep"), F.col("block")))
     weight = sum(((F.col("u") >= F.lit(c)).cast("int") for c in poisson_steps()), F.lit(0))
-    stats = drawn.withColumn("w", weight).where("w > 0").groupBy(*by, "rep").agg(
+    drawn = drawn.select("rep", "block", weight.alias("w")).where("w > 0")
+    stats = drawn.join(written(blocks), "block").groupBy(*by, "rep").agg(
         (F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("m"))).alias("stat")
     )
     return _percentiles(stats, by)
@@ -82,7 +85,7 @@ def bias_interval_exact(
     )
     pick = F.floor(hash_unit(F.lit(seed), F.col("rep"), F.col("draw")) * n_blocks)
     counts = draws.groupBy("rep", pick.alias("block")).agg(F.count(F.lit(1)).alias("w"))
-    stats = counts.join(blocks, "block").groupBy(*by, "rep").agg(
+    stats = counts.join(written(blocks), "block").groupBy(*by, "rep").agg(
         (F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("m"))).alias("stat")
     )
     return _percentiles(stats, by)

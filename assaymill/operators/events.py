@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -134,62 +132,95 @@ def daily_cap(df: DataFrame, cap: int, ts: str = "ts", row_id: str = "event_id",
 # into chunks. Each chunk says, for every state it could be entered with, the
 # state it is left with; chaining those answers gives every chunk its entry
 # state, and then all chunks are solved side by side. Events are counted per
-# millisecond first, so no group grows with the number of rows.
+# millisecond first, so no chunk grows with the number of rows.
+#
+# Many small chunks share one Python call. Inside it the chunks lie one after
+# another on a common time axis, far enough apart not to touch.
 
 CHUNK_WINDOWS = 16
 START = -(2**62)
+ROWS_PER_CALL = 100_000
+
 
+def _calls(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Spread whole groups over enough calls for about ROWS_PER_CALL rows each."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    calls = max(least, -(-rows // ROWS_PER_CALL))
+    return df.withColumn("call", F.pmod(F.xxhash64(*keys), F.lit(calls)))
 
-def _exits(times: np.ndarray, window: int) -> np.ndarray:
-    """End of the last window when the first one opens at each of the times."""
-    n = len(times)
-    after = np.searchsorted(times, times + window, side="right")
-    reach = np.where(after < n, after, np.arange(n))
-    while True:
-        further = reach[reach]
-        if np.array_equal(further, reach):
-            return times[reach] + window
-        reach = further
+
+def _axis(pdf: pd.DataFrame, window: int, chunk_ms: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order, each one's chunk number, first rows, and shared-axis times."""
+    pdf = pdf.sort_values(["key", "chunk", "ms"], ignore_index=True)
+    new = (pdf["key"] != pdf["key"].shift()) | (pdf["chunk"] != pdf["chunk"].shift())
+    part = np.cumsum(new.to_numpy()) - 1
+    local = pdf["ms"].to_numpy(dtype=np.int64) - pdf["chunk"].to_numpy(dtype=np.int64) * chunk_ms
+    return pdf, part, np.flatnonzero(new.to_numpy()), part * (chunk_ms + 2 * window) + local
 
 
 def _chunk_summary(window: int, chunk_ms: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["ms"].to_numpy(dtype=np.int64))
-        exits = _exits(times, window)
-        entries = int(np.searchsorted(times, key[1] * chunk_ms + window, side="right")) + 1
-        times, exits = times[:entries], exits[:entries]
-        last_of_run = np.append(exits[1:] != exits[:-1], True)
-        return pd.DataFrame(
-            {"key": key[0], "chunk": key[1], "entry": [times[last_of_run]], "leave": [exits[last_of_run]]}
-        )
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, part, first, t = _axis(pdf, window, chunk_ms)
+        n = len(t)
+        after = np.searchsorted(t, t + window, side="right")
+        inside = (after < n) & (part[np.minimum(after, n - 1)] == part)
+        reach = np.where(inside, after, np.arange(n))
+        while True:
+            further = reach[reach]
+            if np.array_equal(further, reach):
+                break
+            reach = further
+        ms = pdf["ms"].to_numpy(dtype=np.int64)
+        leave = ms[reach] + window
+        # A chunk can be entered by its events up to one window in, and the next one.
+        base = t[first] - (ms[first] - pdf["chunk"].to_numpy(dtype=np.int64)[first] * chunk_ms)
+        early = np.searchsorted(t, base + window, side="right")[part]
+        entry = np.arange(n) <= early
+        # Consecutive entries with the same exit: the last one answers for all.
+        same = np.append((leave[1:] == leave[:-1]) & (part[1:] == part[:-1]) & entry[1:], False)
+        keep = entry & ~same
+        out = pd.DataFrame({"part": part[keep], "entry": ms[keep], "leave": leave[keep]})
+        lists = out.groupby("part", sort=True).agg(list)
+        lists.insert(0, "key", pdf["key"].to_numpy()[first])
+        lists.insert(1, "chunk", pdf["chunk"].to_numpy()[first])
+        return lists.reset_index(drop=True)
 
     return run
 
 
-def _chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("chunk")
-    state, states = START, []
-    for entry, leave in zip(pdf["entry"], pdf["leave"]):
+def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["key", "chunk"], ignore_index=True)
+    state, owner, states = START, None, []
+    for key, entry, leave in zip(pdf["key"], pdf["entry"], pdf["leave"]):
+        if key != owner:
+            state, owner = START, key
         states.append(state)
         at = int(np.searchsorted(entry, state, side="right"))
         if at < len(entry):
             state = int(leave[at])
-    return pd.DataFrame({"key": key[0], "chunk": pdf["chunk"].to_numpy(), "state": states})
-
-
-def _anchors(window: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ms")
-        times = pdf["ms"].to_numpy(dtype=np.int64)
-        reset = int(pdf["state"].iloc[0])
-        anchor = np.empty(len(times), dtype=np.int64)
-        done = int(np.searchsorted(times, reset, side="right"))
-        anchor[:done] = reset - window
-        while done < len(times):
-            stop = int(np.searchsorted(times, times[done] + window, side="right"))
-            anchor[done:stop] = times[done]
-            done = stop
-        return pd.DataFrame({"key": key[0], "ms": times, "n": pdf["n"].to_numpy(), "anchor": anchor})
+    return pd.DataFrame({"key": pdf["key"], "chunk": pdf["chunk"], "state": states})
+
+
+def _anchors(window: int, chunk_ms: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, part, first, t = _axis(pdf, window, chunk_ms)
+        ms, reset = pdf["ms"].to_numpy(dtype=np.int64), pdf["state"].to_numpy(dtype=np.int64)
+        stop = np.append(first[1:], len(t))
+        anchor = reset - window
+        # Events still inside the window a chunk was entered with.
+        carried = np.bincount(part, weights=ms <= reset, minlength=len(first)).astype(np.int64)
+        at = first + carried
+        while True:
+            live = np.flatnonzero(at < stop)
+            if not len(live):
+                break
+            here = at[live]
+            ends = np.minimum(np.searchsorted(t, t[here] + window, side="right"), stop[live])
+            size = ends - here
+            rows = np.repeat(here - np.cumsum(size) + size, size) + np.arange(size.sum())
+            anchor[rows] = np.repeat(ms[here], size)
+            at[live] = ends
+        return pd.DataFrame({"key": pdf["key"], "ms": ms, "n": pdf["n"], "anchor": anchor})
 
     return run
 
@@ -207,14 +238,17 @@ def rate_limit(
     rows = df.withColumns({"_k": F.col(key).cast("string"), "_ms": F.unix_millis(ts)})
     counts = rows.groupBy(F.col("_k").alias("key"), F.col("_ms").alias("ms")).agg(F.count(F.lit(1)).alias("n"))
     counts = written(counts.withColumn("chunk", F.floor(F.col("ms") / chunk_ms)))
-    summary = counts.groupBy("key", "chunk").applyInPandas(
+    moments = counts.count()
+    summary = _calls(counts, ["key", "chunk"], moments).groupBy("call").applyInPandas(
         _chunk_summary(window_ms, chunk_ms), "key string, chunk long, entry array<long>, leave array<long>"
     )
-    states = summary.groupBy("key").applyInPandas(_chain, "key string, chunk long, state long")
+    states = _calls(summary, ["key"], moments // CHUNK_WINDOWS).groupBy("call").applyInPandas(
+        _chain, "key string, chunk long, state long"
+    )
     anchored = (
-        counts.join(states, ["key", "chunk"])
-        .groupBy("key", "chunk")
-        .applyInPandas(_anchors(window_ms), "key string, ms long, n long, anchor long")
+        _calls(counts.join(states, ["key", "chunk"]), ["key", "chunk"], moments)
+        .groupBy("call")
+        .applyInPandas(_anchors(window_ms, chunk_ms), "key string, ms long, n long, anchor long")
     )
     before = Window.partitionBy("key", "anchor").orderBy("ms").rowsBetween(Window.unboundedPreceding, -1)
     used = anchored.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assaymill.config import AuditConfig, DEFAULTS, Z_INTERVAL
 from assaymill.functions.student import t_critical, t_pvalue
 from assaymill.operators.agreement import FLAT, grouped
-from assaymill.operators.clean import all_finite
+from assaymill.operators.clean import finite_rows
 
 
 def least_squares(df: DataFrame, y: Column, x: str, needed: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -18,7 +18,7 @@ def least_squares(df: DataFrame, y: Column, x: str, needed: Sequence[str], by: S
 
     Fewer than three rows give NULL; a flat covariate gives slope zero.
     """
-    rows = df.where(all_finite(needed)).withColumn("_y", y)
+    rows = finite_rows(df, *needed).withColumn("_y", y)
     yy, xx = F.col("_y"), F.col(x)
     moments = grouped(
         rows,

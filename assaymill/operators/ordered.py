@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from assaymill.session import written
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 2048
 TIE_DIGITS = 3
 
 
@@ -48,7 +48,7 @@ def cut_points(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKE
     """Cut points from one pass of approximate quantiles."""
     probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
     row = df.agg(
-        F.count(column).alias("n"), F.percentile_approx(column, probs, 10 * MAX_BUCKETS).alias("q")
+        F.count(column).alias("n"), F.percentile_approx(column, probs, 4 * MAX_BUCKETS).alias("q")
     ).first()
     n, quantiles = (row["n"] or 0), (row["q"] or [])
     spark = df.sparkSession

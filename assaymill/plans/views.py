@@ -61,7 +61,7 @@ _SCORED = View(
         "l_orderkey": "l_orderkey",
         "l_partkey": "l_partkey",
         "l_suppkey": "l_suppkey",
-        "y_true": "round(5 + 13 * (l_quantity - 1) / 49, 2)",
+        "y_true": "floor((5 + 13 * (l_quantity - 1) / 49) * 100 + cast(0.5 as double)) / 100",
         "ita": "cast((l_suppkey * 37) % 121 - 45 as double)",
         "noise": "(l_discount - cast(0.05 as double)) * 20 + cast((l_partkey % 21) - 10 as double) / 10",
         "sex": "case when l_linestatus = 'O' then 'M' else 'F' end",
