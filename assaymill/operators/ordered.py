@@ -111,23 +111,20 @@ def rows_at(
     )
     hits = cells.withColumn("_ask", here).where(F.size("_ask") > 0)
     hits = written(hits.select(*by, *keys, "_before", "_total", "_ask", *[f"_before_{s}" for s in sums]))
-    inside = split.join(hits, [*by, *keys]) if by else split.join(hits, keys)
+    # Rows carry only the offsets of their bucket; labels meet the finished
+    # positions in a second small join.
+    offsets = hits.select(*by, *keys, "_before", *[f"_before_{s}" for s in sums])
+    asked = hits.select(*by, F.col("_total").alias("n"), F.inline("_ask"))
+    inside = split.join(offsets, [*by, *keys])
     order = Window.partitionBy(*by, *keys).orderBy(column, _tie(row_id), row_id)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.withColumns(
-        {
-            "_pos": F.col("_before") + F.row_number().over(order),
-            **{f"_upto_{s}": F.col(f"_before_{s}") + F.sum(s).over(upto) for s in sums},
-        }
-    )
-    found = ranked.withColumn("_ask", F.filter("_ask", lambda w: w["position"] == F.col("_pos")))
-    return found.select(
+    ranked = inside.select(
         *by,
         F.col(column).alias("value"),
-        F.col("_total").alias("n"),
-        *[F.col(f"_upto_{s}").alias(f"{s}_upto") for s in sums],
-        F.inline("_ask"),
+        (F.col("_before") + F.row_number().over(order)).cast("long").alias("position"),
+        *[(F.col(f"_before_{s}") + F.sum(s).over(upto)).alias(f"{s}_upto") for s in sums],
     )
+    return ranked.join(asked, [*by, "position"])
 
 
 def average_rank(

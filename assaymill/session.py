@@ -17,6 +17,9 @@ def build_session(app: str = "assaymill", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # The JVM never compiles a method beyond 8000 bytes; a wider generated
+        # stage would run interpreted. Above that, generate per operator.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.ui.enabled": "false",
     }
     settings.update(conf)
