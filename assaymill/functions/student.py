@@ -35,6 +35,8 @@ def _tail(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
             d = 1.0 / np.where(np.abs(1.0 + term * d) < tiny, tiny, 1.0 + term * d)
             c = np.where(np.abs(1.0 + term / c) < tiny, tiny, 1.0 + term / c)
             value = value * d * c
+        if np.all(np.abs(d * c - 1.0) < 1e-15):
+            break
     part = np.where(xs <= 0.0, 0.0, front * value)
     return np.clip(np.where(swap, 1.0 - part, part), 0.0, 1.0)
 
@@ -56,7 +58,7 @@ def critical_value(confidence: float, dof: np.ndarray) -> np.ndarray:
     if ok.any():
         d = dof[ok]
         lo, hi = np.zeros_like(d), np.full_like(d, 1e9)
-        for _ in range(200):
+        for _ in range(90):
             mid = np.where(hi - lo > 1.0, np.sqrt((lo + 1e-9) * hi), (lo + hi) / 2.0)
             above = _tail(mid, d) > 1.0 - confidence
             lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
