@@ -9,7 +9,7 @@ from assaymill.config import AuditConfig
 from assaymill.operators import events as E
 from assaymill.plans.registry import published, query, r
 from assaymill.plans.views import BODIES, TELEMETRY
-from assaymill.session import shared_folder
+from assaymill.session import configure, shared_folder
 from assaymill.sources.events import stream_events
 from assaymill.streaming import intake as S
 
@@ -28,7 +28,7 @@ def _bodies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    raw = stream_events(spark, sf, name="events.parquet")
+    raw = stream_events(configure(spark), sf, name="events.parquet")
     return TELEMETRY.over(raw).withColumn("ts", F.col("ts").cast("timestamp"))
 
 

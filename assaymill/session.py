@@ -8,22 +8,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings that any running session can take over.
+RUNTIME = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM never compiles a method beyond 8000 bytes; a wider generated
+    # stage would run interpreted. Above that, generate per operator.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the settings the operators rely on to an existing session."""
+    for key, value in RUNTIME.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "assaymill", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        # The JVM never compiles a method beyond 8000 bytes; a wider generated
-        # stage would run interpreted. Above that, generate per operator.
-        "spark.sql.codegen.hugeMethodLimit": "8000",
-        "spark.ui.enabled": "false",
-    }
-    settings.update(conf)
-    for key, value in settings.items():
+    for key, value in {**RUNTIME, "spark.ui.enabled": "false", **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
