@@ -331,8 +331,9 @@ def frame_resolutions(spark: SparkSession, sf: str) -> DataFrame:
     return X.resolutions(QUALITY.frame(spark, sf))
 
 
-BOX = f"""(SELECT image_id, width, height, greatest(0, x0-pad) AS x0, least(width, x1+pad) AS x1, greatest(0, y0-pad) AS y0,
- least(height, y1+pad) AS y1 FROM (SELECT *, cast(greatest(2, floor(0.1e0*greatest(x1-x0, y1-y0))) AS INTEGER) AS pad FROM (SELECT image_id,
+BOX = f"""(SELECT image_id, width, height, CASE WHEN x0 IS NOT NULL THEN greatest(0, x0-pad) END AS x0,
+ CASE WHEN x0 IS NOT NULL THEN least(width, x1+pad) END AS x1, CASE WHEN x0 IS NOT NULL THEN greatest(0, y0-pad) END AS y0,
+ CASE WHEN x0 IS NOT NULL THEN least(height, y1+pad) END AS y1 FROM (SELECT *, cast(greatest(2, floor(0.1e0*greatest(x1-x0, y1-y0))) AS INTEGER) AS pad FROM (SELECT image_id,
  min(x) FILTER (WHERE in_roi) AS x0, max(x) FILTER (WHERE in_roi)+1 AS x1, min(y) FILTER (WHERE in_roi) AS y0,
  max(y) FILTER (WHERE in_roi)+1 AS y1, max(x)+1 AS width, max(y)+1 AS height FROM {GR} GROUP BY image_id)))"""
 
@@ -358,8 +359,10 @@ def measured_panel(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "mask_on_frame",
     "J13",
-    f"""SELECT p.image_id, x, y, mask_on AS in_roi FROM {GR} p LEFT JOIN ({MASK_GRID.sql()}) m
-    ON p.image_id = m.image_id AND m.mx = floor(x*25/50.0e0) AND m.my = floor(y*20/40.0e0)""",
+    f"""WITH m AS ({MASK_GRID.sql()}), f AS (SELECT image_id, max(x)+1 AS w, max(y)+1 AS h FROM {GR} GROUP BY image_id),
+    s AS (SELECT image_id, max(mx)+1 AS mw, max(my)+1 AS mh FROM m GROUP BY image_id)
+    SELECT p.image_id, x, y, mask_on AS in_roi FROM {GR} p JOIN f ON f.image_id = p.image_id LEFT JOIN s ON s.image_id = p.image_id
+    LEFT JOIN m ON p.image_id = m.image_id AND m.mx = floor(x*mw/cast(w AS DOUBLE)) AND m.my = floor(y*mh/cast(h AS DOUBLE))""",
 )
 def mask_on_frame(spark: SparkSession, sf: str) -> DataFrame:
     out = X.mask_on_frame(GRID.frame(spark, sf), MASK_GRID.frame(spark, sf))

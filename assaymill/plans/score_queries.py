@@ -229,13 +229,16 @@ TCRIT = (
 
 
 def _slope_sql(y: str, rows: str, group: str) -> str:
-    return f"""SELECT *, n-2 AS dof, sqrt((syy - slope*sxy)/(n-2)/sxx) AS se FROM (
-    SELECT {group}, count(*) AS n, regr_slope({y}, ita) AS slope, regr_intercept({y}, ita) AS intercept,
-    regr_sxx({y}, ita) AS sxx, regr_syy({y}, ita) AS syy, regr_sxy({y}, ita) AS sxy
-    FROM {rows} GROUP BY {group})"""
+    # A flat covariate has slope zero around the mean, with nothing explained.
+    return f"""SELECT *, n-2 AS dof, CASE WHEN flat THEN 0 ELSE 1 - (syy - slope*sxy)/syy END AS r2,
+    CASE WHEN flat THEN 0 ELSE sqrt((syy - slope*sxy)/(n-2)/sxx) END AS se FROM (SELECT * EXCLUDE (raw, cut),
+    CASE WHEN flat THEN 0 ELSE raw END AS slope, CASE WHEN flat THEN my ELSE cut END AS intercept FROM (
+    SELECT {group}, count(*) AS n, regr_slope({y}, ita) AS raw, regr_intercept({y}, ita) AS cut, avg({y}) AS my,
+    regr_sxx({y}, ita) AS sxx, regr_syy({y}, ita) AS syy, regr_sxy({y}, ita) AS sxy, regr_sxx({y}, ita) < 1e-12 AS flat
+    FROM {rows} GROUP BY {group}))"""
 
 
-GATED = f"""n, {r('slope', 'slope', 7)}, {r('intercept', 'intercept')}, {r('1 - (syy - slope*sxy)/syy', 'r2')},
+GATED = f"""n, {r('slope', 'slope', 7)}, {r('intercept', 'intercept')}, {r('r2', 'r2')},
  {r('se', 'se', 7)}, {r(f'slope - {TCRIT}*se', 'ci_low')}, {r(f'slope + {TCRIT}*se', 'ci_high')},
  CASE WHEN n < 20 THEN 'underpowered' WHEN (slope - {TCRIT}*se)*(slope + {TCRIT}*se) > 0
  AND abs(slope) >= 0.002e0 THEN 'supported' ELSE 'not_supported' END AS verdict"""
