@@ -14,9 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaymill.session import shared_folder, written
-
-__all__ = ["shared_folder", "written"]
+from assaymill.session import shared_folder, written  # noqa: F401
 
 # Bytes of text that numpy works on at once; one longer document is one piece.
 PIECE = 1 << 20

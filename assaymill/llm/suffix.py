@@ -23,6 +23,7 @@ last division is one string, so the result is exact.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaymill.llm.common import BASE, BYTE_CODES, U64, bounded_batches, buffers, mix, signed, text_of, without, written
+from assaymill.llm.common import BASE, BYTE_CODES, U64, bounded_batches, buffers, mix, shared_folder, signed, text_of, without, written
 
 QGRAM = 25
 CELLS = (64, 8, 1)
@@ -126,7 +127,7 @@ def _groups(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.nda
 
 
 def _ranges(length: int):
-    """Map batches (_id, _h, _text) to one row per range of string starts."""
+    """Map batches (_row, _text) to one row per range of string starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,11 +141,9 @@ def _ranges(length: int):
                     parts.append((np.full(len(lo), row), lo + a, hi + a, at + a))
                 row, lo, hi, at = (np.concatenate(x) for x in zip(*parts))
                 full = _identify(depths, lo, hi - lo + length)
-                take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("_id").take(take),
-                        batch.column("_h").take(take),
+                        batch.column("_row").take(pa.array(row)),
                         pa.array(lo + begin - offsets[row]),
                         pa.array((hi - lo).astype(np.int32)),
                         pa.array((at - lo).astype(np.int32)),
@@ -152,79 +151,54 @@ def _ranges(length: int):
                         pa.array(signed(full[:, 0])),
                         pa.array(signed(full[:, 1])),
                     ],
-                    names=["_id", "_h", "lo", "width", "back", "anchor", "f0", "f1"],
+                    names=["_row", *_PLACE[:-1], "f0", "f1"],
                 )
 
     return run
 
 
-def _cut(length: int):
-    """Map batches (_id, _h, _text, open ranges) to the open ranges with the text of their strings."""
+def _cells(length: int, size: int):
+    """Divide the open ranges of each text into cells of ``size`` string starts, counted back from the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column("_text"))
             spans = batch.column("open")
-            row = np.repeat(np.arange(len(batch)), np.diff(spans.offsets.to_numpy()))
+            text = np.repeat(np.arange(len(batch)), np.diff(spans.offsets.to_numpy()))
             inner = spans.flatten()
-            begin = offsets[row] + inner.field("lo").to_numpy()
-            width = inner.field("width").to_numpy()
-            take = pa.array(row)
-            around = [data[b : b + w + length].tobytes() for b, w in zip(begin, width)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(take), batch.column("_h").take(take), *(inner.field(c) for c in _PLACE), pa.array(around, pa.binary())],
-                names=["_id", "_h", *_PLACE, "around"],
-            )
-
-    return run
-
-
-def _cells(length: int, size: int):
-    """Divide ranges into cells of ``size`` string starts, counted back from the anchor."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = buffers(batch.column("around"))
-            back = batch.column("back").to_numpy().astype(np.int64)
-            least = back - batch.column("width").to_numpy()
-            # A string starts between ``least`` and ``back`` bytes before the anchor.
-            counts = back // size - least // size + 1
-            row = np.repeat(np.arange(len(batch)), counts)
-            cell = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + (least // size)[row]
-            near = np.maximum(cell * size, least[row])
-            far = np.minimum(cell * size + size - 1, back[row])
-            start, stop = back[row] - far, back[row] - near
-            core = back[row] - cell * size
-            ids = np.zeros((len(row), 4), U64)
-            done = 0
-            while done < len(row):  # a bounded number of bytes at a time
-                r0 = row[done]
-                r1 = max(r0 + 1, int(np.searchsorted(offsets, offsets[r0] + _STEP)))
-                part = slice(done, int(np.searchsorted(row, r1)))
-                depths = _depths(data[offsets[r0] : offsets[min(r1, len(batch))]], length)
-                base = (offsets[row[part]] - offsets[r0]).astype(np.int64)
-                ids[part, :2] = _identify(depths, base + core[part], np.full(len(base), length - size + 1))
-                ids[part, 2:] = _identify(depths, base + start[part], stop[part] - start[part] + length)
-                done = part.stop
-            # Ranges at the rim of a cell are equal only with the same extent.
-            ids[:, 2] = mix(ids[:, 2] + near.astype(U64) * BASE + far.astype(U64))
-            around = [data[b + s : b + e + length].tobytes() if size > 1 else b"" for b, s, e in zip(offsets[row], start, stop)]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("_id").take(take),
-                    batch.column("_h").take(take),
-                    pa.array(batch.column("lo").to_numpy()[row] + start),
-                    pa.array((stop - start).astype(np.int32)),
-                    pa.array(far.astype(np.int32)),
-                    batch.column("anchor").take(take),
-                    batch.column("member").take(take),
-                    pa.array(around, pa.binary()),
-                    pa.array(cell.astype(np.int32)),
-                    *(pa.array(signed(ids[:, k])) for k in range(4)),
-                ],
-                names=["_id", "_h", *_PLACE, "around", "cell", "c0", "c1", "f0", "f1"],
-            )
+            for k in range(0, len(text), 512):  # a bounded number of bytes at a time
+                part = inner.slice(k, 512)
+                lo, width, back = (part.field(c).to_numpy().astype(np.int64) for c in ("lo", "width", "back"))
+                own = text[k : k + 512]
+                begin = offsets[own] + lo
+                depths = _depths(np.concatenate([data[b : b + w + length] for b, w in zip(begin, width)]), length)
+                base = np.cumsum(width + length) - (width + length)
+                # A string starts between ``least`` and ``back`` bytes before the anchor.
+                least = back - width
+                counts = back // size - least // size + 1
+                row = np.repeat(np.arange(len(part)), counts)
+                cell = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + (least // size)[row]
+                near = np.maximum(cell * size, least[row])
+                far = np.minimum(cell * size + size - 1, back[row])
+                start, stop = back[row] - far, back[row] - near
+                core = _identify(depths, base[row] + back[row] - cell * size, np.full(len(row), length - size + 1))
+                full = _identify(depths, base[row] + start, stop - start + length)
+                # Ranges at the rim of a cell are equal only with the same extent.
+                full[:, 0] = mix(full[:, 0] + near.astype(U64) * BASE + far.astype(U64))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("_row").take(pa.array(own[row])),
+                        pa.array(lo[row] + start),
+                        pa.array((stop - start).astype(np.int32)),
+                        pa.array(far.astype(np.int32)),
+                        part.field("anchor").take(take),
+                        part.field("member").take(take),
+                        pa.array(cell.astype(np.int32)),
+                        *(pa.array(signed(ids[:, c])) for ids in (core, full) for c in (0, 1)),
+                    ],
+                    names=["_row", *_PLACE, "cell", "c0", "c1", "f0", "f1"],
+                )
 
     return run
 
@@ -257,75 +231,80 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _key(df: DataFrame, id_col: str, text_col: str) -> list:
-    return [F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), text_of(text_col)).alias("_h"), text_of(text_col).alias("_text")]
-
-
-def _same(a: DataFrame, b: DataFrame):
-    return a["_id"].eqNullSafe(b["_id"]) & (a["_h"] == b["_h"])
-
-
-def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans (_id, _h, lo, hi) in bytes that repeated ``length``-byte strings cover; they may overlap."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(*_key(docs, id_col, text_col))
-    place = f"_id {kind}, _h bigint, lo bigint, width int, back int, anchor bigint"
-    ranges = written(texts.mapInArrow(_ranges(length), place + ", f0 bigint, f1 bigint"))
-    rows = F.struct("_id", "_h", "lo", "width", "back")
+def _spans(rows: DataFrame, length: int) -> DataFrame:
+    return rows.select("_row", "lo", (F.col("lo") + F.col("width") + length).alias("hi"))
 
-    def spans(df: DataFrame) -> DataFrame:
-        return df.select("_id", "_h", "lo", (F.col("lo") + F.col("width") + length).alias("hi"))
 
+def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
+    """Spans (_row, lo, hi) of ``texts`` (_row, _text) that repeated strings cover; they may overlap."""
+    place = "_row bigint, lo bigint, width int, back int, anchor bigint"
+    here = F.struct("_row", "lo", "width", "back")
+    ranges = written(texts.select("_row", "_text").mapInArrow(_ranges(length), place + ", f0 bigint, f1 bigint"))
+    # First buckets: the anchors. A range alone in its bucket is finished.
+    shared = ranges.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    ranges = written(ranges.join(shared, "anchor", "left_semi"))
     # Buckets of whole ranges. One row per distinct content, however many share it.
-    classes = written(ranges.groupBy("anchor", "f0", "f1").agg(F.count("*").alias("n"), F.min(rows).alias("r")))
+    classes = written(ranges.groupBy("anchor", "f0", "f1").agg(F.count("*").alias("n"), F.min(here).alias("r")))
     many = classes.where("n > 1").select("anchor", "f0", "f1")
-    found = [spans(ranges.join(many, ["anchor", "f0", "f1"], "left_semi"))]
+    found = _spans(ranges.join(many, ["anchor", "f0", "f1"], "left_semi"), length)
     # Only an anchor with several contents is refined; a repeated content takes part by one member.
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1")
     members = classes.join(mixed, "anchor", "left_semi").select("r.*", "anchor", (F.col("n") == 1).alias("member"))
-    per_text = members.groupBy("_id", "_h").agg(F.collect_list(F.struct(*_PLACE)).alias("open"))
-    # Rows that repeat id and text have one key; the text of one of them will do.
-    cut = texts.join(per_text, _same(texts, per_text)).select(texts["_id"], texts["_h"], "_text", "open")
-    shape = place + ", member boolean, around binary"
-    around = written(cut.mapInArrow(_cut(length), shape)).dropDuplicates(["_id", "_h", "lo"])
     for size in CELLS:
-        cells = written(around.mapInArrow(_cells(length, size), shape + ", cell int, c0 bigint, c1 bigint, f0 bigint, f1 bigint"))
+        listed = members.groupBy("_row").agg(F.collect_list(F.struct(*_PLACE)).alias("open"))
+        cells = written(
+            texts.join(listed, "_row")
+            .select("_row", "_text", "open")
+            .mapInArrow(_cells(length, size), place + ", member boolean, cell int, c0 bigint, c1 bigint, f0 bigint, f1 bigint")
+        )
         key, core = ["anchor", "cell", "f0", "f1"], ["anchor", "cell", "c0", "c1"]
-        one = F.struct("_id", "_h", "lo", "width", "back", "member", "around")
-        classes = written(cells.groupBy(*key, "c0", "c1").agg(F.count("*").alias("n"), F.min(one).alias("r")))
+        one = F.struct("_row", "lo", "width", "back", "member")
+        classes = cells.groupBy(*key, "c0", "c1").agg(F.count("*").alias("n"), F.min(one).alias("r"))
+        if size > 1:
+            classes = written(classes)
         many = classes.where("n > 1").select(*key)
-        found.append(spans(cells.where("member").join(many, key, "left_semi")))
+        found = found.unionByName(_spans(cells.where("member").join(many, key, "left_semi"), length))
         if size > 1:
             single = (F.col("n") == 1) & F.col("r.member")
             mixed = classes.groupBy(*core).agg(F.count("*").alias("k"), F.max(single).alias("open")).where("k > 1 AND open")
-            around = classes.join(mixed, core, "left_semi").select(
-                "r._id", "r._h", "r.lo", "r.width", "r.back", "anchor", single.alias("member"), "r.around"
-            )
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+            members = classes.join(mixed, core, "left_semi").select("r._row", "r.lo", "r.width", "r.back", "anchor", single.alias("member"))
+    return found
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _by_row(docs: DataFrame, text_col: str) -> DataFrame:
+    """Number the rows and lay them out by that number, so that later joins move no text."""
+    spark = docs.sparkSession
+    parts = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"rows_{uuid.uuid4().hex}"
+    (
+        docs.withColumn("_text", text_of(text_col))
+        .drop(text_col)
+        .withColumn("_row", F.monotonically_increasing_id())
+        .repartition(parts, "_row")
+        .write.option("path", shared_folder(spark))
+        .bucketBy(parts, "_row")
+        .saveAsTable(name)
+    )
+    return spark.table(name)
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
     """Cut out every byte covered by a ``length``-byte string that also starts elsewhere.
 
-    ``docs`` may have any columns; they are kept, but for those named like a
-    result (``n_bytes``, ``n_removed``, ``n_spans`` long and ``kept`` binary, the
-    remaining bytes joined). A null text counts as empty. A text shorter than
-    ``length`` loses nothing. Rows that repeat an id and its text are copies of
-    each other: both lose what they share. Null ids are allowed. An empty table
-    gives an empty result. ``length`` is at least 100.
+    ``docs`` may have any columns; all but the text are kept, but for those named
+    like a result (``n_bytes``, ``n_removed``, ``n_spans`` long and ``kept``
+    binary, the remaining bytes joined). A null text counts as empty. A text
+    shorter than ``length`` loses nothing. Rows are told apart by a number of
+    their own: ids may be null or repeated, and equal rows are copies of each
+    other that both lose what they share. An empty table gives an empty result.
+    ``length`` is at least 100.
     """
     if length < 100:
         raise ValueError("length must be at least 100 bytes")
-    docs = without(docs, [*OUTPUT, "_id", "_h", "_text", "spans"])
-    spans = repeated_spans(docs, length, id_col, text_col)
-    per_text = spans.groupBy("_id", "_h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    rows = docs.select("*", *_key(docs, id_col, text_col))
+    bounded_batches(docs.sparkSession)
+    texts = _by_row(without(docs, [*OUTPUT, "_row", "_text", "spans"]), text_col)
+    spans = repeated_spans(texts, length).groupBy("_row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-    joined = rows.join(per_text, _same(rows, per_text), "left").select(*[docs[c] for c in docs.columns if c != text_col], rows["_text"], F.coalesce("spans", none).alias("spans"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
-    return joined.mapInArrow(_remove, fields + ", n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    joined = texts.join(spans, "_row", "left").withColumn("spans", F.coalesce("spans", none)).drop("_row")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name not in ("_text", "_row")]
+    return joined.mapInArrow(_remove, ", ".join([*fields, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"]))
