@@ -26,3 +26,30 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assaymill.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op1_minhash_near_dedup"] = rf"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g
+    FROM w
+), e AS (SELECT doc_id, unnest(g) AS h, len(g) AS n FROM s),
+p AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.h = b.h AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, p.y FROM r JOIN p ON p.x = r.y),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM s JOIN c ON s.doc_id = c.x
+"""
