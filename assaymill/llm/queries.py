@@ -53,3 +53,12 @@ c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
 SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM s JOIN c ON s.doc_id = c.x
 """
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assaymill.llm.toxicity import grade_texts, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"), max_train=20000)
+    return grade_texts(docs.select("doc_id", "text"), model).drop("text")

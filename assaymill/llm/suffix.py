@@ -241,7 +241,8 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     here = F.struct("_row", "lo", "width", "back")
     ranges = written(texts.select("_row", "_text").mapInArrow(_ranges(length), place + ", f0 bigint, f1 bigint"))
     # First buckets: the anchors. A range alone in its bucket is finished.
-    shared = ranges.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written, so that both sides of the join are plain and a hot anchor's rows can be split.
+    shared = written(ranges.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     ranges = written(ranges.join(shared, "anchor", "left_semi"))
     # Buckets of whole ranges. One row per distinct content, however many share it.
     classes = written(ranges.groupBy("anchor", "f0", "f1").agg(F.count("*").alias("n"), F.min(here).alias("r")))
