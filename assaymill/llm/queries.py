@@ -62,3 +62,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = train(docs, _table(spark, sf_dir, "labels"), max_train=20000)
     return grade_texts(docs.select("doc_id", "text"), model).drop("text")
+
+
+def _fold(count: int):
+    """The row's fold, from the crc32 of its id as text; a null id is in fold 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % count
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assaymill.llm.language import identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs.where(_fold(3) != 1).select("text", "lang"))
+    rows = docs.select("doc_id", (_fold(3) == 1).alias("held_out"), "text")
+    return identify(rows, model).drop("text")
