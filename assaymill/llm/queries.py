@@ -77,3 +77,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs.where(_fold(3) != 1).select("text", "lang"))
     rows = docs.select("doc_id", (_fold(3) == 1).alias("held_out"), "text")
     return identify(rows, model).drop("text")
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assaymill.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "spans")
