@@ -84,3 +84,26 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assaymill.llm.licenses import scan
 
     return scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "spans")
+
+
+@query
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assaymill.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), power=0.5, seed=17)
+
+
+SQL["op10_source_mixing"] = """
+WITH n AS (SELECT source AS s, count(*) AS n_rows FROM documents GROUP BY source),
+r AS (SELECT s, sqrt(n_rows) / sum(sqrt(n_rows)) OVER () * sum(n_rows) OVER () / n_rows AS rate FROM n),
+p AS (SELECT s, CAST(ceil(rate / 16) AS BIGINT) AS pieces, rate / ceil(rate / 16) AS l FROM r),
+t AS (SELECT s, pieces, list_transform(range(0, 101), lambda k: exp(k * ln(l) - l - lgamma(k + 1.0))) AS terms FROM p),
+c AS (SELECT s, pieces, list_transform(range(1, 102), lambda k: list_sum(terms[1:k])) AS cdf FROM t),
+d AS (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, ''))) AS name FROM documents),
+k AS (
+    SELECT d.*, CAST(list_sum(list_transform(range(1, pieces + 1), lambda j: len(list_filter(cdf, lambda x:
+        x <= CAST('0x' || substr(md5('17:' || j || ':' || name), 1, 13) AS BIGINT) / 4503599627370496.0)))) AS INTEGER) AS copies
+    FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.s
+), e AS (SELECT *, unnest(range(1, copies + 1)) AS i FROM k)
+SELECT doc_id, text, lang, source, n_chars, CAST(i AS INTEGER) AS replica, md5('order 17:' || i || ':' || name) AS shuffle_key FROM e
+"""
