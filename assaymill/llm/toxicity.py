@@ -4,13 +4,12 @@ One weight per word is shared by all thresholds: P(grade > g) is the logistic of
 the document's score minus threshold g, with rising thresholds. The expected
 severity is the sum of those probabilities over the thresholds.
 
-Training has three steps. Spark finds the features: among labelled documents it
-counts, per word, the distinct contexts (word before, word, word after) of either
+Training uses at most ``max_train`` labelled documents. Spark finds the features
+among their words: it counts, per word, the distinct contexts (word before, word, word after) of either
 label, so a passage copied a thousand times counts once, and keeps the words
 whose contexts lean to the toxic label beyond doubt. Labels are 0 or 1; a toxic
 document's grade follows from how many feature words it holds (``CUTS``). The
-weights are fitted on a bounded sample of labelled documents, at most
-``max_train``, as rows of feature counts.
+weights are then fitted on rows of feature counts.
 
 The features weigh presence (base-2 log of one plus the count), not density, so a long
 clean passage around a slur does not dilute it.
@@ -159,18 +158,19 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, levels: int, ridge: float = 0.
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 20000, id_col: str = "doc_id", text_col: str = "text") -> SeverityModel:
     """Fit the model on ``docs`` with a label (``labels``: id, toxic 0/1).
 
-    Features are counted over all labelled documents; weights are fitted on the
-    ``max_train`` of them whose hashed id is smallest. Null labels, ids and texts
-    are no training rows; an id labelled twice takes the higher label. Without
-    toxic or without clean rows no word is a feature and every text is clean.
+    Trains on the ``max_train`` labelled documents whose hashed id is smallest: a
+    bounded sample, which therefore may be broadcast to find its texts. Null
+    labels, ids and texts are no training rows; an id labelled twice takes the
+    higher label. Without toxic or without clean rows no word is a feature and
+    every text is clean.
     """
     bounded_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    sample = written(known.orderBy(F.xxhash64("_id"), "_id").limit(max_train))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    labelled = written(rows.join(known, "_id"))
+    labelled = written(rows.join(F.broadcast(sample), "_id"))
     features = find_features(labelled.select("toxic", "_text"))
-    sample = labelled.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    got = sample.select("toxic", "_text").mapInArrow(_counted(features), "toxic int, k array<bigint>, n array<bigint>").collect()
+    got = labelled.select("toxic", "_text").mapInArrow(_counted(features), "toxic int, k array<bigint>, n array<bigint>").collect()
     x = np.zeros((len(got), len(features)))
     for r, row in enumerate(got):
         x[r, row["k"]] = np.log2(1 + np.array(row["n"], float))
