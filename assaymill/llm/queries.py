@@ -107,3 +107,41 @@ k AS (
 ), e AS (SELECT *, unnest(range(1, copies + 1)) AS i FROM k)
 SELECT doc_id, text, lang, source, n_chars, CAST(i AS INTEGER) AS replica, md5('order 17:' || i || ':' || name) AS shuffle_key FROM e
 """
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assaymill.llm.decontaminate import find_leaks
+
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return find_leaks(docs, items, similarity=0.8).drop("distance")
+
+
+SQL["op4_decontamination"] = rf"""
+WITH i AS (
+    SELECT item_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM benchmark
+), ig AS (
+    SELECT item_id, len(ws) AS size, least(len(ws), 5) AS k, unnest(range(0, len(ws) - least(len(ws), 5) + 1)) AS back, ws FROM i WHERE len(ws) > 0
+), ih AS (SELECT item_id, size, k, back, array_to_string(ws[back + 1:back + k], ' ') AS h FROM ig),
+rw AS (SELECT h, 1.0 / count(DISTINCT item_id) AS w FROM ih GROUP BY h),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+kk AS (SELECT DISTINCT k FROM ih),
+dg AS (SELECT doc_id, k, len(ws) AS n, ws, unnest(range(0, len(ws) - k + 1)) AS pos FROM d JOIN kk ON len(ws) >= k),
+dh AS (SELECT doc_id, k, n, pos, array_to_string(ws[pos + 1:pos + k], ' ') AS h FROM dg),
+win AS (
+    SELECT DISTINCT doc_id, dh.k, size, least(greatest(pos - back, 0), greatest(n - size, 0)) AS start FROM dh JOIN ih ON dh.h = ih.h AND dh.k = ih.k
+), wh AS (
+    SELECT DISTINCT win.doc_id, win.size, win.start, dh.h FROM win JOIN dh ON dh.doc_id = win.doc_id AND dh.k = win.k AND dh.pos BETWEEN win.start AND win.start + win.size - win.k
+), wt AS (SELECT doc_id, size, start, sum(coalesce(w, 1.0)) AS total FROM wh LEFT JOIN rw USING (h) GROUP BY ALL),
+iu AS (SELECT DISTINCT item_id, size, h FROM ih),
+it AS (SELECT item_id, sum(w) AS total FROM iu JOIN rw USING (h) GROUP BY item_id),
+m AS (
+    SELECT wh.doc_id, iu.item_id, wh.size, wh.start, sum(rw.w) AS common FROM wh JOIN iu ON iu.h = wh.h AND iu.size = wh.size JOIN rw ON rw.h = wh.h GROUP BY ALL
+), s AS (
+    SELECT m.doc_id, m.item_id, m.size, m.start, m.common / (it.total + wt.total - m.common) AS similarity
+    FROM m JOIN it USING (item_id) JOIN wt ON wt.doc_id = m.doc_id AND wt.size = m.size AND wt.start = m.start
+)
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS first_word, CAST(size AS BIGINT) AS n_words, round(CAST(similarity AS DOUBLE), 9) AS similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(CAST(similarity AS DOUBLE), 12) DESC, start) AS r FROM s WHERE similarity >= 0.8 - 1e-9)
+WHERE r = 1
+"""
