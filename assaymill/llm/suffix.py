@@ -309,3 +309,21 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -
     joined = texts.join(spans, "_row", "left").withColumn("spans", F.coalesce("spans", none)).drop("_row")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name not in ("_text", "_row")]
     return joined.mapInArrow(_remove, ", ".join([*fields, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"]))
+
+
+def drop_repeats(docs: DataFrame, length: int = 240, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the text; all columns and rows stay.
+
+    A character that a cut splits goes whole. A null text stays null; a text that
+    is repeated from end to end becomes empty. ``chars_col``, where present, is set
+    to the new number of characters.
+    """
+    marked = docs.withColumn("_null", F.col(text_col).isNull())
+    rows = remove_repeats(marked, length, text_col)
+    whole = F.regexp_replace(F.expr("make_valid_utf8(CAST(kept AS STRING))"), "\\x{FFFD}", "")
+    cut = F.when(~F.col("_null"), F.when(F.col("n_removed") > 0, whole).otherwise(F.col("kept").cast("string")))
+    out = rows.withColumn(text_col, cut)
+    if chars_col in docs.columns:
+        kind = docs.schema[chars_col].dataType
+        out = out.withColumn(chars_col, F.when(~F.col("_null"), F.length(text_col)).otherwise(0).cast(kind))
+    return out.select(*docs.columns)
