@@ -145,3 +145,10 @@ SELECT doc_id, item_id, CAST(start AS BIGINT) AS first_word, CAST(size AS BIGINT
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(CAST(similarity AS DOUBLE), 12) DESC, start) AS r FROM s WHERE similarity >= 0.8 - 1e-9)
 WHERE r = 1
 """
+
+
+@query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assaymill.llm.html_template import extract_main
+
+    return extract_main(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
