@@ -152,3 +152,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assaymill.llm.html_template import extract_main
 
     return extract_main(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assaymill.llm.fingerprint import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
