@@ -75,6 +75,19 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.n
         first = last
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int, column: str = "_text") -> Iterator[pa.RecordBatch]:
+    """Join small batches until their text holds about ``size`` bytes."""
+    kept, held = [], 0
+    for batch in batches:
+        kept.append(batch)
+        held += batch.column(column).nbytes
+        if held >= size:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+            kept, held = [], 0
+    if kept:
+        yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+
 _powers: dict[str, np.ndarray] = {}
 
 

@@ -159,3 +159,12 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assaymill.llm.fingerprint import fingerprints
 
     return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assaymill.llm.katz import score_texts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_fold(5) != 1).alias("train"))
+    scored = score_texts(docs, "train")
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
