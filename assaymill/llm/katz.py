@@ -50,7 +50,7 @@ BUCKET_TOKENS = 3_000_000
 PIECE_BYTES = 8 << 20
 START, END = U64(hash_of_text(" start ")), U64(hash_of_text(" end "))  # no word holds a space
 OUTPUT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-_DOC, _HISTORY, _BACKOFF = 0, 1, 2
+_DOC, _HISTORY, _BACKOFF, _ROW = 0, 1, 2, 3
 _SUMS = ["n", "known", "a", "b", *(f"m{r}" for r in range(1, TOP + 2)), "large"]
 
 
@@ -138,6 +138,11 @@ def _packed(heavy: np.ndarray, buckets: int):
                 columns = [pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[c] for x in out], pa.binary()) for c in range(1, 6))]
                 known = rows[first:last].astype(np.int64).tobytes()
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([known] * len(out), pa.binary())], names=[*names, "rows"])
+                # The rows themselves travel along, so that their numbers are drawn only once.
+                flags = train[first:last] | (batch.column("_id").slice(first, last - first).is_null().to_numpy(zero_copy_only=False) << 1)
+                own_ids = batch.column("_id").slice(first, last - first).fill_null(0).to_numpy().tobytes()
+                one = [own_ids, b"", b"", b"", flags.astype(np.uint8).tobytes(), known]
+                yield pa.RecordBatch.from_arrays([pa.array([int(rows[first]) % buckets], pa.int32()), *(pa.array([x], pa.binary()) for x in one)], names=[*names, "rows"])
 
     return run
 
@@ -156,6 +161,10 @@ def _sums(unigrams: Unigrams):
     def bucket(blocks: list[dict]) -> Iterator[pa.RecordBatch]:
         word, before, doc, train = [], [], [], []
         for x in blocks:
+            if not x["n"]:
+                flags = np.frombuffer(x["docs"], np.uint8)
+                yield rows_of(_ROW, np.frombuffer(x["rows"], np.int64), np.frombuffer(x["w"], np.int64), n=flags & 1, known=flags >> 1)
+                continue
             w, n, h = np.frombuffer(x["w"], U64), np.frombuffer(x["n"], np.uint32), np.frombuffer(x["h"], U64)
             size = int(n.sum())
             word.append(np.repeat(w, n))
@@ -163,6 +172,8 @@ def _sums(unigrams: Unigrams):
             own = np.frombuffer(x["docs"], np.uint16 if len(x["docs"]) == 2 * size else np.uint32)
             doc.append(np.frombuffer(x["rows"], np.int64)[own >> 1])
             train.append((own & 1).astype(bool))
+        if not word:
+            return
         word, before, doc, train = (np.concatenate(x) for x in (word, before, doc, train))
         words, iw = np.unique(word, return_inverse=True)
         del word
@@ -247,22 +258,25 @@ def score_texts(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_co
     A-Z become lower case; tokens are runs of anything but ASCII white space, then
     one end. Null texts count as empty: one token, the end. A null ``train_col``
     is false. Without training rows every probability is the unknown word's.
-    Null ids and repeated rows are rows like any other; other columns are ignored.
+    Ids are integers; null ids and repeated rows are rows like any other. Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(train_col), F.lit(False)).alias("_train"), text_of(text_col).alias("_text")
+        F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(train_col), F.lit(False)).alias("_train"), text_of(text_col).alias("_text")
     )
-    ids = written(texts.select("_row", "_id", "_train"))
     unigrams, tokens, _ = count_words(texts)
     buckets = max(1, -(-tokens // BUCKET_TOKENS))
     shape = "bucket int, w binary, n binary, h binary, ih binary, docs binary, rows binary"
-    packed = texts.select("_row", "_train", "_text").mapInArrow(_packed(unigrams.heavy, buckets), shape)
+    packed = texts.mapInArrow(_packed(unigrams.heavy, buckets), shape)
     partial = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _sums(unigrams), "kind int, k1 bigint, k2 bigint, " + ", ".join(f"{c} {'double' if c in 'ab' else 'bigint'}" for c in _SUMS)
     )
     sums = written(partial.groupBy("kind", "k1", "k2").agg(*[F.sum(c).alias(c) for c in _SUMS]))
+    ids = sums.where(F.col("kind") == _ROW).select(
+        F.col("k1").alias("_row"), F.when(F.col("known") == 0, F.col("k2")).alias("_id"), (F.col("n") == 1).alias("_train")
+    )
     histories = sums.where(F.col("kind") == _HISTORY)
     counted = histories.agg(*[F.coalesce(F.sum(f"m{r}"), F.lit(0)).alias(f"m{r}") for r in range(1, TOP + 2)]).first()
     discount = discounts([0, *counted])
