@@ -107,9 +107,10 @@ def find_leaks(
     # Places in items by shingle, with the window that a hit suggests.
     places = written(items.select("size", F.posexplode(_any_width(F.col("words"), F.col("size"), widths)).alias("back", "h")).distinct())
     own = texts.withColumn("_words", word_hashes(F.col("_text")))
+    # An outer explode: the plain one would test the array's size first and build it twice.
     hits = []
     for width in widths:
-        found = own.select("_id", "_h", F.size("_words").alias("n"), F.posexplode(shingles(F.col("_words"), width)).alias("pos", "h"))
+        found = own.select("_id", "_h", F.size("_words").alias("n"), F.posexplode_outer(shingles(F.col("_words"), width)).alias("pos", "h"))
         hits.append(found.join(places.where(_width(F.col("size")) == width), "h"))
     start = F.least(F.greatest(F.col("pos") - F.col("back"), F.lit(0)), F.greatest(F.col("n") - F.col("size"), F.lit(0)))
     windows = reduce(DataFrame.unionByName, hits).select("_id", "_h", "size", start.alias("start")).distinct()
@@ -122,7 +123,8 @@ def find_leaks(
     sliced = cut.withColumn("hashes", F.array_distinct(_any_width(F.col("_words"), F.col("size"), widths))).drop("_words")
     weights = written(items.select(F.explode("weighted").alias("x")).select("x.h", "x.w").distinct())
     weighed = (
-        sliced.select("_id", "start", "size", F.explode("hashes").alias("h"))
+        sliced.select("_id", "start", "size", F.explode_outer("hashes").alias("h"))
+        .where("h IS NOT NULL")
         .join(weights, "h", "left")
         .groupBy("_id", "start", "size")
         .agg(F.collect_list(F.struct("h", F.coalesce("w", F.lit(1.0)).alias("w"))).alias("seen"), F.sum(F.coalesce("w", F.lit(1.0))).alias("seen_total"))

@@ -131,7 +131,7 @@ def _dealt(rows: DataFrame, level: int) -> DataFrame:
         return F.filter(c, lambda d: F.shiftrightunsigned(d, shift).bitwiseAND(F.lit(3).cast("long")) == k)
 
     parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(part("a", k).alias("a"), part("b", k).alias("b")))
-    return rows.select("_row", "kind", F.explode(parts).alias("x")).select("_row", "kind", "x.a", "x.b").where("size(a) + size(b) > 0")
+    return rows.select("_row", "kind", F.explode_outer(parts).alias("x")).select("_row", "kind", "x.a", "x.b").where("size(a) + size(b) > 0")
 
 
 def _part(bounds: list[int], value: Column) -> Column:
