@@ -50,6 +50,13 @@ def finite_rows(df: DataFrame, *columns: str) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [_bounded(F.col(c)) for c in columns]))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys appear once."""
+    other = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def finite_summary(df: DataFrame, *columns: str, by: Sequence[str] = (), min_n: int = 2) -> DataFrame:
     """How many rows the filter keeps and drops, and whether enough remain."""
     kept = all_finite(columns)

@@ -105,7 +105,8 @@ def daily_cap(df: DataFrame, cap: int, ts: str = "ts", row_id: str = "event_id",
     """Mark the first ``cap`` rows of every UTC day, by time and id.
 
     Counts per minute tell which minute a day's cap falls into; only the rows of
-    that one minute are sorted. ``used`` may bring the rows a day already has.
+    that one minute are sorted. ``used`` may bring the rows a day already has. A
+    row without a time belongs to no day and is not accepted.
     """
     rows = df.withColumns({"_day": utc_day(F.col(ts)), "_minute": F.date_trunc("minute", ts)})
     cells = rows.groupBy("_day", "_minute").agg(F.count(F.lit(1)).alias("_n"))
@@ -121,7 +122,8 @@ def daily_cap(df: DataFrame, cap: int, ts: str = "ts", row_id: str = "event_id",
     decided = placed.where(whole | none).withColumn("accepted", whole)
     split = Window.partitionBy("_day", "_minute").orderBy(ts, row_id)
     partly = placed.where(~(whole | none)).withColumn("accepted", F.col("_before") + F.row_number().over(split) <= cap)
-    return decided.unionByName(partly).drop("_day", "_minute", "_n", "_before")
+    undated = rows.where(F.col(ts).isNull()).drop("_day", "_minute").withColumn("accepted", F.lit(False))
+    return decided.unionByName(partly).drop("_day", "_minute", "_n", "_before").unionByName(undated)
 
 
 # --- rate limit with windows anchored at the first event ------------------------
@@ -138,6 +140,7 @@ def daily_cap(df: DataFrame, cap: int, ts: str = "ts", row_id: str = "event_id",
 # another on a common time axis, far enough apart not to touch.
 
 CHUNK_WINDOWS = 16
+MAX_CHUNK_MS = 86_400_000
 START = -(2**62)
 ROWS_PER_CALL = 100_000
 
@@ -233,10 +236,16 @@ def rate_limit(
     limit: int = DEFAULTS.rate_limit,
     window_ms: int = DEFAULTS.rate_window_ms,
 ) -> DataFrame:
-    """Mark the events a per-key limit lets through."""
-    chunk_ms = CHUNK_WINDOWS * window_ms
-    rows = df.withColumns({"_k": F.col(key).cast("string"), "_ms": F.unix_millis(ts)})
-    counts = rows.groupBy(F.col("_k").alias("key"), F.col("_ms").alias("ms")).agg(F.count(F.lit(1)).alias("n"))
+    """Mark the events a per-key limit lets through.
+
+    Events without a key share one client of their own. An event without a time
+    stands in no window: the limit lets it through, and ``intake`` rejects it.
+    """
+    # Short chunks for long windows, so that none spans weeks.
+    chunk_ms = max(window_ms, min(CHUNK_WINDOWS * window_ms, MAX_CHUNK_MS))
+    # A key is told apart from none by its first letter.
+    rows = df.withColumns({"_k": F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("")), "_ms": F.unix_millis(ts)})
+    counts = rows.where("_ms IS NOT NULL").groupBy(F.col("_k").alias("key"), F.col("_ms").alias("ms")).agg(F.count(F.lit(1)).alias("n"))
     counts = written(counts.withColumn("chunk", F.floor(F.col("ms") / chunk_ms)))
     moments = counts.count()
     summary = _calls(counts, ["key", "chunk"], moments).groupBy("call").applyInPandas(
@@ -256,16 +265,18 @@ def rate_limit(
     )
     same = Window.partitionBy("_k", "_ms").orderBy(row_id)
     out = rows.join(used, ["_k", "_ms"]).withColumn("allowed", F.col("_used") + F.row_number().over(same) <= limit)
-    return out.drop("_k", "_ms", "_used")
+    untimed = rows.where("_ms IS NULL").withColumn("allowed", F.lit(True))
+    return out.drop("_k", "_ms", "_used").unionByName(untimed.drop("_k", "_ms"))
 
 
 def intake(df: DataFrame, cfg: AuditConfig = DEFAULTS) -> DataFrame:
     """The whole chain in its order: rate limit, body, fields, daily cap.
 
-    Adds ``code`` (NULL when stored) and ``error_field``.
+    An event without a time is an invalid body. Adds ``code`` (NULL when stored) and ``error_field``.
     """
     limited = rate_limit(df, limit=cfg.rate_limit, window_ms=cfg.rate_window_ms)
-    fields = parsed_fields(limited.withColumn("_body", body_error(F.col("body"), cfg)))
+    timed = limited.withColumn("_body", F.when(F.col("ts").isNull(), INVALID).otherwise(body_error(F.col("body"), cfg)))
+    fields = parsed_fields(timed)
     wrong = field_error({n: F.col(f"{n}_given") for n in RANGES})
     judged = fields.withColumn("_wrong", F.when(F.col("_body").isNull(), wrong)).drop(*[f"{n}_given" for n in RANGES])
     code = (

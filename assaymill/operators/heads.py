@@ -22,9 +22,6 @@ from assaymill.operators import agreement as A
 from assaymill.operators import training as T
 
 HEADS = ("regression", "binary", "severity", "ordinal")
-GRID = (0.001, 0.01, 0.1, 1.0)
-MAX_ITERATIONS = 25
-TOLERANCE = 1e-4
 
 
 @dataclass(frozen=True)
@@ -36,6 +33,7 @@ class Head:
     regularisation: float
     centres: tuple[float, ...] = ()
     classes: tuple[int, ...] = field(default=())
+    converged: bool = True
 
     def predict(self, df: DataFrame, out: str = "y_pred") -> DataFrame:
         scored = self.model.transform(df.withColumn("_x", array_to_vector("features")))
@@ -53,24 +51,28 @@ def _classes(head: str, cfg: AuditConfig) -> tuple[Column, int]:
     return severity_index(severity_band(F.col("y"), F.col("sex"), cfg)), len(SEVERITY_CLASSES)
 
 
+def _converged(model, cfg: AuditConfig) -> bool:
+    return model.summary.totalIterations < cfg.fit_iterations
+
+
 def fit(train: DataFrame, head: str, regularisation: float = 0.01, cfg: AuditConfig = DEFAULTS) -> Head:
     """Fit one head on rows with ``features`` (array), ``y`` and ``sex``."""
     data = train.withColumn("_x", array_to_vector("features"))
     if head == "regression":
         model = LinearRegression(
-            featuresCol="_x", labelCol="y", loss="huber", regParam=regularisation, maxIter=MAX_ITERATIONS, tol=TOLERANCE
+            featuresCol="_x", labelCol="y", loss="huber", regParam=regularisation, maxIter=cfg.fit_iterations, tol=cfg.fit_tolerance
         ).fit(data)
-        return Head(head, model, regularisation)
+        return Head(head, model, regularisation, converged=_converged(model, cfg))
     if head == "ordinal":
         # Soft-target cross-entropy: one row per class, weighted by its share.
         k = len(cfg.centres)
         soft = prob.soft_label(data, "y", "_w", cfg.centres, cfg.soft_sigma)
-        long = soft.select("_x", F.posexplode("_w").alias("label", "weight")).where("weight > 1e-12")
+        long = soft.select("_x", F.posexplode("_w").alias("label", "weight")).where("weight > 0")
         model = LogisticRegression(
             featuresCol="_x", labelCol="label", weightCol="weight", family="multinomial",
-            regParam=regularisation, maxIter=MAX_ITERATIONS, tol=TOLERANCE,
+            regParam=regularisation, maxIter=cfg.fit_iterations, tol=cfg.fit_tolerance,
         ).fit(long)
-        return Head(head, model, regularisation, tuple(cfg.centres)[: model.numClasses], tuple(range(k)))
+        return Head(head, model, regularisation, tuple(cfg.centres)[: model.numClasses], tuple(range(k)), _converged(model, cfg))
     if head in ("binary", "severity"):
         klass, k = _classes(head, cfg)
         weights = T.class_weights(train, klass, k)
@@ -78,21 +80,21 @@ def fit(train: DataFrame, head: str, regularisation: float = 0.01, cfg: AuditCon
         weighted = data.withColumns({"label": klass, "weight": T.weight_lookup(weights, klass)})
         model = LogisticRegression(
             featuresCol="_x", labelCol="label", weightCol="weight", family="multinomial",
-            regParam=regularisation, maxIter=MAX_ITERATIONS, tol=TOLERANCE,
+            regParam=regularisation, maxIter=cfg.fit_iterations, tol=cfg.fit_tolerance,
         ).fit(weighted)
-        return Head(head, model, regularisation, tuple(centres[i] for i in range(model.numClasses)))
+        return Head(head, model, regularisation, tuple(centres[i] for i in range(model.numClasses)), converged=_converged(model, cfg))
     raise ValueError(f"unknown head {head!r}")
 
 
 def score(head: Head, rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return A.agreement(head.predict(rows), "y", "y_pred", by).withColumn("head", F.lit(head.name))
+    return A.agreement(head.predict(rows), "y", "y_pred", by).withColumns({"head": F.lit(head.name), "converged": F.lit(head.converged)})
 
 
-def choose(rows: DataFrame, head: str, grid: Sequence[float] = GRID, cfg: AuditConfig = DEFAULTS) -> Head:
+def choose(rows: DataFrame, head: str, grid: Sequence[float] | None = None, cfg: AuditConfig = DEFAULTS) -> Head:
     """Fit every regularisation on train, keep the lowest validation error."""
     train, val = rows.where("split = 'train'").cache(), rows.where("split = 'val'").cache()
     try:
-        fits = [fit(train, head, g, cfg) for g in grid]
+        fits = [fit(train, head, g, cfg) for g in grid or cfg.regularisations]
         errors = [A.headline(h.predict(val), "y").first()["mae"] for h in fits]
     finally:
         train.unpersist()

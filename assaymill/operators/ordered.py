@@ -10,8 +10,12 @@ sorts everything in one task. Here the value range is cut into buckets first:
    over that small table says what lies before each bucket;
 3. a window inside a bucket, plus the offset, gives the exact global answer.
 
-Cut points decide only how work is divided, never a result. When single
-positions are wanted, only the buckets that hold them are shuffled at all.
+Cut points decide only how work is divided, never a result; their number follows
+from the number of rows. When single positions are wanted, only the buckets that
+hold them are shuffled at all.
+
+Rows without a finite value have no place in the order: they are not counted, and
+their rank is NULL. A NULL group is a group.
 """
 
 from __future__ import annotations
@@ -24,17 +28,19 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaymill.operators.clean import finite, finite_rows, join_null_safe
 from assaymill.session import written
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 2048
-TIE_DIGITS = 3
+# Quantiles asked for at least, so that frequent values show.
+QUANTILES = 2048
 
 
 @dataclass(frozen=True)
 class Cuts:
     splits: list[float]
     frequent: list[int]
+    buckets: int = 1
 
     def assign(self, df: DataFrame, column: str) -> DataFrame:
         out = Bucketizer(splits=self.splits, inputCol=column, outputCol="_bucket").transform(df)
@@ -46,15 +52,13 @@ class Cuts:
 
 def cut_points(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> Cuts:
     """Cut points from one pass of approximate quantiles."""
-    probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    row = df.agg(
-        F.count(column).alias("n"), F.percentile_approx(column, probs, 4 * MAX_BUCKETS).alias("q")
-    ).first()
-    n, quantiles = (row["n"] or 0), (row["q"] or [])
-    spark = df.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(MAX_BUCKETS, max(math.ceil(n / rows_per_bucket), min(least, n))))
-    step = MAX_BUCKETS / buckets
+    n = df.agg(F.count(column)).first()[0]
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, math.ceil(n / rows_per_bucket), min(least, n))
+    number = max(QUANTILES, 2 * buckets)
+    probs = [i / number for i in range(1, number)]
+    quantiles = df.agg(F.percentile_approx(column, probs, 4 * number)).first()[0] or []
+    step = number / buckets
     kept = {float(quantiles[min(len(quantiles) - 1, round(i * step) - 1)]) for i in range(1, buckets)} if quantiles else set()
     share: dict[float, int] = {}
     for q in quantiles:
@@ -62,15 +66,20 @@ def cut_points(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKE
     heavy = {v for v, hits in share.items() if hits >= 2 * step and hits >= 2}
     inner = sorted(kept | heavy | {math.nextafter(v, math.inf) for v in heavy})
     splits = [-math.inf, *(inner or [0.0]), math.inf]
-    return Cuts(splits, [splits.index(v) for v in sorted(heavy)])
+    return Cuts(splits, [splits.index(v) for v in sorted(heavy)], buckets)
 
 
 def _tie(row_id: str) -> Column:
     return F.md5(F.col(row_id).cast("string"))
 
 
+def hex_digits(parts: int) -> int:
+    """Digits of a hexadecimal hash that give at least ``parts`` different prefixes, and never under 4096."""
+    return max(3, math.ceil(math.log(max(1, parts), 16)))
+
+
 def _divided(df: DataFrame, column: str, row_id: str, cuts: Cuts) -> DataFrame:
-    part = F.when(cuts.is_frequent(), F.substring(_tie(row_id), 1, TIE_DIGITS)).otherwise("")
+    part = F.when(cuts.is_frequent(), F.substring(_tie(row_id), 1, hex_digits(cuts.buckets))).otherwise("")
     return cuts.assign(df, column).withColumn("_part", part)
 
 
@@ -101,6 +110,8 @@ def rows_at(
     positions from 1. Result: group, ``label``, ``position``, ``n``, ``value`` and
     for each sum its total over all rows up to the position.
     """
+    # Read several times below, so the few columns are written once.
+    df = written(finite_rows(df.select(*by, row_id, column, *[s for s in sums if s not in (column, row_id, *by)]), column))
     cuts = cut_points(df, column, rows_per_bucket)
     keys = ["_bucket", "_part"]
     split = _divided(df, column, row_id, cuts)
@@ -115,7 +126,7 @@ def rows_at(
     # positions in a second small join.
     offsets = hits.select(*by, *keys, "_before", *[f"_before_{s}" for s in sums])
     asked = hits.select(*by, F.col("_total").alias("n"), F.inline("_ask"))
-    inside = split.join(offsets, [*by, *keys])
+    inside = join_null_safe(split, offsets, [*by, *keys])
     order = Window.partitionBy(*by, *keys).orderBy(column, _tie(row_id), row_id)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = inside.select(
@@ -124,18 +135,18 @@ def rows_at(
         (F.col("_before") + F.row_number().over(order)).cast("long").alias("position"),
         *[(F.col(f"_before_{s}") + F.sum(s).over(upto)).alias(f"{s}_upto") for s in sums],
     )
-    return ranked.join(asked, [*by, "position"])
+    return join_null_safe(ranked, asked, [*by, "position"])
 
 
-def average_rank(
-    df: DataFrame, column: str, row_id: str, out: str, by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET
-) -> DataFrame:
-    """Rank from 1 with ties sharing their mean rank."""
+def _cells(df: DataFrame, column: str, by: Sequence[str], rows_per_bucket: int) -> tuple[Cuts, DataFrame]:
     cuts = cut_points(df, column, rows_per_bucket)
+    return cuts, written(_offsets(cuts.assign(df, column), by, ["_bucket"]).select(*by, "_bucket", "_n", "_before"))
+
+
+def _ranked(df: DataFrame, column: str, row_id: str, out: str, by: Sequence[str], cuts: Cuts, cells: DataFrame) -> DataFrame:
     base = cuts.assign(df, column)
-    cells = written(_offsets(base, by, ["_bucket"]).select(*by, "_bucket", "_n", "_before"))
-    salt = F.when(cuts.is_frequent(), F.pmod(F.xxhash64(row_id), F.lit(MAX_BUCKETS))).otherwise(F.lit(0))
-    rows = base.withColumn("_salt", salt).join(cells, [*by, "_bucket"])
+    salt = F.when(cuts.is_frequent(), F.pmod(F.xxhash64(row_id), F.lit(max(QUANTILES, cuts.buckets)))).otherwise(F.lit(0))
+    rows = join_null_safe(base.withColumn("_salt", salt), cells, [*by, "_bucket"])
     inside = Window.partitionBy(*by, "_bucket", "_salt")
     ties = Window.partitionBy(*by, "_bucket", "_salt", column)
     rank = F.rank().over(inside.orderBy(column)) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
@@ -144,12 +155,25 @@ def average_rank(
     return rows.withColumn(out, placed.cast("double")).drop("_bucket", "_salt", "_n", "_before")
 
 
+def average_rank(
+    df: DataFrame, column: str, row_id: str, out: str, by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Rank from 1 with ties sharing their mean rank; NULL where the value is not finite."""
+    known = finite_rows(df, column)
+    ranked = _ranked(known, column, row_id, out, by, *_cells(known, column, by, rows_per_bucket))
+    rest = df.where(~finite(F.col(column))).withColumn(out, F.lit(None).cast("double"))
+    return ranked.unionByName(rest)
+
+
 def spearman(df: DataFrame, a: str, b: str, row_id: str, by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Rank correlation over the rows where both values are finite."""
     from assaymill.operators.agreement import grouped, pearson
 
-    slim = df.select(*by, row_id, a, b)
-    ranked = average_rank(slim, a, row_id, "_ra", by, rows_per_bucket)
-    ranked = average_rank(ranked, b, row_id, "_rb", by, rows_per_bucket)
+    slim = written(finite_rows(df.select(*by, row_id, a, b), a, b))
+    ranked = slim
+    for column, out in ((a, "_ra"), (b, "_rb")):
+        # Cut points and offsets come from the written rows, not from the first ranking.
+        ranked = _ranked(ranked, column, row_id, out, by, *_cells(slim, column, by, rows_per_bucket))
     return grouped(ranked, by, False, F.count(a).alias("n"), pearson(F.col("_ra"), F.col("_rb")).alias("spearman_rho"))
 
 
@@ -210,5 +234,5 @@ def positions(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[
     base = df.withColumn("_bucket", bucket)
     cells = written(_offsets(base, by, ["_bucket"]).select(*by, "_bucket", "_before", "_total"))
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    ranked = base.join(cells, [*by, "_bucket"]).withColumn(out, F.col("_before") + F.row_number().over(inside))
+    ranked = join_null_safe(base, cells, [*by, "_bucket"]).withColumn(out, F.col("_before") + F.row_number().over(inside))
     return ranked.withColumnRenamed("_total", f"{out}_of").drop("_bucket", "_before")

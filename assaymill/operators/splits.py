@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaymill.config import DEFAULTS
-from assaymill.operators.ordered import positions
-
-BUCKET_DIGITS = 3
+from assaymill.operators.ordered import ROWS_PER_BUCKET, hex_digits, positions
+from assaymill.session import written
 
 
 def shuffle_key(row_id: str, seed: int = DEFAULTS.seed) -> Column:
@@ -22,9 +21,16 @@ def shuffle_key(row_id: str, seed: int = DEFAULTS.seed) -> Column:
 
 
 def shuffled(df: DataFrame, row_id: str, by: Sequence[str] = (), seed: int = DEFAULTS.seed) -> DataFrame:
-    """Distinct ids with their place (from 0) in a seeded order of each group."""
-    ids = df.select(row_id, *by).dropDuplicates([row_id]).withColumn("_key", shuffle_key(row_id, seed))
-    placed = positions(ids, by, F.substring("_key", 1, BUCKET_DIGITS), ["_key", row_id], "_place")
+    """Distinct ids with their place (from 0) in a seeded order of each group.
+
+    NULL is a group. An id that is listed with several groups takes the smallest.
+    """
+    ids = df.select(row_id, *by).distinct()
+    if by:
+        ids = ids.groupBy(row_id).agg(F.min(F.struct(*by)).alias("_by")).select(row_id, "_by.*")
+    ids = ids.withColumn("_key", shuffle_key(row_id, seed))
+    digits = hex_digits(-(-df.count() // ROWS_PER_BUCKET))
+    placed = positions(ids, by, F.substring("_key", 1, digits), ["_key", row_id], "_place")
     return placed.withColumn("_place", F.col("_place") - 1).withColumnRenamed("_place_of", "_size").drop("_key")
 
 
@@ -68,14 +74,15 @@ def stratified_split(
 
     Turn i takes from stratum ``i % S``; validation is filled first, then test.
     The place of an id in the dealing order follows from its place inside its
-    stratum and the sizes of the strata, so no global sort is needed.
+    stratum and the sizes of the strata, so no global sort is needed. NULL is a
+    stratum, the first one.
     """
-    rows = shuffled(df.where(F.col(stratum).isNotNull()), row_id, [stratum], seed)
-    sizes = df.where(F.col(stratum).isNotNull()).select(row_id, stratum).dropDuplicates([row_id])
-    sizes = sizes.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
-    table = sizes.agg(F.array_sort(F.collect_list(F.struct(F.col(stratum).alias("s"), "n")))).scalar()
+    rows = written(shuffled(df, row_id, [stratum], seed))
+    known = F.struct(F.col(stratum).isNotNull().alias("known"), F.col(stratum).alias("s"))
+    sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
+    table = sizes.agg(F.array_sort(F.collect_list(F.struct(known.alias("s"), "n")))).scalar()
     rows = rows.withColumn("_strata", table)
-    s, place = F.col(stratum), F.col("_place")
+    s, place = known, F.col("_place")
     ahead = F.aggregate(
         "_strata",
         F.lit(0).cast("long"),
@@ -113,7 +120,18 @@ def site_holdout(df: DataFrame, row_id: str, site: str, sites: Sequence[str]) ->
     return known.select(row_id, F.inline(cells)).select("fold", row_id, "split")
 
 
-def without_site(df: DataFrame, row_id: str, site: str) -> DataFrame:
-    """Rows a site holdout would lose: no label, or a blank one."""
+def holdout_sizes(df: DataFrame, site: str, sites: Sequence[str]) -> DataFrame:
+    """(fold, n_train, n_test) of every ordered pair, from one count per site; 0 where a site has no rows."""
+    counts = df.where(F.col(site).isin(*sites)).groupBy(F.col(site).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    listed = df.sparkSession.createDataFrame([(s,) for s in sites], "s string").join(counts, "s", "left").select("s", F.coalesce("n", F.lit(0)).alias("n"))
+    a, b = listed.alias("a"), listed.alias("b")
+    pairs = a.join(b, F.col("a.s") != F.col("b.s"))
+    return pairs.select(F.concat("a.s", F.lit("->"), "b.s").alias("fold"), F.col("a.n").alias("n_train"), F.col("b.n").alias("n_test"))
+
+
+def without_site(df: DataFrame, row_id: str, site: str, sites: Sequence[str] | None = None) -> DataFrame:
+    """Rows a site holdout loses: no label, a blank one, or one that ``sites`` does not list."""
     reason = F.when(F.col(site).isNull(), "missing").when(F.trim(site) == "", "blank")
+    if sites is not None:
+        reason = reason.when(~F.col(site).isin(*sites), "unlisted")
     return df.select(row_id, reason.alias("reason")).where(F.col("reason").isNotNull())

@@ -65,6 +65,10 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     return S.stratified_split(_banded(spark, sf), "patient_id", "band")
 
 
+def _sites(people: DataFrame) -> list[str]:
+    return sorted(row["site"] for row in people.select("site").where("site IS NOT NULL").distinct().collect())
+
+
 @query(
     "site_holdout_folds",
     "W11 X8",
@@ -72,23 +76,21 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     SELECT concat(a.site, '->', b.site) AS fold, a.n AS n_train, b.n AS n_test FROM g a JOIN g b ON a.site <> b.site""",
 )
 def site_holdout_folds(spark: SparkSession, sf: str) -> DataFrame:
-    folds = S.site_holdout(PATIENTS.frame(spark, sf), "patient_id", "site", REGION_SITES)
-    return folds.groupBy("fold").agg(
-        F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test")
-    )
+    people = PATIENTS.frame(spark, sf)
+    return S.holdout_sizes(people, "site", _sites(people))
 
 
 @query(
     "site_holdout_rejects",
     "W11: rows a holdout would lose",
-    f"""SELECT patient_id, CASE WHEN s IS NULL THEN 'missing' ELSE 'blank' END AS reason FROM (SELECT patient_id,
-    CASE WHEN key % 10 = 3 THEN NULL WHEN key % 10 = 4 THEN '  ' ELSE site END AS s FROM {P})
-    WHERE s IS NULL OR trim(s) = ''""",
+    f"""SELECT patient_id, CASE WHEN s IS NULL THEN 'missing' WHEN trim(s) = '' THEN 'blank' ELSE 'unlisted' END AS reason
+    FROM (SELECT patient_id, CASE WHEN key % 10 = 3 THEN NULL WHEN key % 10 = 4 THEN '  ' WHEN key % 10 = 5 THEN 'ELSEWHERE' ELSE site END AS s
+    FROM {P}) WHERE s IS NULL OR trim(s) = '' OR s = 'ELSEWHERE'""",
 )
 def site_holdout_rejects(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("key") % 10
-    df = PATIENTS.frame(spark, sf).withColumn("site", F.when(k == 3, F.lit(None)).when(k == 4, "  ").otherwise(F.col("site")))
-    return S.without_site(df, "patient_id", "site")
+    df = PATIENTS.frame(spark, sf).withColumn("site", F.when(k == 3, F.lit(None)).when(k == 4, "  ").when(k == 5, "ELSEWHERE").otherwise(F.col("site")))
+    return S.without_site(df, "patient_id", "site", REGION_SITES)
 
 
 # --- integrity ----------------------------------------------------------------
@@ -562,12 +564,12 @@ def site_stats(spark: SparkSession, sf: str) -> DataFrame:
     "band_histogram",
     "A37 J14",
     f"""WITH b(band) AS (VALUES ('normal'), ('mild'), ('moderate'), ('severe')),
-    c AS (SELECT {BAND} AS band, count(*) AS n FROM {P} WHERE value >= 7 GROUP BY 1)
+    c AS (SELECT CASE WHEN value < 7 THEN 'moderate' ELSE {BAND} END AS band, count(*) AS n FROM {P} GROUP BY 1)
     SELECT band, coalesce(n, 0) AS n, {r('coalesce(100.0e0*n/(SELECT sum(n) FROM c), 0)', 'share_pct')}
     FROM b LEFT JOIN c USING (band)""",
 )
 def band_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return published(C.band_histogram(PATIENTS.frame(spark, sf).where("value >= 7")))
+    return published(C.band_histogram(PATIENTS.frame(spark, sf).withColumn("value", F.greatest("value", F.lit(7.0)))))
 
 
 # --- validation suite ---------------------------------------------------------
@@ -618,15 +620,14 @@ BANDS = f"""SELECT 'severity band ' || band AS label, true AS passed, CASE WHEN
  LEFT JOIN (SELECT {BAND} AS band FROM {P}) c ON b.band = c.band GROUP BY b.band)"""
 HOLDOUT = f"""SELECT 'holdout ' || a || '->' || b || ' evaluates records' AS label, n > 0 AS passed,
  CASE WHEN n > 0 THEN 'OK' ELSE 'FAIL' END AS severity, cast(n AS VARCHAR) AS detail FROM (SELECT a, b, count(p.site) AS n FROM
- (VALUES ('NATION_0', 'NATION_1'), ('NATION_1', 'NATION_0')) v(a, b) LEFT JOIN {P} p ON p.site = v.b GROUP BY a, b)"""
+ (SELECT x.site AS a, y.site AS b FROM (SELECT DISTINCT site FROM {P}) x JOIN (SELECT DISTINCT site FROM {P}) y ON x.site <> y.site) v
+ LEFT JOIN {P} p ON p.site = v.b GROUP BY a, b)"""
 
 
 def _suite(spark: SparkSession, sf: str) -> DataFrame:
     people = PATIENTS.frame(spark, sf)
-    folds = S.site_holdout(people, "patient_id", "site", REGION_SITES)
-    return K.suite(
-        K.domain_checks(people, REGION_SITES), K.band_checks(people), K.holdout_checks(folds, REGION_SITES[:2])
-    )
+    sizes = S.holdout_sizes(people, "site", _sites(people))
+    return K.suite(K.domain_checks(people, REGION_SITES), K.band_checks(people), K.holdout_checks(sizes))
 
 
 @query("validation_suite", "X7 X8 A37", f"{DOMAIN} UNION ALL {BANDS} UNION ALL {HOLDOUT}")

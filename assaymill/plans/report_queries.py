@@ -317,7 +317,7 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
 @query("head_fits", "L1 L2 L3 L4 L5: chosen on validation, test scored once")
 def head_fits(spark: SparkSession, sf: str) -> DataFrame:
     rows, ledger = _features(spark, sf), shared_folder(spark)
-    parts = [H.score_test_once(H.choose(rows, name, (0.01, 0.1)), rows, ledger, name) for name in H.HEADS]
+    parts = [H.score_test_once(H.choose(rows, name), rows, ledger, name) for name in H.HEADS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -16,17 +16,23 @@ from assaymill.operators.clean import nan_to_null, rename_by_alias
 NUMERIC = ("y_true", "y_pred", "ita", "confidence", "sigma", "age")
 
 
-def read_predictions(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_predictions(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
     """CSV, JSON or Parquet by suffix, with logical column names and NULL for NaN.
 
     Text formats are read as text and cast, so no pass is spent on guessing types.
+    JSON has one record per line, whatever its suffix; a file that is one array
+    needs ``multi_line`` (and is read by one task), and is refused without it.
     """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "csv":
         df = reader.option("header", True).csv(path)
     elif kind in ("json", "jsonl", "ndjson"):
-        df = reader.option("multiLine", kind == "json").option("primitivesAsString", True).json(path)
+        df = reader.option("multiLine", multi_line).option("primitivesAsString", True).json(path)
+        if "_corrupt_record" in df.columns:
+            raise ValueError(f"{path!r} has records that are no JSON line; an array needs multi_line=True")
     elif kind == "parquet":
         df = reader.parquet(path)
     else:

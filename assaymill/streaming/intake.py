@@ -102,6 +102,7 @@ def limited(events: DataFrame, limit: int, window_ms: int, late: str = "1 minute
     window has closed below the watermark is forgotten.
     """
 
+    # NULL is a key of its own, as in the batch form.
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
