@@ -1,13 +1,15 @@
 """Structured Streaming form of event intake.
 
-Every query checkpoints below the shared folder and writes files named after the
-batch, so a repeated batch replaces its own output.
+Every query keeps its checkpoint beside its output and writes files named after
+the batch: a repeated batch replaces its own output, and a query that is started
+again on the same folder goes on where it stopped, with its caps and limits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assaymill.config import AuditConfig, DEFAULTS
 from assaymill.operators import events as E
-from assaymill.session import shared_folder
 
 
 def stamped(events: DataFrame, arrival: str = "ts") -> DataFrame:
@@ -23,11 +24,11 @@ def stamped(events: DataFrame, arrival: str = "ts") -> DataFrame:
     return events.withColumn(arrival, F.current_timestamp())
 
 
-def _run(stream: DataFrame, each, mode: str = "append") -> None:
+def _run(stream: DataFrame, folder: str, each, mode: str = "append") -> None:
     query = (
         stream.writeStream.foreachBatch(each)
         .outputMode(mode)
-        .option("checkpointLocation", shared_folder(stream.sparkSession))
+        .option("checkpointLocation", f"{folder}/_checkpoint")
         .trigger(availableNow=True)
         .start()
     )
@@ -47,7 +48,7 @@ def route(bodies: DataFrame, folder: str, cfg: AuditConfig = DEFAULTS) -> None:
         marked = batch.withColumn("accepted", F.col("code").isNull())
         marked.write.mode("overwrite").partitionBy("accepted").parquet(f"{folder}/batch={number}")
 
-    _run(judged, each)
+    _run(judged, folder, each)
 
 
 def routed(spark, folder: str) -> DataFrame:
@@ -73,7 +74,7 @@ def capped(events: DataFrame, folder: str, cap: int) -> None:
             taken = taken.unionByName(used).groupBy("day").agg(F.sum("n").alias("n"))
         taken.write.mode("overwrite").parquet(f"{folder}/taken/batch={number}")
 
-    _run(events, each)
+    _run(events, folder, each)
 
 
 def counted(events: DataFrame, folder: str, late: str = "1 day") -> None:
@@ -86,7 +87,7 @@ def counted(events: DataFrame, folder: str, late: str = "1 day") -> None:
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    _run(table, each, "complete")
+    _run(table, folder, each, "complete")
 
 
 def newest(spark, folder: str) -> DataFrame:
@@ -108,29 +109,37 @@ def limited(events: DataFrame, limit: int, window_ms: int, late: str = "1 minute
             state.remove()
             return
         reset, used = state.get if state.exists else (E.START, 0)
-        rows = pd.concat(list(parts), ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
-        allowed = []
-        for ms in rows["ms"]:
-            if ms > reset:
-                reset, used = int(ms) + window_ms, 0
-            used += 1
-            allowed.append(used <= limit)
+        rows = pd.concat(list(parts), ignore_index=True).sort_values(["ms", "event_id"], ignore_index=True)
+        ms = rows["ms"].to_numpy(dtype=np.int64)
+        at = int(np.searchsorted(ms, reset, side="right"))
+        allowed = np.empty(len(ms), bool)
+        allowed[:at] = used + np.arange(1, at + 1) <= limit
+        used += at
+        while at < len(ms):  # one step per window, not per row
+            reset = int(ms[at]) + window_ms
+            end = int(np.searchsorted(ms, reset, side="right"))
+            used = end - at
+            allowed[at:end] = np.arange(1, used + 1) <= limit
+            at = end
         state.update((reset, used))
         state.setTimeoutTimestamp(max(reset, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "allowed": allowed})
 
-    keyed = events.withWatermark("ts", late).select("key", "event_id", "ts", F.unix_millis("ts").alias("ms"))
-    return keyed.groupBy("key").applyInPandasWithState(
+    keyed = events.where("ts IS NOT NULL").withWatermark("ts", late).select("key", "event_id", "ts", F.unix_millis("ts").alias("ms"))
+    # As in the batch form, an event without a time stands in no window.
+    untimed = events.where("ts IS NULL").select("key", "event_id", F.lit(True).alias("allowed"))
+    timed = keyed.groupBy("key").applyInPandasWithState(
         step,
         "key string, event_id long, allowed boolean",
         "reset long, used long",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
+    return timed.unionByName(untimed)
 
 
 def store(stream: DataFrame, folder: str) -> None:
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    _run(stream, each)
+    _run(stream, folder, each)
