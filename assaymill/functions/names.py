@@ -136,9 +136,10 @@ def normal_site(cell: Column, sites: tuple[str, ...] = SITES, stems: dict[str, s
 
 
 def number_key(cell: Column) -> Column:
-    """Folder and sheet numbers meet here: leading zeros are dropped."""
+    """Folder and sheet numbers meet here: leading zeros and decimals (``93.0``) are dropped."""
     text = F.trim(cell)
-    return F.when(F.rlike(text, F.lit("^[0-9]+$")), F.regexp_replace(text, "^0+(?=[0-9])", "")).otherwise(text)
+    whole = F.regexp_replace(F.regexp_replace(text, r"\.[0-9]*$", ""), "^0+(?=[0-9])", "")
+    return F.when(F.rlike(text, F.lit(r"^[0-9]+(\.[0-9]*)?$")), whole).otherwise(text)
 
 
 def qualified(site: Column, local: Column) -> Column:

@@ -385,6 +385,33 @@ def typed_labels(spark: SparkSession, sf: str) -> DataFrame:
     return df.withColumn("value", F.round("value", 4)).withColumn("row_pos", F.col("row_pos").cast("long"))
 
 
+SHEET_HEADERS = {
+    "India": {"patient_id": "Number", "hb": "Hgb", "sex": "Gender", "age": "Age (years)", "note": "Remarks", "flag": "flag"},
+    "Italy": {"patient_id": "Patient ID", "hb": "Hb (g/dL)", "sex": "Sex", "age": "AGE", "note": "Note", "flag": "flag"},
+}
+
+
+@query(
+    "label_sheets_from_files",
+    "S2 F1 F8: sheets with other headers, decimal numbers and no site column, read from files",
+    f"""SELECT site, number, value, reject_reason, in_range, sex, age, note, marker, marker_column FROM {TYPED} WHERE site <> 'unknown'""",
+)
+def label_sheets_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    from assaymill.session import shared_folder
+    from assaymill.sources.labels import read_sheets
+
+    folder, df = shared_folder(spark), LABELS.frame(spark, sf)
+    number = F.when(F.rlike(F.trim("patient_id"), F.lit("^[0-9]+$")), F.concat(F.trim("patient_id"), F.lit(".0"))).otherwise(F.col("patient_id"))
+    paths = []
+    for site, headers in SHEET_HEADERS.items():
+        rows = df.where(names.normal_site(F.col("site")) == site).withColumn("patient_id", number)
+        paths.append(f"{folder}/{site}_labels.csv")
+        out = rows.select(*[F.col(c).alias(h) for c, h in headers.items()]).write.option("header", True).option("escape", '"')
+        out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(paths[-1])
+    typed = C.typed_labels(read_sheets(spark, paths)).withColumn("value", F.round("value", 4))
+    return typed.drop("row_pos")
+
+
 LAST = f"""(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY site, number) AS n_rows,
  row_number() OVER (PARTITION BY site, number ORDER BY row_pos DESC) AS rn FROM {TYPED}) WHERE rn = 1)"""
 
