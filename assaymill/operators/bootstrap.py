@@ -1,4 +1,4 @@
-"""Bootstrap interval of the mean difference.
+"""Block bootstrap interval of the mean difference.
 
 Rows are assigned to random blocks by a hash of their id and reduced to one sum
 per block, so one pass over the table is followed by work that depends only on
@@ -65,10 +65,10 @@ def bias_interval(
     stats = drawn.join(written(blocks), "block").groupBy(*by, "rep").agg(
         (F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("m"))).alias("stat")
     )
-    return _percentiles(stats, by)
+    return _percentiles(stats, by, "poisson block", n_blocks)
 
 
-def bias_interval_exact(
+def bias_interval_multinomial(
     df: DataFrame,
     row_id: str,
     truth: str = "y_true",
@@ -89,10 +89,10 @@ def bias_interval_exact(
     stats = counts.join(written(blocks), "block").groupBy(*by, "rep").agg(
         (F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("m"))).alias("stat")
     )
-    return _percentiles(stats, by)
+    return _percentiles(stats, by, "multinomial block", n_blocks)
 
 
-def _percentiles(stats: DataFrame, by: Sequence[str]) -> DataFrame:
+def _percentiles(stats: DataFrame, by: Sequence[str], method: str, n_blocks: int) -> DataFrame:
     # One value per replicate: the group size is the replicate count.
     return grouped(
         stats,
@@ -102,4 +102,6 @@ def _percentiles(stats: DataFrame, by: Sequence[str]) -> DataFrame:
         F.avg("stat").alias("boot_mean"),
         F.percentile("stat", F.lit(0.025)).alias("ci_low"),
         F.percentile("stat", F.lit(0.975)).alias("ci_high"),
+        F.lit(method).alias("method"),
+        F.lit(n_blocks).alias("n_blocks"),
     )

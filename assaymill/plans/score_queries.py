@@ -396,7 +396,7 @@ BOOT = f"""count(stat) AS replicates, {r('avg(stat)', 'boot_mean')},
     h AS (SELECT rep, block, {WEIGHT} AS w FROM (SELECT rep, block, {_unit('42', 'rep', 'block')} AS u
           FROM range(2000) a(rep), range(1024) c(block))),
     s AS (SELECT site, rep, sum(w*s)/sum(w*m) AS stat FROM h JOIN b USING (block) GROUP BY site, rep)
-    SELECT site, {BOOT} FROM s GROUP BY site""",
+    SELECT site, {BOOT}, 'poisson block' AS method, 1024 AS n_blocks FROM s GROUP BY site""",
 )
 def bias_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return published(B.bias_interval(PRED.frame(spark, sf), "id", by=["site"]))
@@ -409,10 +409,10 @@ def bias_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     h AS (SELECT rep, cast(floor({_unit('42', 'rep', 'draw')} * 256) AS BIGINT) AS block
           FROM range(2000) a(rep), range(256) c(draw)),
     s AS (SELECT rep, sum(s)/sum(m) AS stat FROM h JOIN b USING (block) GROUP BY rep)
-    SELECT {BOOT} FROM s""",
+    SELECT {BOOT}, 'multinomial block' AS method, 256 AS n_blocks FROM s""",
 )
 def bias_bootstrap_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return published(B.bias_interval_exact(PRED.frame(spark, sf), "id"))
+    return published(B.bias_interval_multinomial(PRED.frame(spark, sf), "id"))
 
 
 # --- scalar functions ---------------------------------------------------------

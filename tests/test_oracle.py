@@ -6,7 +6,6 @@ from __spark_entry__ import entry, oracle_sql, queries
 from verify import compare, connect
 
 QUERIES = queries()
-SLOW = {"head_fits"}
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +13,7 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, sf, name):
     ok, text = compare(spark, con, QUERIES[name], oracle_sql().get(name), sf)
     assert ok or text.startswith("0 rows equal"), text
