@@ -66,6 +66,10 @@ def _block(fingerprint: Column, k: int) -> Column:
     return F.shiftrightunsigned(fingerprint, k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
 
 
+def _seat(size: Column, block: Column | int, value: Column) -> Column:
+    return (size.cast("long") * BLOCKS + block) * (1 << BLOCK_BITS) + value
+
+
 _NEAR = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= BLOCK_RADIUS]
 
 
@@ -110,33 +114,36 @@ def find_leaks(
     # An outer explode: the plain one would test the array's size first and build it twice.
     hits = []
     for width in widths:
-        found = own.select("_id", "_h", F.size("_words").alias("n"), F.posexplode_outer(shingles(F.col("_words"), width)).alias("pos", "h"))
+        found = own.select("_h", F.size("_words").alias("n"), F.posexplode_outer(shingles(F.col("_words"), width)).alias("pos", "h"))
         hits.append(found.join(places.where(_width(F.col("size")) == width), "h"))
     start = F.least(F.greatest(F.col("pos") - F.col("back"), F.lit(0)), F.greatest(F.col("n") - F.col("size"), F.lit(0)))
-    windows = reduce(DataFrame.unionByName, hits).select("_id", "_h", "size", start.alias("start")).distinct()
-    wanted = written(windows.groupBy("_id", "_h").agg(F.collect_set(F.struct("start", "size")).alias("wanted")))
+    windows = reduce(DataFrame.unionByName, hits).select("_h", "size", start.alias("start")).distinct()
+    # Windows of two texts with one hash would be tried on both, and verified on each.
+    wanted = written(windows.groupBy("_h").agg(F.collect_set(F.struct("start", "size")).alias("wanted")))
 
-    matched = texts.join(wanted, texts["_id"].eqNullSafe(wanted["_id"]) & (texts["_h"] == wanted["_h"])).select(texts["_id"], "_text", "wanted")
-    cut = matched.select("_id", word_hashes(F.col("_text")).alias("_words"), F.explode("wanted").alias("x")).select(
-        "_id", F.col("x.start").alias("start"), F.col("x.size").alias("size"), F.slice("_words", F.col("x.start") + 1, F.col("x.size")).alias("_words")
+    matched = texts.join(wanted, "_h")
+    cut = matched.select("_id", "_h", word_hashes(F.col("_text")).alias("_words"), F.explode("wanted").alias("x")).select(
+        "_id", "_h", F.col("x.start").alias("start"), F.col("x.size").alias("size"), F.slice("_words", F.col("x.start") + 1, F.col("x.size")).alias("_words")
     )
     sliced = cut.withColumn("hashes", F.array_distinct(_any_width(F.col("_words"), F.col("size"), widths))).drop("_words")
     weights = written(items.select(F.explode("weighted").alias("x")).select("x.h", "x.w").distinct())
     weighed = (
-        sliced.select("_id", "start", "size", F.explode_outer("hashes").alias("h"))
+        sliced.select("_id", "_h", "start", "size", F.explode_outer("hashes").alias("h"))
         .where("h IS NOT NULL")
         .join(weights, "h", "left")
-        .groupBy("_id", "start", "size")
+        .groupBy("_id", "_h", "start", "size")
         .agg(F.collect_list(F.struct("h", F.coalesce("w", F.lit(1.0)).alias("w"))).alias("seen"), F.sum(F.coalesce("w", F.lit(1.0))).alias("seen_total"))
     )
     prints = weighed.withColumn("print", simhash(F.col("seen")))
-    keyed = prints.select("*", F.posexplode(F.array(*[_block(F.col("print"), k) for k in range(BLOCKS)])).alias("block", "value"))
+    # Size, block and value as one number: a join on one long needs little memory.
+    keyed = prints.select("*", F.explode(F.array(*[_seat(F.col("size"), k, _block(F.col("print"), k)) for k in range(BLOCKS)])).alias("seat"))
     listed = items.withColumn("item_print", simhash(F.col("weighted")))
-    probes = F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("item_print"), k).bitwiseXOR(F.lit(m)).alias("value")) for k in range(BLOCKS) for m in _NEAR])
-    listed = listed.select("_item", "size", "item_print", "weighted", "total", F.explode(probes).alias("p"))
-    listed = listed.select("_item", "size", "item_print", "weighted", "total", "p.block", "p.value")
+    listed = listed.withColumn("blocks", F.array(*[_block(F.col("item_print"), k) for k in range(BLOCKS)]))
+    near = F.array(*[F.lit(m) for m in _NEAR])
+    probes = F.flatten(F.transform("blocks", lambda b, k: F.transform(near, lambda m: _seat(F.col("size"), k, b.bitwiseXOR(m)))))
+    listed = listed.select("_item", "item_print", "weighted", "total", F.explode_outer(probes).alias("seat"))
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    met = keyed.join(listed, ["size", "block", "value"]).withColumn("distance", distance).where(F.col("distance") <= RADIUS)
+    met = keyed.join(listed, "seat").withColumn("distance", distance).where(F.col("distance") <= RADIUS)
     inside = F.aggregate(F.filter("weighted", lambda x: F.array_contains(F.transform("seen", lambda y: y["h"]), x["h"])), F.lit(0.0), lambda s, x: s + x["w"])
     scored = met.withColumn("common", inside).withColumn("similarity", F.col("common") / (F.col("total") + F.col("seen_total") - F.col("common")))
     kept = scored.where(F.col("similarity") >= similarity - 1e-9)

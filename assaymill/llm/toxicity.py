@@ -31,6 +31,7 @@ OUTPUT = ("severity", "grade", "p_toxic", "n_hits", "toxic")
 # Feature words in a toxic document at which its grade rises to 2 and to 3.
 CUTS = (2, 5)
 MAX_FEATURES = 4096
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray]  # row, feature, value
 # Letters and digits of any script; punctuation, marks and white space part words.
 LETTERS = np.ones(256, bool)
 LETTERS[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
@@ -118,9 +119,10 @@ def _counted(features: np.ndarray):
     return run
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, levels: int, ridge: float = 0.02, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising thresholds of the cumulative-link model, by accelerated gradient steps."""
-    n, width = x.shape
+def fit_ordinal(entries: Entries, width: int, grade: np.ndarray, levels: int, ridge: float = 0.02, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and rising thresholds of the cumulative-link model, by accelerated gradient steps on sparse rows."""
+    n = len(grade)
+    row, feature, value = entries
     above = grade[:, None] > np.arange(levels)[None, :]
     share = np.clip(above.mean(axis=0), 1 / (n + 2), 1 - 1 / (n + 2))
     start = -np.log(share / (1 - share))
@@ -131,7 +133,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, levels: int, ridge: float = 0.
     def loss_and_slope(p: np.ndarray) -> tuple[float, np.ndarray]:
         w, t0, g = p[:width], p[width], np.exp(np.clip(p[width + 1 :], -20, 5))
         t = np.concatenate(([t0], t0 + np.cumsum(g)))
-        score = x @ w
+        score = np.bincount(row, value * w[feature], minlength=n)
         # Survival at each threshold, 1 below the first and 0 beyond the last.
         s = np.concatenate((np.ones((n, 1)), 1 / (1 + np.exp(np.clip(t - score[:, None], -60, 60))), np.zeros((n, 1))), axis=1)
         rows = np.arange(n)
@@ -142,7 +144,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, levels: int, ridge: float = 0.
         for k in range(levels):
             here = np.where(grade == k + 1, -d[:, k + 1] / p_own, 0) + np.where(grade == k, d[:, k + 1] / p_own, 0)
             slope_t[k] = here.sum()
-        grad = np.concatenate((-(x.T @ slope_score) + ridge * w, [-slope_t.sum()], -g * np.cumsum(slope_t[::-1])[::-1][1:]))
+        grad = np.concatenate((ridge * w - np.bincount(feature, value * slope_score[row], minlength=width), [-slope_t.sum()], -g * np.cumsum(slope_t[::-1])[::-1][1:]))
         return -np.log(p_own).sum() + ridge * (w @ w) / 2, grad
 
     m = v = np.zeros_like(theta)
@@ -171,16 +173,16 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20000, id_col: st
     labelled = written(rows.join(F.broadcast(sample), "_id"))
     features = find_features(labelled.select("toxic", "_text"))
     got = labelled.select("toxic", "_text").mapInArrow(_counted(features), "toxic int, k array<bigint>, n array<bigint>").collect()
-    x = np.zeros((len(got), len(features)))
-    for r, row in enumerate(got):
-        x[r, row["k"]] = np.log2(1 + np.array(row["n"], float))
+    at = np.repeat(np.arange(len(got)), [len(r["k"]) for r in got])
+    which = np.array([k for r in got for k in r["k"]], np.int64)
+    value = np.log2(1 + np.array([c for r in got for c in r["n"]], float))
     toxic = np.array([row["toxic"] for row in got], int)
     hits = np.array([sum(row["n"]) for row in got], int)
     levels = len(CUTS) + 1
     grade = np.where(toxic > 0, 1 + sum((hits >= c).astype(int) for c in CUTS), 0)
     if not len(features) or len(set(toxic)) < 2:
         return SeverityModel(np.zeros(0, U64), np.zeros(0), np.full(levels, 30.0))
-    weights, thresholds = fit_ordinal(x, grade, levels)
+    weights, thresholds = fit_ordinal((at, which, value), len(features), grade, levels)
     return SeverityModel(features, weights, thresholds)
 
 

@@ -372,8 +372,8 @@ def test_toxicity(spark, awkward, empty):
     assert grade_texts(awkward, model).count() == len(AWKWARD)
     assert grade_texts(empty, train(empty, known)).count() == 0
     assert not any(r.toxic for r in grade_texts(frame, train(frame, known.where("1 = 0"))).collect())
-    x = np.concatenate([np.random.default_rng(1).normal(m, 1, (300, 1)) for m in (0, 3, 6)])
-    weights, thresholds = fit_ordinal(x, np.repeat([0, 1, 2], 300), 2)
+    x = np.concatenate([np.random.default_rng(1).normal(m, 1, 300) for m in (0, 3, 6)])
+    weights, thresholds = fit_ordinal((np.arange(900), np.zeros(900, int), x), 1, np.repeat([0, 1, 2], 300), 2)
     assert weights[0] > 0 and thresholds[0] < thresholds[1]
 
 
