@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from assaymill.config import AuditConfig, DEFAULTS
 from assaymill.functions import colour, quality
+from assaymill.session import written
 
 ID = "image_id"
 MIN_PERCENTILE_PIXELS = 100
@@ -75,7 +76,7 @@ def vessel_contrast(counts: DataFrame) -> DataFrame:
     a* is scaled to 8 bit between its extremes; the histogram has at most 256
     rows per image, so its windows are small whatever the image size.
     """
-    lab = colour.with_lab(counts).select(ID, "lab_a", "n")
+    lab = (counts if "lab_a" in counts.columns else colour.with_lab(counts)).select(ID, "lab_a", "n")
     ends = lab.groupBy(ID).agg(F.min("lab_a").alias("lo"), F.max("lab_a").alias("hi"))
     span = F.col("hi") - F.col("lo")
     ends = ends.withColumn("scale", F.when(span > DBL_EPSILON, 255.0 * (1.0 / span)).otherwise(0.0))
@@ -112,8 +113,12 @@ def vessel_contrast(counts: DataFrame) -> DataFrame:
 
 
 def colour_features(counts: DataFrame) -> DataFrame:
-    """The measured vector per image, with the region's mean RGB and the flag."""
-    both = colour.with_hsv(colour.with_lab(counts))
+    """The measured vector per image, with the region's mean RGB and the flag.
+
+    The counts go to their images once, with Lab and HSV; every group below reads
+    the written rows.
+    """
+    both = written(colour.with_hsv(colour.with_lab(counts.repartition(ID))))
     half = F.lit(0.5)
     base = both.groupBy(ID).agg(
         *[_roi_mean(c).alias(c) for c in ("lab_l", "lab_a", "lab_b")],
@@ -123,7 +128,7 @@ def colour_features(counts: DataFrame) -> DataFrame:
     )
     a, b = F.col("lab_a"), F.col("lab_b")
     base = base.withColumns({"redness_ratio": colour.redness(a, b), "erythema_index": colour.erythema(a, b)})
-    out = base.join(high_hue_ratio(counts), ID, "left").join(vessel_contrast(counts), ID, "left")
+    out = base.join(high_hue_ratio(both), ID, "left").join(vessel_contrast(both), ID, "left")
     return out.select(ID, *FEATURES, "unmasked")
 
 
