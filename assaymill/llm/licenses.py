@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from assaymill.llm.common import bounded_batches, hash_of_text, pieces, text_of, without, words_of
 

@@ -286,7 +286,9 @@ def _by_row(docs: DataFrame, text_col: str) -> DataFrame:
         .bucketBy(parts, "_row")
         .saveAsTable(name)
     )
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and what was read knows their layout
+    return table
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
