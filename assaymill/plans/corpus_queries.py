@@ -15,7 +15,7 @@ from assaymill.operators import integrity as I
 from assaymill.operators import splits as S
 from assaymill.operators import training as T
 from assaymill.plans.registry import published, query, r
-from assaymill.plans.views import FEATURES, FILES, LABELS, LISTING, PATIENTS
+from assaymill.plans.views import FEATURES, LABELS, LISTING, PATIENTS
 
 P = f"({PATIENTS.sql()})"
 REGION_SITES = [f"NATION_{i}" for i in range(25)]
