@@ -265,6 +265,53 @@ def results_report_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return published(flat)
 
 
+CONFIG_ROWS = " UNION ALL ".join(
+    f"SELECT 'config', '', '{k}', cast({v} AS DOUBLE)"
+    for k, v in reports.settings_of(AuditConfig()).items()
+    if isinstance(v, (int, float)) and not isinstance(v, bool)
+)
+SITES_N = f"(SELECT site, count(*) AS n FROM {OK} GROUP BY site)"
+
+
+@query(
+    "results_report_sections",
+    "S10 S12 S18: settings, cross-site sizes and coverage per head, with manifest, written and read back",
+    f"""{SQ._curve_sql('head')}, t(target) AS (VALUES (1.0e0), (0.9e0), (0.8e0), (0.7e0)),
+    x AS (SELECT *, row_number() OVER (PARTITION BY head, target ORDER BY abs(coverage-target), point) AS pick FROM c, t),
+    y AS (SELECT head || '@' || printf('%.1f', target) AS grp, coverage, mae FROM x WHERE pick = 1),
+    z AS (SELECT a.site || '->' || b.site AS grp, a.n AS n_train, b.n AS n_test FROM {SITES_N} a JOIN {SITES_N} b ON a.site <> b.site)
+    SELECT section, grp, metric, {r('value', 'value')}, 64 AS fingerprint_length, 'unknown' AS corpus_kind, (SELECT count(*) FROM {OK}) AS n_patients FROM (
+    SELECT 'coverage' AS section, grp, 'coverage' AS metric, cast(coverage AS DOUBLE) AS value FROM y UNION ALL SELECT 'coverage', grp, 'mae', mae FROM y
+    UNION ALL SELECT 'site_holdout', grp, 'n_train', n_train FROM z UNION ALL SELECT 'site_holdout', grp, 'n_test', n_test FROM z
+    UNION ALL {CONFIG_ROWS})""",
+)
+def results_report_sections(spark: SparkSession, sf: str) -> DataFrame:
+    from assaymill.operators import coverage as V
+    from assaymill.operators.splits import holdout_sizes
+
+    df = finite_rows(PRED.frame(spark, sf), "y_true", "y_pred")
+    df = df.withColumn("hit", F.abs(F.col("y_pred") - F.col("y_true")) <= 1.0)
+    stats = df.groupBy("site").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("y_true").alias("mean"), F.lit(None).cast("double").alias("mean_age")
+    )
+    audit = C.site_calibration_by(df, "confidence", "hit", "site", ["head"])
+    sites = sorted(row["site"] for row in stats.select("site").collect())
+    curve = V.risk_coverage(df.withColumn("unc", 1 - F.col("confidence")), "unc", "id", by=["head"])
+    coverage = V.at_coverages(curve, (1.0, 0.9, 0.8, 0.7), ["head"]).select("head", "target", "coverage", "mae")
+    report = reports.results_report(
+        B.head_table(df), stats, audit, {"corpus": "unknown"}, AuditConfig(), holdout_sizes(df, "site", sites), coverage
+    )
+    path = shared_folder(spark)
+    reports.write_report(report, path)
+    back = reports.read_report(spark, path, report)
+    facts = {
+        "fingerprint_length": back.select(F.length("fingerprint")).scalar(),
+        "corpus_kind": back.select("corpus_kind").scalar(),
+        "n_patients": back.select("corpus.n_patients").scalar(),
+    }
+    return published(reports.report_sections(back).withColumns(facts))
+
+
 # --- stored tables ----------------------------------------------------------------
 
 STORED = [f"f{i}" for i in range(1, 5)]

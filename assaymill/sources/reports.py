@@ -55,10 +55,26 @@ def with_manifest(df: DataFrame, settings: dict[str, object], corpus: str) -> Da
 # --- nested results report --------------------------------------------------------
 
 
-def results_report(heads: DataFrame, site_stats: DataFrame, site_audit: DataFrame, facts: dict[str, str]) -> DataFrame:
+def _listed(df: DataFrame, *first: str) -> Column:
+    """All rows of a small table as one sorted array."""
+    order = [*first, *[c for c in df.columns if c not in first]]
+    return df.agg(F.array_sort(F.collect_list(F.struct(*order)))).scalar()
+
+
+def results_report(
+    heads: DataFrame,
+    site_stats: DataFrame,
+    site_audit: DataFrame,
+    facts: dict[str, str],
+    cfg: AuditConfig | None = None,
+    holdout: DataFrame | None = None,
+    coverage: DataFrame | None = None,
+) -> DataFrame:
     """One nested row: corpus, a list of head rows, and an audit map per head.
 
-    Every input is an aggregate, one row per head or site.
+    Every input is an aggregate, one row per head, site, direction (``holdout``:
+    fold, n_train, n_test) or head and target (``coverage``). With ``cfg`` the
+    report holds its settings and the manifest columns.
     """
     corpus = site_stats.agg(
         F.sum("n").alias("n_patients"),
@@ -78,12 +94,26 @@ def results_report(heads: DataFrame, site_stats: DataFrame, site_audit: DataFram
             F.collect_list(F.struct("head", F.struct("pooled_ece", "max_ece_gap", "confound", "per_site").alias("a")))
         ).alias("audit")
     )
-    return corpus.select(
+    more = {}
+    if holdout is not None:
+        more["site_holdout"] = _listed(holdout, "fold")
+    if coverage is not None:
+        more["coverage"] = _listed(coverage, "head", "target")
+    if cfg is not None:
+        pairs = [x for k, v in settings_of(cfg).items() for x in (F.lit(k), F.lit(str(v)))]
+        more["config"] = F.create_map(*pairs)
+    report = corpus.select(
         F.struct(*[F.lit(v).alias(k) for k, v in facts.items()]).alias("provenance"),
         F.struct("n_patients", "per_site").alias("corpus"),
         rows.scalar().alias("single_split"),
         audit.scalar().alias("site_audit"),
+        *[c.alias(k) for k, c in more.items()],
     )
+    if cfg is None:
+        return report
+    # The manifest's corpus is its kind; the report has a section of that name.
+    marked = with_manifest(report.withColumnRenamed("corpus", "_section"), settings_of(cfg), facts.get("corpus", "unknown"))
+    return marked.withColumnsRenamed({"corpus": "corpus_kind", "_section": "corpus"})
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -107,6 +137,23 @@ def report_site_ece(report: DataFrame) -> DataFrame:
     return cells.select("head", "site", "c.ece", "c.n", "pooled_ece", "max_ece_gap", "confound")
 
 
+def report_sections(report: DataFrame) -> DataFrame:
+    """Holdout sizes, coverage and numeric settings of a report, as (section, grp, metric, value)."""
+
+    def cells(section: str, column: str, group: Column, metrics: tuple[str, ...]) -> DataFrame:
+        rows = report.select(F.inline(column))
+        pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+        return rows.select(F.lit(section).alias("section"), group.alias("grp"), F.inline(pairs))
+
+    target = F.concat_ws("@", "head", F.format_string("%.1f", F.col("target")))
+    settings = report.select(F.explode("config").alias("metric", "v")).select(
+        F.lit("config").alias("section"), F.lit("").alias("grp"), "metric", F.col("v").try_cast("double").alias("value")
+    )
+    holdout = cells("site_holdout", "site_holdout", F.col("fold"), ("n_train", "n_test"))
+    coverage = cells("coverage", "coverage", target, ("coverage", "mae"))
+    return holdout.unionByName(coverage).unionByName(settings.where("value IS NOT NULL"))
+
+
 def sweep_report(candidates: DataFrame, header: DataFrame) -> DataFrame:
     """Nested sweep report: header facts, the candidates and the winner."""
     rows = candidates.agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in candidates.columns if c != "rank"]))).alias("c"))
