@@ -215,7 +215,8 @@ def components(edges: DataFrame) -> DataFrame:
     def star(pairs: DataFrame, both: bool) -> DataFrame:
         if both:
             pairs = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Written, so that the join has two plain sides and a hub's edges can be split.
+        least = written(pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         joined = pairs.join(least, "a")
         if both:
             return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

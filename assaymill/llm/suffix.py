@@ -249,7 +249,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     many = classes.where("n > 1").select("anchor", "f0", "f1")
     found = _spans(ranges.join(many, ["anchor", "f0", "f1"], "left_semi"), length)
     # Only an anchor with several contents is refined; a repeated content takes part by one member.
-    mixed = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1")
+    mixed = written(classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1"))
     members = classes.join(mixed, "anchor", "left_semi").select("r.*", "anchor", (F.col("n") == 1).alias("member"))
     for size in CELLS:
         listed = members.groupBy("_row").agg(F.collect_list(F.struct(*_PLACE)).alias("open"))
