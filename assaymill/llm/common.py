@@ -18,8 +18,9 @@ from assaymill.session import shared_folder, written  # noqa: F401
 
 # Bytes of text that numpy works on at once; one longer document is one piece.
 PIECE = 1 << 20
-# Rows of one Arrow batch, so that a batch of long documents fits a worker.
+# Rows and bytes of one Arrow batch, so that a batch of long documents fits a worker.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 U64 = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -36,6 +37,7 @@ def bounded_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -175,15 +175,17 @@ def _sums(unigrams: Unigrams):
         if not word:
             return
         word, before, doc, train = (np.concatenate(x) for x in (word, before, doc, train))
+        blocks.clear()
         words, iw = np.unique(word, return_inverse=True)
-        del word
+        word, iw = None, iw.astype(np.int32)
         histories, ih = np.unique(before, return_inverse=True)
-        del before
+        before, ih = None, ih.astype(np.int32)
         count = np.bincount(iw[train], minlength=len(words))
         if len(unigrams.heavy):  # their counts are known, only a share of them is here
             k = np.minimum(np.searchsorted(unigrams.heavy, words), len(unigrams.heavy) - 1)
             count = np.where(unigrams.heavy[k] == words, unigrams.heavy_counts[k], count)
-        pairs, ip = np.unique(iw * len(histories) + ih, return_inverse=True)
+        pairs, ip = np.unique(iw.astype(np.int64) * len(histories) + ih, return_inverse=True)
+        ip = ip.astype(np.int32)
         pair_count = np.bincount(ip[train], minlength=len(pairs))
         # Histories: every pair seen in training, once.
         seen = np.flatnonzero(pair_count)
@@ -197,6 +199,7 @@ def _sums(unigrams: Unigrams):
         yield rows_of(_HISTORY, histories[any_].view(np.int64), np.zeros(len(any_)), **{k: v[any_] for k, v in values.items()})
         # Documents.
         docs, idoc = np.unique(doc, return_inverse=True)
+        doc, idoc = None, idoc.astype(np.int32)
         own = count[iw]
         c = pair_count[ip]
         hit = c > 0
@@ -215,7 +218,7 @@ def _sums(unigrams: Unigrams):
         yield rows_of(_DOC, docs, np.zeros(size), **values)
         # Places where a text backs off.
         miss = np.flatnonzero(~hit)
-        place, n = np.unique(ih[miss] * len(docs) + idoc[miss], return_counts=True)
+        place, n = np.unique(ih[miss].astype(np.int64) * len(docs) + idoc[miss], return_counts=True)
         yield rows_of(_BACKOFF, histories[place // len(docs)].view(np.int64), docs[place % len(docs)], n=n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
