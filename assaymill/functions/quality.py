@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from assaymill.config import AuditConfig, DEFAULTS
 
-# fixed values: score weights and scales, verdict codes with their messages
+# fixed values: score weights and scales, verdict codes
 WEIGHTS = (0.4, 0.4, 0.2)
 MID_LUMA = 130.0
 SHARP_SCALE = 400.0
 FULL_FRAMING = 0.10
 MESSAGES = {
-    "DECODE_FAIL": "We couldn't read that image.",
-    "TOO_DARK": "The photo is too dark to read. Move into daylight and retake it.",
-    "TOO_BRIGHT": "The photo is overexposed. Move away from direct light or the flash.",
-    "TOO_BLUR": "The photo is blurry. Hold the phone steady and tap to focus on the eye.",
-    "WRONG_FRAMING": "We couldn't find the eye area. Get closer so the eye fills the frame.",
+    "DECODE_FAIL": "This file holds no picture that can be opened.",
+    "TOO_DARK": "Not enough light: take it again near a window.",
+    "TOO_BRIGHT": "Too much light: turn off the flash or step out of the sun.",
+    "TOO_BLUR": "Out of focus: rest your hand and let the camera settle first.",
+    "WRONG_FRAMING": "The eyelid is too small, or cut off: bring it to the middle of the picture.",
 }
 # ------------------------------------------------------------------------------
 

@@ -85,9 +85,11 @@ def site_calibration(
             F.lit(NO_PROBABILITY).alias("reason"),
             F.lit(CONFOUND_NOTE).alias("note"),
         )
-    ece = calibration_error(reliability(df, confidence, correct, [site], True, n_bins), [site])
-    own = F.when(F.col(site) != POOLED, F.col("ece"))
-    gap = ece.agg(F.when(F.count(own) >= 2, F.max(own) - F.min(own))).scalar()
+    own = reliability(df, confidence, correct, [site], n_bins=n_bins)
+    # The gap is taken before the pooled row joins, so a site of any name counts.
+    per_site = calibration_error(own, [site])
+    gap = per_site.agg(F.when(F.count("ece") >= 2, F.max("ece") - F.min("ece"))).scalar()
+    ece = per_site.unionByName(calibration_error(_over_sites(own, [], site), [site]))
     return ece.withColumns(
         {
             "max_ece_gap": gap,
@@ -98,18 +100,23 @@ def site_calibration(
     )
 
 
+def _over_sites(own: DataFrame, keys: Sequence[str], site: str) -> DataFrame:
+    """Reliability bins of all sites together, from those of each."""
+    sums = own.groupBy(*keys, "bin").agg(
+        F.sum("n").alias("n_"),
+        (F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("confidence"),
+        (F.sum(F.col("n") * F.col("accuracy")) / F.sum("n")).alias("accuracy"),
+    )
+    return sums.withColumnRenamed("n_", "n").withColumn(site, F.lit(POOLED))
+
+
 def site_calibration_by(
     df: DataFrame, confidence: str, correct: str, site: str, by: Sequence[str], n_bins: int = DEFAULTS.calibration_bins
 ) -> DataFrame:
     """The same audit for many heads at once: per site and pooled inside each."""
     keys = list(by)
     own = reliability(df, confidence, correct, [*keys, site], n_bins=n_bins)
-    sums = own.groupBy(*keys, "bin").agg(
-        F.sum("n").alias("n_"),
-        (F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("confidence"),
-        (F.sum(F.col("n") * F.col("accuracy")) / F.sum("n")).alias("accuracy"),
-    )
-    total = sums.withColumnRenamed("n_", "n").withColumn(site, F.lit(POOLED))
+    total = _over_sites(own, keys, site)
     per_site = calibration_error(own, [*keys, site])
     gaps = per_site.groupBy(*keys).agg(
         F.when(F.count("ece") >= 2, F.max("ece") - F.min("ece")).alias("max_ece_gap")

@@ -267,11 +267,11 @@ REPORT = f"(SELECT *, reason IS NULL AS passed FROM (SELECT *, CASE WHEN height
 @query(
     "quality_report",
     "M17 P12",
-    f"""SELECT doc_id, {r('score', 'score')}, reason, passed, CASE reason WHEN 'DECODE_FAIL' THEN 'We couldn''t read that image.'
-    WHEN 'TOO_DARK' THEN 'The photo is too dark to read. Move into daylight and retake it.'
-    WHEN 'TOO_BRIGHT' THEN 'The photo is overexposed. Move away from direct light or the flash.'
-    WHEN 'TOO_BLUR' THEN 'The photo is blurry. Hold the phone steady and tap to focus on the eye.'
-    WHEN 'WRONG_FRAMING' THEN 'We couldn''t find the eye area. Get closer so the eye fills the frame.' END AS message FROM {REPORT}""",
+    f"""SELECT doc_id, {r('score', 'score')}, reason, passed, CASE reason WHEN 'DECODE_FAIL' THEN 'This file holds no picture that can be opened.'
+    WHEN 'TOO_DARK' THEN 'Not enough light: take it again near a window.'
+    WHEN 'TOO_BRIGHT' THEN 'Too much light: turn off the flash or step out of the sun.'
+    WHEN 'TOO_BLUR' THEN 'Out of focus: rest your hand and let the camera settle first.'
+    WHEN 'WRONG_FRAMING' THEN 'The eyelid is too small, or cut off: bring it to the middle of the picture.' END AS message FROM {REPORT}""",
 )
 def quality_report(spark: SparkSession, sf: str) -> DataFrame:
     return published(X.quality_report(QUALITY.frame(spark, sf)).select("doc_id", "score", "reason", "passed", "message"))
