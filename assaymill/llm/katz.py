@@ -137,7 +137,9 @@ def _packed(heavy: np.ndarray, buckets: int):
                 names = ["bucket", "w", "n", "h", "ih", "docs"]
                 columns = [pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[c] for x in out], pa.binary()) for c in range(1, 6))]
                 known = rows[first:last].astype(np.int64).tobytes()
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([known] * len(out), pa.binary())], names=[*names, "rows"])
+                # Numbers that run on are known by the first.
+                short = known[:8] if rows[last - 1] - rows[first] == last - first - 1 else known
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([short] * len(out), pa.binary())], names=[*names, "rows"])
                 # The rows themselves travel along, so that their numbers are drawn only once.
                 flags = train[first:last] | (batch.column("_id").slice(first, last - first).is_null().to_numpy(zero_copy_only=False) << 1)
                 own_ids = batch.column("_id").slice(first, last - first).fill_null(0).to_numpy().tobytes()
@@ -170,7 +172,8 @@ def _sums(unigrams: Unigrams):
             word.append(np.repeat(w, n))
             before.append(h[np.frombuffer(x["ih"], np.uint16 if len(x["ih"]) == 2 * size else np.uint32)])
             own = np.frombuffer(x["docs"], np.uint16 if len(x["docs"]) == 2 * size else np.uint32)
-            doc.append(np.frombuffer(x["rows"], np.int64)[own >> 1])
+            rows = np.frombuffer(x["rows"], np.int64)
+            doc.append(rows[own >> 1] if len(rows) > 1 else rows[0] + (own >> 1).astype(np.int64))
             train.append((own & 1).astype(bool))
         if not word:
             return
