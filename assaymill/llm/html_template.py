@@ -5,21 +5,26 @@
 2. The occurrence vector of a token says how often it occurs on every page of its
    host. Spark keeps it as a sum of hashes over (page, count), which is the same
    number for equal vectors and needs one partial aggregation, whatever the size
-   of the host.
+   of the host. Tokens under ``article`` or ``main`` count once per distinct
+   article content instead of once per page, so that pages which repeat an article
+   do not turn it into a template.
 3. Tokens of a host with one vector form an equivalence class. Classes that are
    large (two tokens or more) and frequent (on at least three pages and half of
-   the host's) are its template. On a page a class is valid if its tokens stand in
-   the class's order there; classes nest by their containers.
+   the host's; under ``article`` and ``main``, contents instead of pages) are its
+   template. On a page a class is valid if its tokens stand in the class's order
+   there, once or several times over; classes nest by their containers.
 4. What lies between template tokens are the slots. The article's slot is the one
    under ``article`` or ``main``; on pages without, the container with most text
    outside the template over all pages of the host, or of the page where it is the
    host's only one. Slots under navigation, notices and other page furniture are
-   no part of it, nor are the template's own words outside ``article`` and ``main``
-   (inside, pages that repeat an article must not lose it).
+   no part of it, nor are the template's own words, wherever they stand.
+
+Tokens travel as 64-bit hashes of path and text; only paths are kept as text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -131,66 +136,80 @@ def tokens(page: str) -> list[Token]:
     return out
 
 
+def _hash(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map (_host, _page, _html) to (host, page, path, text, n, place, main) per distinct token of the page."""
+    """Map (_host, _page, _html) to (host, page, path, token, length, n, place, junk, main) per distinct token of the page.
+
+    Under ``article`` and ``main``, ``page`` is the hash of the article's content.
+    """
     for batch in batches:
         for host, page, text in zip(*(batch.column(c).to_pylist() for c in ("_host", "_page", "_html"))):
+            read = tokens(text)
+            content = _hash(*(block for _, block, junk, main in read if block and main and not junk))
             seen: dict[tuple[str, str], list] = {}
-            for place, (path, block, junk, main) in enumerate(tokens(text)):
-                if not main or not block:  # an article's own text is data, never template
-                    seen.setdefault((path, block), [0, place, junk])[0] += 1
-            rows = [(path, block, *v) for (path, block), v in seen.items()]
+            for place, (path, block, junk, main) in enumerate(read):
+                seen.setdefault((path, block), [0, place, junk, main])[0] += 1
+            rows = [(content if v[3] else page, path, _hash(path, block), len(block), *v) for (path, block), v in seen.items()]
             if rows:
-                path, block, n, place, junk = zip(*rows)
+                pages, path, token, length, n, place, junk, main = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([host] * len(rows)), pa.array([page] * len(rows)), pa.array(path), pa.array(block), pa.array(n, pa.int32()), pa.array(place, pa.int32()), pa.array(junk)],
-                    names=["host", "page", "path", "block", "n", "place", "junk"],
+                    [
+                        pa.array([host] * len(rows)), pa.array(pages, pa.int64()), pa.array(path), pa.array(token, pa.int64()), pa.array(length, pa.int32()),
+                        pa.array(n, pa.int32()), pa.array(place, pa.int32()), pa.array(junk), pa.array(main),
+                    ],
+                    names=["host", "page", "path", "token", "length", "n", "place", "junk", "main"],
                 )
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
     """(host, template, slot) per host from ``pages`` (_host, _page, _html).
 
-    ``template``: (path, block, class, order) of its tokens. ``slot``: the path of
-    the container that holds most text outside the template.
+    ``template``: (token, class, order) of its tokens. ``slot``: the path of the
+    container that holds most text outside the template, ``article`` and ``main`` apart.
     """
-    kind = "host string, page bigint, path string, block string, n int, place int, junk boolean"
+    kind = "host string, page bigint, path string, token bigint, length int, n int, place int, junk boolean, main boolean"
     rows = written(pages.mapInArrow(_token_rows, kind))
-    size = pages.groupBy(F.col("_host").alias("host")).agg(F.count("*").alias("pages"))
+    inside = rows.where("main").groupBy("host", "page", "path", "token", "length", "junk", "main").agg(F.min("n").alias("n"), F.min("place").alias("place"))
+    counted = rows.where("NOT main").unionByName(inside)
+    contents = rows.where("main").groupBy("host").agg(F.count_distinct("page").alias("pages")).withColumn("main", F.lit(True))
+    size = pages.groupBy(F.col("_host").alias("host")).agg(F.count("*").alias("pages")).withColumn("main", F.lit(False)).unionByName(contents)
     # Halves of the hashes, so that sums cannot overflow.
     half = [F.sum(F.xxhash64("page", "n", F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"v{k}") for k in (0, 1)]
-    vectors = rows.groupBy("host", "path", "block").agg(F.count("*").alias("support"), F.avg("place").alias("at"), F.first("junk").alias("junk"), *half)
-    vectors = written(vectors.join(size, "host"))
+    vectors = counted.groupBy("host", "main", "path", "token").agg(
+        F.count("*").alias("support"), F.avg("place").alias("at"), F.first("length").alias("length"), F.first("junk").alias("junk"), *half
+    )
+    vectors = written(vectors.join(size, ["host", "main"]))
     frequent = vectors.where("support >= 3 AND 2 * support >= pages")
-    classes = frequent.groupBy("host", "v0", "v1", "support").agg(F.count("*").alias("size"), F.sort_array(F.collect_list(F.struct("at", "path", "block"))).alias("members"))
-    large = classes.where("size >= 2").withColumn("class", F.xxhash64("v0", "v1"))
-    member = large.select("host", "class", F.posexplode("members").alias("order", "m")).select("host", "class", "order", "m.path", "m.block")
-    template = member.groupBy("host").agg(F.collect_list(F.struct("path", "block", "class", "order")).alias("template"))
-    data = vectors.where("block <> '' AND NOT junk").join(member.select("host", "path", "block"), ["host", "path", "block"], "left_anti")
-    volume = data.groupBy("host", "path").agg(F.sum(F.length("block") * F.col("support")).alias("volume"))
+    classes = frequent.groupBy("host", "main", "v0", "v1", "support").agg(F.count("*").alias("size"), F.sort_array(F.collect_list(F.struct("at", "path", "token"))).alias("members"))
+    large = classes.where("size >= 2").withColumn("class", F.xxhash64("main", "v0", "v1"))
+    member = large.select("host", "class", F.posexplode("members").alias("order", "m")).select("host", "class", "order", "m.token")
+    template = member.groupBy("host").agg(F.collect_list(F.struct("token", "class", "order")).alias("template"))
+    data = vectors.where("length > 0 AND NOT junk AND NOT main").join(member.select("host", "token"), ["host", "token"], "left_anti")
+    volume = data.groupBy("host", "path").agg(F.sum(F.col("length") * F.col("support")).alias("volume"))
     slot = volume.groupBy("host").agg(F.max_by("path", F.struct("volume", "path")).alias("slot"))
     return template.join(slot, "host", "full")
 
 
-def extract_page(page: str, template: dict[tuple[str, str], tuple[int, int]], slot: str | None) -> str:
+def extract_page(page: str, template: dict[int, tuple[int, int]], slot: str | None) -> str:
     """The article's text: its blocks in page order, parted by blank lines."""
     read = tokens(page)
-    # A class whose tokens are out of order here is not valid on this page.
+    places = [template.get(_hash(path, block)) if template else None for path, block, _, _ in read]
+    # A class whose tokens are out of order here is not valid on this page; each round begins with its first token.
     last: dict[int, int] = {}
     broken: set[int] = set()
-    for path, block, _, _ in read:
-        if (place := template.get((path, block))) is not None:
-            if place[1] < last.get(place[0], -1):
+    for place in places:
+        if place is not None:
+            if 0 < place[1] < last.get(place[0], -1):
                 broken.add(place[0])
             last[place[0]] = place[1]
 
-    def fixed(path: str, block: str) -> bool:
-        return (place := template.get((path, block))) is not None and place[0] not in broken
-
-    article = [block for _, block, junk, main in read if block and main and not junk]
-    if article or any(main for *_, main in read):
-        return "\n\n".join(article)
-    data = [(path, block) for path, block, junk, _ in read if block and not junk and not fixed(path, block)]
+    free = [(path, block, main) for (path, block, junk, main), place in zip(read, places) if block and not junk and (place is None or place[0] in broken)]
+    if any(main for *_, main in read):
+        return "\n\n".join(block for _, block, main in free if main)
+    data = [(path, block) for path, block, _ in free]
     if slot is not None and any(path == slot for path, _ in data):
         data = [(path, block) for path, block in data if path == slot or path.startswith(slot + "/")]
     elif data:
@@ -212,7 +231,7 @@ def _extracted(names: list[str]):
                 if host not in known:
                     if len(known) > 64:
                         known.clear()
-                    known[host] = {(t["path"], t["block"]): (t["class"], t["order"]) for t in templates[k].as_py() or ()}
+                    known[host] = {t["token"]: (t["class"], t["order"]) for t in templates[k].as_py() or ()}
                 texts.append(extract_page(page, known[host], slot))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, *OUTPUT])
 

@@ -404,6 +404,23 @@ def test_html(spark):
     assert extract_main(frame.where("1 = 0")).count() == 0
 
 
+def test_html_template_decides_inside_articles(spark):
+    from assaymill.llm.html_template import extract_main
+
+    notice = '<div class="box"><p>Read this in our app</p></div>'
+    # Host n.x: a notice above, and twice below, every article. Host r.x: one article under many addresses.
+    pages = [(k, f"http://n.x/{k}", PAGE % f"<article>{notice}<h1>Head {k}</h1><p>Body of {k}</p><span class='s'></span>{notice}</article>") for k in range(6)]
+    pages += [(20 + k, f"http://r.x/{k}", PAGE % "<main><h1>One head</h1><p>One body</p><p>One end</p></main>") for k in range(6)]
+    pages += [(40 + k, f"http://t.x/{k}", PAGE % f"<main><p>Members only</p><p>Story {k}</p></main>") for k in range(3)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in extract_main(frame).collect()}
+    for k in range(6):
+        assert got[k] == f"Head {k}\n\nBody of {k}"
+        assert got[20 + k] == "One head\n\nOne body\n\nOne end"
+    for k in range(3):  # one block forms a class with its container
+        assert got[40 + k] == f"Story {k}"
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as cp
 
