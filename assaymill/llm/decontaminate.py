@@ -1,27 +1,34 @@
 """Benchmark decontamination by SimHash windows, in DataFrame functions only.
 
-1. Every benchmark item gets a 64-bit SimHash of its weighted word shingles.
-2. Every document is cut into windows of an item's number of words. A window
-   similar to an item shares a shingle with it, so only the windows that line a
-   shared shingle up with its place in an item are hashed; no other window can
-   pass step 4.
+1. Every benchmark item gets two 64-bit SimHashes of its word shingles: one with
+   equal votes, one with weighted votes.
+2. Every document is cut into windows of an item's number of words, at every
+   start. A window similar to an item of its size holds a certain number (or
+   weight) of shingles of such items; running sums over the places of shared
+   shingles tell the starts where it does, and only those are hashed.
 3. Fingerprints meet by multi-index blocks: 8 blocks of 8 bits. Within a radius of
    23 some block differs in at most 2 bits, so the items are listed under all 37
    such values of each block, and no fingerprint within the radius is missed.
-4. Candidates are verified by the exact weighted Jaccard similarity of their
-   shingles. A shingle weighs one over the number of items that hold it; shingles
-   of no item weigh 1.
-
-At a similarity of 0.8 the expected distance is 10 bits with a deviation of 3, so
-the radius leaves out about one pair in a hundred thousand at the threshold and
-none to speak of above it.
+   Weighted fingerprints of items with unequal weights have a radius of 31 and all
+   93 values within 3 bits.
+4. Candidates are verified by the exact Jaccard similarity of their shingles, with
+   equal weights and with these: a shingle weighs one over the number of distinct
+   items (by their words) that hold it; shingles of no item weigh 1. The weighted
+   one counts.
+
+With equal votes the expected distance is 10 bits at a similarity of 0.8, with a
+deviation of 3, so the radius leaves out about one pair in a hundred thousand at
+the threshold and none to speak of above it. A pair that is at 0.8 by weights but
+below it without them has a cosine of 0.8 at least, as its shared shingles weigh
+more than a half on average: 13 bits are expected with a deviation of 3.2, and the
+radius of 31 is further away than that of 23 is in the first case.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaymill.llm.common import text_of, written
@@ -29,6 +36,9 @@ from assaymill.llm.common import text_of, written
 WIDTH = 5
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
+# For weighted votes of items whose shingles weigh unequally.
+WIDE_BLOCK_RADIUS = BLOCK_RADIUS + 1
+WIDE_RADIUS = BLOCKS * (WIDE_BLOCK_RADIUS + 1) - 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,24 +76,33 @@ def _block(fingerprint: Column, k: int) -> Column:
     return F.shiftrightunsigned(fingerprint, k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
 
 
-def _seat(size: Column, block: Column | int, value: Column) -> Column:
-    return (size.cast("long") * BLOCKS + block) * (1 << BLOCK_BITS) + value
+def _seat(size: Column, weighted: Column, block: Column | int, value: Column) -> Column:
+    return ((size.cast("long") * 2 + weighted.cast("int")) * BLOCKS + block) * (1 << BLOCK_BITS) + value
 
 
-_NEAR = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= BLOCK_RADIUS]
+def _near(radius: int) -> Column:
+    return F.array(*[F.lit(m) for m in range(1 << BLOCK_BITS) if m.bit_count() <= radius])
 
 
-def _items(benchmark: DataFrame, widths: list[int], item_id: str, item_text: str) -> DataFrame:
-    """(_item, size, words, weighted shingles, total weight) per distinct item with words."""
-    words = benchmark.select(F.col(item_id).alias("_item"), word_hashes(text_of(item_text)).alias("words")).where(F.size("words") > 0).distinct()
-    sized = words.withColumn("size", F.size("words"))
-    each = sized.select("_item", "words", "size", F.explode(F.array_distinct(_any_width(F.col("words"), F.col("size"), widths))).alias("h"))
+def _equal(weighted: Column) -> Column:
+    """The same shingles with a weight of 1 each."""
+    return F.transform(weighted, lambda x: F.struct(x["h"].alias("h"), F.lit(1.0).alias("w")))
+
+
+def _even(weighted: Column) -> Column:
+    return F.forall(weighted, lambda x: x["w"] == 1)
+
+
+def _total(weighted: Column) -> Column:
+    return F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x["w"])
+
+
+def _items(ids: DataFrame, widths: list[int]) -> DataFrame:
+    """(seq, size, weighted shingles) per distinct sequence of words."""
+    sized = ids.select("seq", "words").dropDuplicates(["seq"]).withColumn("size", F.size("words"))
+    each = sized.select("seq", "size", F.explode(F.array_distinct(_any_width(F.col("words"), F.col("size"), widths))).alias("h"))
     rarity = each.groupBy("h").agg((1.0 / F.count("*")).alias("w"))
-    return (
-        each.join(rarity, "h")
-        .groupBy("_item", "words", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("weighted"), F.sum("w").alias("total"))
-    )
+    return each.join(rarity, "h").groupBy("seq", "size").agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("weighted"))
 
 
 def find_leaks(
@@ -98,56 +117,94 @@ def find_leaks(
     """Best match of every document and item: (id, item_id, first_word, n_words, distance, similarity).
 
     ``first_word`` counts words from 0, ``distance`` is the Hamming distance of the
-    fingerprints; of windows that tie the first wins. Items under five words are
+    fingerprints that met. Of windows that tie, those that line a shared shingle up
+    with its place in an item win, then the first. Items under five words are
     one shingle. Null or empty texts and items match nothing. Null ids are
     matched like any other value; rows that repeat an id give one row per item.
     Columns beyond ids and texts are ignored.
     """
     lengths = benchmark.select(_width(F.size(word_hashes(text_of(item_text)))).alias("n")).where("n > 0").distinct()
     widths = sorted(r["n"] for r in lengths.collect()) or [WIDTH]  # five values at most
-    items = written(_items(benchmark, widths, item_id, item_text))
+    words = benchmark.select(F.col(item_id).alias("_item"), word_hashes(text_of(item_text)).alias("words")).where(F.size("words") > 0).distinct()
+    ids = written(words.withColumn("seq", F.xxhash64("words")))
+    items = written(_items(ids, widths))
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), text_of(text_col)).alias("_h"), text_of(text_col).alias("_text"))
 
-    # Places in items by shingle, with the window that a hit suggests.
-    places = written(items.select("size", F.posexplode(_any_width(F.col("words"), F.col("size"), widths)).alias("back", "h")).distinct())
+    # What the similarity asks of a window: shingles of items of its size, by number or by weight.
+    needs = items.groupBy("size").agg((similarity * F.min(F.size("weighted")) - 1e-6).alias("least_n"), (similarity * F.min(_total(F.col("weighted"))) - 1e-6).alias("least_w"))
+    placed = ids.dropDuplicates(["seq"]).withColumn("size", F.size("words")).select("size", F.posexplode(_any_width(F.col("words"), F.col("size"), widths)).alias("back", "h"))
+    places = items.select("size", F.explode("weighted").alias("x")).select("size", "x.h", "x.w").distinct().join(needs, "size")
+    places = written(places.join(placed.groupBy("size", "h").agg(F.collect_set("back").alias("backs")), ["size", "h"]))
     own = texts.withColumn("_words", word_hashes(F.col("_text")))
     # An outer explode: the plain one would test the array's size first and build it twice.
-    hits = []
+    found = []
     for width in widths:
-        found = own.select("_h", F.size("_words").alias("n"), F.posexplode_outer(shingles(F.col("_words"), width)).alias("pos", "h"))
-        hits.append(found.join(places.where(_width(F.col("size")) == width), "h"))
-    start = F.least(F.greatest(F.col("pos") - F.col("back"), F.lit(0)), F.greatest(F.col("n") - F.col("size"), F.lit(0)))
-    windows = reduce(DataFrame.unionByName, hits).select("_h", "size", start.alias("start")).distinct()
+        at = own.select("_h", F.size("_words").alias("n"), F.posexplode_outer(shingles(F.col("_words"), width)).alias("pos", "h"))
+        found.append(at.join(places.where(_width(F.col("size")) == width), "h"))
+    hits = written(reduce(DataFrame.unionByName, found))
+    # A shingle enters at the first start whose window holds it, and leaves after the last.
+    latest = F.greatest(F.col("n") - F.col("size"), F.lit(0))
+    first = F.greatest(F.col("pos") + _width(F.col("size")) - F.col("size"), F.lit(0))
+    after = F.least(F.col("pos"), latest) + 1
+    change = F.explode(F.array(F.struct(first.alias("at"), F.lit(1).alias("n"), F.col("w").alias("w")), F.struct(after.alias("at"), F.lit(-1).alias("n"), (-F.col("w")).alias("w"))))
+    changes = hits.select("_h", "size", "least_n", "least_w", change.alias("x")).groupBy("_h", "size", "least_n", "least_w", "x.at").agg(F.sum("x.n").alias("n"), F.sum("x.w").alias("w"))
+    order = Window.partitionBy("_h", "size").orderBy("at")
+    runs = changes.select("_h", "size", "least_n", "least_w", "at", F.lead("at").over(order).alias("next"), F.sum("n").over(order).alias("n"), F.sum("w").over(order).alias("w"))
+    enough = runs.where("next IS NOT NULL AND (n >= least_n OR w >= least_w)")
+    starts = enough.groupBy("_h", "size").agg(F.collect_list(F.struct("at", "next")).alias("runs"))
+    # Starts that line a shared shingle up with its place in an item, for windows that tie.
+    lined = hits.select("_h", "n", "size", "pos", F.explode("backs").alias("back")).select("_h", "size", F.least(F.greatest(F.col("pos") - F.col("back"), F.lit(0)), latest).alias("start"))
+    lined = lined.distinct().groupBy("_h", "size").agg(F.collect_list("start").alias("lined"))
+    # Shingles that weigh less than 1, per document.
+    light = hits.where("w < 1").select("_h", _width(F.col("size")).alias("width"), "h", "w").distinct()
+    light = light.groupBy("_h", "width").agg(F.map_from_entries(F.collect_list(F.struct("h", "w"))).alias("light"))
     # Windows of two texts with one hash would be tried on both, and verified on each.
-    wanted = written(windows.groupBy("_h").agg(F.collect_set(F.struct("start", "size")).alias("wanted")))
-
-    matched = texts.join(wanted, "_h")
-    cut = matched.select("_id", "_h", word_hashes(F.col("_text")).alias("_words"), F.explode("wanted").alias("x")).select(
-        "_id", "_h", F.col("x.start").alias("start"), F.col("x.size").alias("size"), F.slice("_words", F.col("x.start") + 1, F.col("x.size")).alias("_words")
+    wanted = written(starts.join(lined, ["_h", "size"]).withColumn("width", _width(F.col("size"))).join(light, ["_h", "width"], "left").drop("width"))
+
+    weight = lambda h: F.coalesce(F.get(F.map_values(F.map_filter("light", lambda k, _: k == h)), F.lit(0)), F.lit(1.0))
+    # Words and shingles are columns of their own: inside a lambda they would be built anew for every element.
+    held = texts.join(wanted, "_h").select("_id", "size", "runs", "lined", "light", word_hashes(F.col("_text")).alias("_words"))
+    held = held.select("_id", "size", "runs", "lined", "light", _any_width(F.col("_words"), F.col("size"), widths).alias("hashes"))
+    weighed = F.when(F.col("light").isNull(), F.transform("hashes", lambda h: F.struct(h.alias("h"), F.lit(1.0).alias("w")))).otherwise(
+        F.transform("hashes", lambda h: F.struct(h.alias("h"), weight(h).alias("w")))
     )
-    sliced = cut.withColumn("hashes", F.array_distinct(_any_width(F.col("_words"), F.col("size"), widths))).drop("_words")
-    weights = written(items.select(F.explode("weighted").alias("x")).select("x.h", "x.w").distinct())
-    weighed = (
-        sliced.select("_id", "_h", "start", "size", F.explode_outer("hashes").alias("h"))
-        .where("h IS NOT NULL")
-        .join(weights, "h", "left")
-        .groupBy("_id", "_h", "start", "size")
-        .agg(F.collect_list(F.struct("h", F.coalesce("w", F.lit(1.0)).alias("w"))).alias("seen"), F.sum(F.coalesce("w", F.lit(1.0))).alias("seen_total"))
+    tried = F.explode(F.flatten(F.transform("runs", lambda x: F.sequence(x["at"], x["next"] - 1))))
+    cut = held.select("_id", "size", weighed.alias("all"), "runs", "lined").select("_id", "size", "all", "lined", tried.alias("start"))
+    seen = F.array_distinct(F.slice("all", F.col("start") + 1, F.col("size") - _width(F.col("size")) + 1))
+    windows = written(cut.select("_id", "size", "start", F.array_contains("lined", F.col("start")).alias("lined"), seen.alias("seen")).withColumn("window", F.xxhash64("size", "seen")))
+
+    # Equal windows are hashed once.
+    prints = windows.select("window", "size", "seen").dropDuplicates(["window"]).withColumn("print", simhash(_equal(F.col("seen"))))
+    prints = prints.withColumn("weighted_print", F.when(_even(F.col("seen")), F.col("print")).otherwise(simhash(F.col("seen"))))
+    kinds = F.explode(F.array(F.struct(F.lit(False).alias("weighs"), F.col("print").alias("print")), F.struct(F.lit(True).alias("weighs"), F.col("weighted_print").alias("print"))))
+    prints = prints.select("window", "size", kinds.alias("x")).select("window", "size", "x.weighs", "x.print")
+    # Size, kind, block and value as one number: a join on one long needs little memory.
+    keyed = prints.select("window", "print", F.explode(F.array(*[_seat(F.col("size"), F.col("weighs"), k, _block(F.col("print"), k)) for k in range(BLOCKS)])).alias("seat"))
+    listed = items.withColumn("even", _even(F.col("weighted"))).withColumn("equal_print", simhash(_equal(F.col("weighted"))))
+    listed = listed.withColumn("weighted_print", F.when(F.col("even"), F.col("equal_print")).otherwise(simhash(F.col("weighted"))))
+    kinds = F.explode(
+        F.array(
+            F.struct(F.lit(False).alias("weighs"), F.col("equal_print").alias("item_print"), F.lit(False).alias("wide")),
+            F.struct(F.lit(True).alias("weighs"), F.col("weighted_print").alias("item_print"), (~F.col("even")).alias("wide")),
+        )
     )
-    prints = weighed.withColumn("print", simhash(F.col("seen")))
-    # Size, block and value as one number: a join on one long needs little memory.
-    keyed = prints.select("*", F.explode(F.array(*[_seat(F.col("size"), k, _block(F.col("print"), k)) for k in range(BLOCKS)])).alias("seat"))
-    listed = items.withColumn("item_print", simhash(F.col("weighted")))
+    listed = listed.select("seq", "size", kinds.alias("x")).select("seq", "size", "x.*")
     listed = listed.withColumn("blocks", F.array(*[_block(F.col("item_print"), k) for k in range(BLOCKS)]))
-    near = F.array(*[F.lit(m) for m in _NEAR])
-    probes = F.flatten(F.transform("blocks", lambda b, k: F.transform(near, lambda m: _seat(F.col("size"), k, b.bitwiseXOR(m)))))
-    listed = listed.select("_item", "item_print", "weighted", "total", F.explode_outer(probes).alias("seat"))
+    listed = listed.withColumn("near", F.when(F.col("wide"), _near(WIDE_BLOCK_RADIUS)).otherwise(_near(BLOCK_RADIUS)))
+    probes = F.flatten(F.transform("blocks", lambda b, k: F.transform("near", lambda m: _seat(F.col("size"), F.col("weighs"), k, b.bitwiseXOR(m)))))
+    radius = F.when(F.col("wide"), WIDE_RADIUS).otherwise(RADIUS)
+    listed = listed.select("seq", "item_print", radius.alias("radius"), F.explode_outer(probes).alias("seat"))
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    met = keyed.join(listed, "seat").withColumn("distance", distance).where(F.col("distance") <= RADIUS)
-    inside = F.aggregate(F.filter("weighted", lambda x: F.array_contains(F.transform("seen", lambda y: y["h"]), x["h"])), F.lit(0.0), lambda s, x: s + x["w"])
-    scored = met.withColumn("common", inside).withColumn("similarity", F.col("common") / (F.col("total") + F.col("seen_total") - F.col("common")))
-    kept = scored.where(F.col("similarity") >= similarity - 1e-9)
-    best = kept.groupBy("_id", "_item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("at"), "size", (-F.col("distance")).alias("near"))).alias("b"))
+    met = keyed.join(listed, "seat").withColumn("distance", distance).where("distance <= radius").groupBy("window", "seq").agg(F.min("distance").alias("distance"))
+
+    pairs = windows.join(met, "window").join(items.select("seq", "weighted"), "seq")
+    inside = F.filter("weighted", lambda x: F.array_contains(F.transform("seen", lambda y: y["h"]), x["h"]))
+    scored = pairs.withColumn("inside", inside).withColumn("common", _total(F.col("inside"))).withColumn("n_common", F.size("inside"))
+    by_weight = F.col("common") / (_total(F.col("weighted")) + _total(F.col("seen")) - F.col("common"))
+    by_number = F.col("n_common") / (F.size("weighted") + F.size("seen") - F.col("n_common"))
+    kept = scored.withColumn("similarity", F.round(by_weight, 12)).where(F.col("similarity") >= similarity - 1e-9)
+    kept = kept.select("_id", "seq", "start", "lined", "size", "distance", "similarity").join(ids.select("seq", "_item"), "seq")
+    best = kept.groupBy("_id", "_item").agg(F.max(F.struct("similarity", "lined", (-F.col("start")).alias("at"), "size", (-F.col("distance")).alias("near"))).alias("b"))
     return best.select(
         F.col("_id").alias(id_col),
         F.col("_item").alias(item_id),

@@ -351,6 +351,31 @@ def test_leaks(spark, docs, awkward, empty):
     assert find_leaks(frame, bench.where("1 = 0")).count() == 0
 
 
+def best_window(item, text):
+    """The plain similarity of the best of all item-sized windows, by brute force."""
+    n, best = len(words(item)), 0.0
+    own, all_words = shingle_set(item), words(text)
+    for start in range(max(len(all_words) - n, 0) + 1):
+        seen = shingle_set(" ".join(all_words[start : start + n]))
+        best = max(best, len(own & seen) / len(own | seen))
+    return best
+
+
+def test_leaks_at_every_start(spark):
+    from assaymill.llm.decontaminate import find_leaks
+
+    items, texts = [], []
+    for k, (n, trim, insert) in enumerate([(60, 1, 2), (100, 3, 6), (200, 8, 16)]):
+        w = prose(n, 5000 + k).split()
+        cut = w[trim : n // 2] + prose(insert, 5100 + k).split() + w[n // 2 : n - trim]
+        items.append((k, " ".join(w)))
+        texts.append((k, prose(30, 5200 + k) + " " + " ".join(cut) + " " + prose(30, 5300 + k)))
+    got = {(r.doc_id, r.item_id): r.similarity for r in find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i): s for d, text in texts for i, item in items if (s := best_window(item, text)) >= 0.8}
+    assert set(want) == {(0, 0), (1, 1), (2, 2)}
+    assert got == {pair: pytest.approx(s) for pair, s in want.items()}
+
+
 def test_toxicity(spark, awkward, empty):
     from assaymill.llm.toxicity import fit_ordinal, grade_texts, train
 
