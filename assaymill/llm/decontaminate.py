@@ -13,8 +13,8 @@
    93 values within 3 bits.
 4. Candidates are verified by the exact Jaccard similarity of their shingles, with
    equal weights and with these: a shingle weighs one over the number of distinct
-   items (by their words) that hold it; shingles of no item weigh 1. The weighted
-   one counts.
+   items (by their words) that hold it; shingles of no item weigh 1. The larger of
+   the two counts, so a pair that reaches the limit either way is kept.
 
 With equal votes the expected distance is 10 bits at a similarity of 0.8, with a
 deviation of 3, so the radius leaves out about one pair in a hundred thousand at
@@ -202,7 +202,7 @@ def find_leaks(
     scored = pairs.withColumn("inside", inside).withColumn("common", _total(F.col("inside"))).withColumn("n_common", F.size("inside"))
     by_weight = F.col("common") / (_total(F.col("weighted")) + _total(F.col("seen")) - F.col("common"))
     by_number = F.col("n_common") / (F.size("weighted") + F.size("seen") - F.col("n_common"))
-    kept = scored.withColumn("similarity", F.round(by_weight, 12)).where(F.col("similarity") >= similarity - 1e-9)
+    kept = scored.withColumn("similarity", F.round(F.greatest(by_weight, by_number), 12)).where(F.col("similarity") >= similarity - 1e-9)
     kept = kept.select("_id", "seq", "start", "lined", "size", "distance", "similarity").join(ids.select("seq", "_item"), "seq")
     best = kept.groupBy("_id", "_item").agg(F.max(F.struct("similarity", "lined", (-F.col("start")).alias("at"), "size", (-F.col("distance")).alias("near"))).alias("b"))
     return best.select(

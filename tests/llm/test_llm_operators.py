@@ -376,6 +376,27 @@ def test_leaks_at_every_start(spark):
     assert got == {pair: pytest.approx(s) for pair, s in want.items()}
 
 
+def test_leaks_of_items_with_copies(spark):
+    from assaymill.llm.decontaminate import find_leaks
+
+    def replaced(text, at, word):
+        w = text.split()
+        w[at] = word
+        return " ".join(w)
+
+    twice, ten, last = prose(60, 6000), prose(100, 6001), prose(60, 6002)
+    items = [(0, twice), (1, twice), *[(10 + k, ten) for k in range(10)]]
+    items += [(30 + k, replaced(last, 59, f"end{k}")) for k in range(10)]  # near copies, no two alike
+    texts = [(0, "before " + replaced(twice, 30, "other") + " after"), (1, replaced(ten, 50, "other")), (2, replaced(last, 30, "other")), (3, prose(200, 6003))]
+    texts += [(4 + k, f"a {k} " + replaced(last, 59, f"none{k}")) for k in range(40)]
+    frame, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in find_leaks(frame, bench).collect()}
+    want = {(d, i): s for d, text in texts for i, item in items if (s := best_window(item, text)) >= 0.8}
+    assert {d for d, _ in want} == {0, 1, 2, *range(4, 44)}
+    assert set(got) == set(want)
+    assert all(s >= want[pair] - 1e-9 for pair, s in got.items())
+
+
 def test_toxicity(spark, awkward, empty):
     from assaymill.llm.toxicity import fit_ordinal, grade_texts, train
 
