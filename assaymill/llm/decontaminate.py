@@ -19,9 +19,10 @@
 With equal votes the expected distance is 10 bits at a similarity of 0.8, with a
 deviation of 3, so the radius leaves out about one pair in a hundred thousand at
 the threshold and none to speak of above it. A pair that is at 0.8 by weights but
-below it without them has a cosine of 0.8 at least, as its shared shingles weigh
-more than a half on average: 13 bits are expected with a deviation of 3.2, and the
-radius of 31 is further away than that of 23 is in the first case.
+below it without them has a cosine of 0.8 at least where the window's other shingles
+are of no item: 13 bits are expected with a deviation of 3.2, well within 31. Where
+they are of other items with very unequal weights the cosine can be lower, and such
+a pair may be missed.
 """
 
 from __future__ import annotations
