@@ -168,3 +168,37 @@ def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (_fold(5) != 1).alias("train"))
     scored = score_texts(docs, "train")
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assaymill.llm.filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+SQL["op12_filter_audit"] = r"""
+WITH w AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), f AS (
+    SELECT part, doc_id, [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws),
+        100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'),
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS bad FROM w
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+    SELECT a.x || b.x || c3.x || d.x || e.x AS filter_order FROM c a, c b, c c3, c d, c e
+    WHERE len(list_distinct([a.x, b.x, c3.x, d.x, e.x])) = 5
+), r AS (
+    SELECT part, filter_order, list_transform(range(1, 6), lambda s: bad[ascii(filter_order[s]) - 64]) AS fails, len(list_filter(bad, lambda b: b)) AS n_bad,
+        coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id) CROSS JOIN o
+), s AS (SELECT *, coalesce(list_position(fails, true), 6) AS first_fail, unnest(range(1, 6)) AS step FROM r),
+a AS (
+    SELECT part, filter_order, step, count(*) FILTER (WHERE first_fail > step) AS kept, count(*) FILTER (WHERE first_fail = step) AS removed,
+        count(*) FILTER (WHERE fails[step] AND first_fail < step) AS redundant, count(*) FILTER (WHERE fails[step] AND n_bad = 1) AS unique_fails,
+        count(*) FILTER (WHERE first_fail = step AND good) AS good_lost, count(*) FILTER (WHERE first_fail = step AND toxic) AS toxic_lost
+    FROM s GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM a
+"""
