@@ -202,3 +202,59 @@ a AS (
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
     CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM a
 """
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assaymill.llm.merkle import FIELDS, fold, leaf_of, manifest, siblings_of
+
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = leaf_of(*[lowered if c == "text" else F.col(c) for c in FIELDS])
+    other = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, tampered)
+    rows = manifest(_table(spark, sf_dir, "documents"), keep={"tampered": other})
+    folded = fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    proof = F.sha2(siblings_of(F.col("proof")), 256).alias("proof_sha256")
+    return rows.select("doc_id", "leaf", "subroot", "root", proof, folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+SQL["op13_merkle_manifest"] = r"""
+WITH RECURSIVE d AS (
+    SELECT *, coalesce('1' || lang, '0') AS g, string_split(CAST(doc_id AS VARCHAR), '') AS digits,
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+), h AS (
+    SELECT doc_id, g, low, text, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(digits, lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b:
+        list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda k, z: xor(k >> 1, 3988292384 * (k & 1))))) % 3 = 0 AS hit,
+        list_reduce(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda v: coalesce(strlen(v) || ':' || v, '-')), lambda x, y: x || y) AS head
+    FROM d
+), lv AS (
+    SELECT doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        sha256(head || CASE WHEN hit THEN coalesce(strlen(low) || ':' || low, '-') ELSE coalesce(strlen(text) || ':' || text, '-') END) AS other
+    FROM h
+), rk AS (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY g) AS n FROM lv
+), nd(g, level, i, n, digest) AS (
+    SELECT g, 0, r, n, leaf FROM rk
+    UNION ALL
+    SELECT g, level + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM nd WHERE n > 1 GROUP BY g, level, i // 8
+), sub AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS r, count(*) OVER () AS n FROM nd WHERE n = 1),
+un(level, i, n, digest) AS (
+    SELECT 0, r, n, subroot FROM sub
+    UNION ALL
+    SELECT level + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM un WHERE n > 1 GROUP BY level, i // 8
+), root AS (SELECT digest AS root FROM un WHERE n = 1),
+up AS (
+    SELECT sub.g, un.level, coalesce(string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i < un.i), '') AS l, coalesce(string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i > un.i), '') AS rt
+    FROM sub JOIN un ON un.n > 1 AND un.i = CAST(floor(sub.r / pow(8, un.level)) AS BIGINT) JOIN un o ON o.level = un.level AND o.i // 8 = un.i // 8 GROUP BY ALL
+), low AS (
+    SELECT rk.g, rk.r, nd.level, coalesce(string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i < nd.i), '') AS l, coalesce(string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i > nd.i), '') AS rt
+    FROM rk JOIN nd ON nd.g = rk.g AND nd.n > 1 AND nd.i = CAST(floor(rk.r / pow(8, nd.level)) AS BIGINT) JOIN nd o ON o.g = nd.g AND o.level = nd.level AND o.i // 8 = nd.i // 8 GROUP BY ALL
+), pr AS (
+    SELECT rk.g, rk.r, coalesce(list(l || '|' || rt ORDER BY p), CAST([] AS VARCHAR[])) AS steps FROM rk LEFT JOIN (
+        SELECT g, r, level AS p, l, rt FROM low UNION ALL SELECT rk.g, rk.r, 1000 + up.level, l, rt FROM rk JOIN up USING (g)
+    ) s ON s.g = rk.g AND s.r = rk.r WHERE s.p IS NOT NULL GROUP BY rk.g, rk.r
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(replace(array_to_string(steps, ''), '|', ''), '')) AS proof_sha256,
+    list_reduce(list_prepend(other, coalesce(steps, CAST([] AS VARCHAR[]))), lambda node, s: sha256(split_part(s, '|', 1) || node || split_part(s, '|', 2))) AS folded_root,
+    folded_root = root AS verified
+FROM rk JOIN sub USING (g) CROSS JOIN root LEFT JOIN pr ON pr.g = rk.g AND pr.r = rk.r
+"""
