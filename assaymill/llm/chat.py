@@ -202,12 +202,14 @@ def to_turns(records: DataFrame, id_col: str = "conv_id", layouts: Sequence[Layo
                 raise ValueError(f"layouts {table[mark]} and {layout.name} accept the same fields")
     names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     marked = records.select("*", fingerprint(schema, layouts).alias("_fingerprint")).withColumn("_layout", F.try_element_at(names, F.col("_fingerprint")))
+    # Drawn once per record, before its turns are rows.
+    marked = marked.withColumn("_record", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
     usable = [(x, [p for p in x.paths() if _filled(schema, p) is not None]) for x in layouts]
     cases = [(x.name, _turns(schema, x)) for x, paths in usable if paths]
     turns = reduce(lambda c, case: c.when(F.col("_layout") == case[0], case[1]), cases[1:], F.when(F.col("_layout") == cases[0][0], cases[0][1])) if cases else F.lit(None).cast(TURN)
     flat = marked.select(
         F.col(id_col).alias("_id"),
-        F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("_record"),
+        "_record",
         "_layout",
         "_fingerprint",
         F.explode_outer(turns).alias("_turn"),
