@@ -47,8 +47,8 @@ class AuditConfig:
     soft_sigma: float = 0.6
     calibration_bins: int = 10
     # fitting of heads
-    fit_iterations: int = 25
-    fit_tolerance: float = 1e-4
+    fit_iterations: int = 100
+    fit_tolerance: float = 1e-9
     regularisations: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0)
     # image quality gate
     dark_luma: float = 40.0

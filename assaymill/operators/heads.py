@@ -1,105 +1,114 @@
-"""Prediction heads as Spark ML linear models, and the rules for using them.
+"""Prediction heads: linear models on feature arrays, and the rules for using them.
 
 A head is fitted on the training split, its regularisation chosen on the
-validation split, and the test split scored once.
+validation split, and the test split scored once. All fits of a call, over heads,
+feature sets, groups and regularisations, share their passes (``many_fits``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaymill.config import AuditConfig, DEFAULTS, SEVERITY_CLASSES
+from assaymill.config import AuditConfig, DEFAULTS
 from assaymill.functions import prob
-from assaymill.functions.who import severity_band, severity_index
 from assaymill.operators import agreement as A
-from assaymill.operators import training as T
+from assaymill.operators import sweep as W
+from assaymill.operators.many_fits import Solution, Spec, fit_many, score_many
 
 HEADS = ("regression", "binary", "severity", "ordinal")
+KINDS_OF_HEAD = (*HEADS, "ridge")
+
+
+def _numbers(values: np.ndarray | Sequence[float]) -> Column:
+    """An array of doubles as one literal, however long."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def _dot(features: Column, values: np.ndarray) -> Column:
+    return F.aggregate(F.zip_with(features, _numbers(values), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
 @dataclass(frozen=True)
 class Head:
-    """A fitted head: its model and the label value of each class."""
+    """A fitted head: coefficients on the raw features, and the label value of each class."""
 
     name: str
-    model: object
-    regularisation: float
-    centres: tuple[float, ...] = ()
-    classes: tuple[int, ...] = field(default=())
-    converged: bool = True
+    solution: Solution
+
+    @property
+    def regularisation(self) -> float:
+        return self.solution.spec.regularisation
+
+    @property
+    def converged(self) -> bool:
+        return self.solution.converged
+
+    @property
+    def centres(self) -> tuple[float, ...]:
+        return self.solution.centres
+
+    def features(self, of: Column, width: int | None = None) -> Column:
+        """The columns this head reads, out of the array of all."""
+        columns = self.solution.spec.columns
+        if width == len(columns) and columns == tuple(range(width)):
+            return of
+        return F.transform(F.split(F.lit(",".join(map(str, columns))), ",").cast("array<int>"), lambda k: F.get(of, k))
 
     def predict(self, df: DataFrame, out: str = "y_pred") -> DataFrame:
-        scored = self.model.transform(df.withColumn("_x", array_to_vector("features")))
-        if self.name == "regression":
-            return scored.withColumn(out, F.col("prediction")).drop("_x", "prediction")
-        scored = scored.withColumn("_p", vector_to_array("probability"))
-        return scored.withColumn(out, prob.expected_value("_p", self.centres)).drop(
-            "_x", "prediction", "rawPrediction", "probability"
-        ).withColumnRenamed("_p", "probabilities")
+        """``df`` with the prediction, NULL where a feature is; class heads add ``probabilities``."""
+        coef = self.solution.coef
+        x = df.withColumn("_x", self.features(F.col("features")))
+        outputs = [F.lit(float(coef[0, k])) + _dot(F.col("_x"), coef[1:, k]) for k in range(coef.shape[1])]
+        if not self.centres:
+            return x.withColumn(out, outputs[0]).drop("_x")
+        scored = prob.softmax(x.withColumn("_z", F.array(*outputs)), "_z", "probabilities")
+        return scored.withColumn(out, prob.expected_value("probabilities", self.centres)).drop("_x", "_z")
 
 
-def _classes(head: str, cfg: AuditConfig) -> tuple[Column, int]:
-    if head == "binary":
-        return (F.col("y") < cfg.cut_male).cast("int"), 2
-    return severity_index(severity_band(F.col("y"), F.col("sex"), cfg)), len(SEVERITY_CLASSES)
+def _width(rows: DataFrame) -> int:
+    first = rows.where("features IS NOT NULL").select(F.size("features")).first()
+    return first[0] if first else 0
 
 
-def _converged(model, cfg: AuditConfig) -> bool:
-    return model.summary.totalIterations < cfg.fit_iterations
+def _heads(rows: DataFrame, specs: Sequence[Spec], group: str, cfg: AuditConfig) -> list[Head]:
+    for spec in specs:
+        if spec.head not in KINDS_OF_HEAD:
+            raise ValueError(f"unknown head {spec.head!r}")
+    return [Head(s.spec.head, s) for s in fit_many(rows, specs, group, cfg)]
 
 
 def fit(train: DataFrame, head: str, regularisation: float = 0.01, cfg: AuditConfig = DEFAULTS) -> Head:
     """Fit one head on rows with ``features`` (array), ``y`` and ``sex``."""
-    data = train.withColumn("_x", array_to_vector("features"))
-    if head == "regression":
-        model = LinearRegression(
-            featuresCol="_x", labelCol="y", loss="huber", regParam=regularisation, maxIter=cfg.fit_iterations, tol=cfg.fit_tolerance
-        ).fit(data)
-        return Head(head, model, regularisation, converged=_converged(model, cfg))
-    if head == "ordinal":
-        # Soft-target cross-entropy: one row per class, weighted by its share.
-        k = len(cfg.centres)
-        soft = prob.soft_label(data, "y", "_w", cfg.centres, cfg.soft_sigma)
-        long = soft.select("_x", F.posexplode("_w").alias("label", "weight")).where("weight > 0")
-        model = LogisticRegression(
-            featuresCol="_x", labelCol="label", weightCol="weight", family="multinomial",
-            regParam=regularisation, maxIter=cfg.fit_iterations, tol=cfg.fit_tolerance,
-        ).fit(long)
-        return Head(head, model, regularisation, tuple(cfg.centres)[: model.numClasses], tuple(range(k)), _converged(model, cfg))
-    if head in ("binary", "severity"):
-        klass, k = _classes(head, cfg)
-        weights = T.class_weights(train, klass, k)
-        centres = {row["klass"]: row["centre"] for row in T.class_centres(train, klass, "y", k).collect()}
-        weighted = data.withColumns({"label": klass, "weight": T.weight_lookup(weights, klass)})
-        model = LogisticRegression(
-            featuresCol="_x", labelCol="label", weightCol="weight", family="multinomial",
-            regParam=regularisation, maxIter=cfg.fit_iterations, tol=cfg.fit_tolerance,
-        ).fit(weighted)
-        return Head(head, model, regularisation, tuple(centres[i] for i in range(model.numClasses)), converged=_converged(model, cfg))
-    raise ValueError(f"unknown head {head!r}")
+    columns = tuple(range(_width(train)))
+    return _heads(train.withColumn("_all", F.lit("train")), [Spec(head, head, regularisation, columns)], "_all", cfg)[0]
 
 
 def score(head: Head, rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return A.agreement(head.predict(rows), "y", "y_pred", by).withColumns({"head": F.lit(head.name), "converged": F.lit(head.converged)})
 
 
+def choose_many(rows: DataFrame, heads: Sequence[str] = HEADS, grid: Sequence[float] | None = None, cfg: AuditConfig = DEFAULTS) -> dict[str, Head]:
+    """Per head the regularisation with the lowest validation error; all are fitted together."""
+    columns = tuple(range(_width(rows)))
+    specs = [Spec(f"{h}/{g}", h, g, columns) for h in heads for g in grid or cfg.regularisations]
+    fits = _heads(rows.where("split = 'train'"), specs, "split", cfg)
+    errors = [s["mae"] for s in score_many(rows.where("split = 'val'"), [f.solution for f in fits])]
+    best: dict[str, tuple[float, float, Head]] = {}
+    for error, head in zip(errors, fits):
+        key = (float("inf") if error is None else error, head.regularisation)
+        if head.name not in best or key < best[head.name][:2]:
+            best[head.name] = (*key, head)
+    return {name: best[name][2] for name in heads}
+
+
 def choose(rows: DataFrame, head: str, grid: Sequence[float] | None = None, cfg: AuditConfig = DEFAULTS) -> Head:
     """Fit every regularisation on train, keep the lowest validation error."""
-    train, val = rows.where("split = 'train'").cache(), rows.where("split = 'val'").cache()
-    try:
-        fits = [fit(train, head, g, cfg) for g in grid or cfg.regularisations]
-        errors = [A.headline(h.predict(val), "y").first()["mae"] for h in fits]
-    finally:
-        train.unpersist()
-        val.unpersist()
-    return min(zip(errors, fits), key=lambda pair: (pair[0], pair[1].regularisation))[1]
+    return choose_many(rows, [head], grid, cfg)[head]
 
 
 class TestReadTwice(RuntimeError):
@@ -120,21 +129,88 @@ def score_test_once(head: Head, rows: DataFrame, ledger: str, run: str) -> DataF
     return spark.read.parquet(path)
 
 
-def cross_site(rows: DataFrame, head: str, pairs: Sequence[tuple[str, str]], regularisation: float = 0.01) -> DataFrame:
+def cross_site(rows: DataFrame, head: str, pairs: Sequence[tuple[str, str]], regularisation: float = 0.01, cfg: AuditConfig = DEFAULTS) -> DataFrame:
     """Fit on one site and predict another, in every listed direction.
 
-    There are no validation rows at the test site, so nothing is selected.
+    There are no validation rows at the test site, so nothing is selected. All sites
+    are fitted together, and each training site's head scores its test sites in one go.
     """
+    columns = tuple(range(_width(rows)))
+    sites = list(dict.fromkeys(a for a, _ in pairs))
     parts = []
-    for a, b in pairs:
-        model = fit(rows.where(F.col("site") == a), head, regularisation)
+    for model in _heads(rows, [Spec(a, head, regularisation, columns, a) for a in sites], "site", cfg):
+        a = model.solution.spec.group
+        tested = model.predict(rows.where(F.col("site").isin([y for x, y in pairs if x == a])))
         parts.append(
-            model.predict(rows.where(F.col("site") == b)).select(
-                F.lit(head).alias("head"), F.lit(f"{a}->{b}").alias("fold"), F.lit(a).alias("train_site"),
-                F.lit(b).alias("test_site"), F.col("y").alias("y_true"), "y_pred", "sex",
+            tested.select(
+                F.lit(head).alias("head"), F.concat(F.lit(f"{a}->"), F.col("site")).alias("fold"), F.lit(a).alias("train_site"),
+                F.col("site").alias("test_site"), F.col("y").alias("y_true"), "y_pred", "sex",
             )
         )
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# --- the sweep over configurations -------------------------------------------------
+
+
+def side_by_side(stacked: DataFrame, widths: Mapping[str, int], row_id: str = "id") -> tuple[DataFrame, dict[str, tuple[int, ...]]]:
+    """Feature tables of many keys, stacked as (id, cache_key, features), as one array per id.
+
+    Returns that table and each key's places in the array. An id without a table's row
+    has missing values there, so it is no row of the candidates that read it. One shuffle.
+    """
+    names = sorted(widths)
+    places, at = {}, 0
+    for name in names:
+        places[name] = tuple(range(at, at + widths[name]))
+        at += widths[name]
+    blocks = [F.first(F.when(F.col("cache_key") == name, F.col("features")), ignorenulls=True) for name in names]
+    filled = [F.coalesce(b, F.array_repeat(F.lit(None).cast("double"), widths[name])) for name, b in zip(names, blocks)]
+    return stacked.groupBy(row_id).agg(F.concat(*filled).alias("features")), places
+
+
+def sweep_grid(
+    rows: DataFrame, places: Mapping[str, Sequence[int]], head: str = "regression", grid: Sequence[float] | None = None, cfg: AuditConfig = DEFAULTS
+) -> tuple[DataFrame, dict[str, Head]]:
+    """Fit every configuration on train and measure it on validation; the test split is not read.
+
+    ``places`` has the feature columns of each extraction key; hybrid ones are those of
+    its deep and colour parts. Returns a row per configuration, with the best
+    regularisation of each, and the fitted heads by label.
+    """
+    spark = rows.sparkSession
+    candidates = [r.asDict() for r in W.grid(spark, head).collect()]
+    missing = sorted({c["cache_key"] for c in candidates} - set(places))
+    if missing:
+        raise KeyError(f"no features for {missing}: extract them first")
+    specs = [Spec(c["label"], head, g, tuple(places[c["cache_key"]])) for c in candidates for g in grid or cfg.regularisations]
+    fits = _heads(rows.where("split = 'train'"), specs, "split", cfg)
+    scores = score_many(rows.where("split = 'val'"), [f.solution for f in fits])
+    best: dict[str, tuple[float, float, Head, dict[str, float]]] = {}
+    for model, s in zip(fits, scores):
+        label = model.solution.spec.name
+        key = (float("inf") if s["mae"] is None else s["mae"], model.regularisation)
+        if label not in best or key < best[label][:2]:
+            best[label] = (*key, model, s)
+    table = []
+    for c in candidates:
+        _, _, model, s = best[c["label"]]
+        table.append((c["label"], c["kind"], c["roi"], c["balance"], head, len(model.solution.spec.columns), model.regularisation, model.solution.n, s["n"], s["mae"], s["r2"], model.converged))
+    schema = "label string, kind string, roi string, balance string, head string, feature_dim int, regularisation double, n_train long, n_val long, val_mae double, val_r2 double, converged boolean"
+    return spark.createDataFrame(table, schema), {label: b[2] for label, b in best.items()}
+
+
+def finish_sweep(table: DataFrame, heads: Mapping[str, Head], rows: DataFrame, ledger: str, metric: str = "mae") -> DataFrame:
+    """Select on validation, then score the winner's test split once.
+
+    One row per configuration, best first; the winner's row has the test columns.
+    """
+    if not table.where(F.col(f"val_{metric}").isNotNull()).take(1):
+        raise ValueError(f"no configuration has a finite validation {metric}")
+    best = W.winner(table, metric).first()
+    test = score_test_once(heads[best["label"]], rows, ledger, best["label"].replace(" / ", "-"))
+    own = test.select(F.lit(True).alias("selected"), F.col("n").alias("n_test"), F.col("mae").alias("test_mae"), F.col("rmse").alias("test_rmse"), F.col("r2").alias("test_r2"))
+    return W.ranked(table, metric).join(own, "selected", "left")

@@ -4,6 +4,7 @@ from assaymill.plans import (  # noqa: F401
     agreement_queries,
     corpus_queries,
     event_queries,
+    fit_queries,
     pixel_queries,
     report_queries,
     score_queries,

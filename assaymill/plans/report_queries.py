@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from assaymill.config import AuditConfig, CONFOUND_NOTE
 from assaymill.operators import agreement as A
 from assaymill.operators import calibration as C
-from assaymill.operators import heads as H
 from assaymill.operators import sweep as W
 from assaymill.operators import tables as B
 from assaymill.operators import training as T
@@ -350,55 +349,6 @@ def feature_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return W.same_features(prints[0].unionByName(prints[1]).unionByName(prints[2]))
 
 
-# --- model jobs -------------------------------------------------------------------
-
-READY = [f"f{i}" for i in range(1, 14) if i != 5]
-
-
-def _features(spark: SparkSession, sf: str) -> DataFrame:
-    df = T.standardise(FEATURES.frame(spark, sf), READY)
-    # An iterative fit reads its input many times: standardise it once.
-    return written(df.select("id", "site", "sex", "split", "y", F.array(*READY).alias("features")))
-
-
-@query("head_fits", "L1 L2 L3 L4 L5: chosen on validation, test scored once")
-def head_fits(spark: SparkSession, sf: str) -> DataFrame:
-    rows, ledger = _features(spark, sf), shared_folder(spark)
-    parts = [H.score_test_once(H.choose(rows, name), rows, ledger, name) for name in H.HEADS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return published(out, 4)
-
-
-@query("cross_site_fit", "L6 A46: both directions of a site holdout")
-def cross_site_fit(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _features(spark, sf)
-    scored = H.cross_site(rows, "regression", [("north", "south"), ("south", "north")])
-    means = rows.groupBy("site").agg(F.avg("y").alias("mean"))
-    return published(B.holdout_table(scored, means), 4)
-
-
-@query("configuration_sweep", "L7 W13 W14: all candidates on validation, only the winner on test")
-def configuration_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    base = written(T.standardise(FEATURES.frame(spark, sf), READY))
-    blocks = {"deep": READY[:6], "colour": READY[6:], "hybrid": READY}
-    fits, rows = {}, None
-    for kind, columns in blocks.items():
-        data = base.select("id", "site", "sex", "split", "y", F.array(*columns).alias("features"))
-        fits[kind] = (H.fit(data.where("split = 'train'"), "regression"), data)
-        val = H.score(fits[kind][0], data.where("split = 'val'")).select(
-            F.lit(kind).alias("kind"), F.lit("palpebral").alias("roi"), F.lit("balanced").alias("balance"),
-            F.col("mae").alias("val_mae"), F.col("r2").alias("val_r2"),
-        )
-        rows = val if rows is None else rows.unionByName(val)
-    best = W.winner(W.labelled(rows)).first()
-    head, data = fits[best["kind"]]
-    test = H.score_test_once(head, data, shared_folder(spark), best["label"].replace(" / ", "-"))
-    out = test.select(F.lit(best["label"]).alias("label"), F.lit(best["val_mae"]).alias("val_mae"), F.lit(best["gap"]).alias("gap"), "n", "mae", "rmse")
-    return published(out, 4)
-
-
 # --- the whole audit ---------------------------------------------------------------
 
 
