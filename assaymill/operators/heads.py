@@ -7,10 +7,10 @@ feature sets, groups and regularisations, share their passes (``many_fits``).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,18 +19,19 @@ from assaymill.functions import prob
 from assaymill.operators import agreement as A
 from assaymill.operators import sweep as W
 from assaymill.operators.many_fits import Solution, Spec, fit_many, score_many
+from assaymill.session import written
 
 HEADS = ("regression", "binary", "severity", "ordinal")
 KINDS_OF_HEAD = (*HEADS, "ridge")
 
 
-def _numbers(values: np.ndarray | Sequence[float]) -> Column:
-    """An array of doubles as one literal, however long."""
-    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+def _literal(values: list, kind: str) -> Column:
+    """Numbers as one literal, however many."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
-def _dot(features: Column, values: np.ndarray) -> Column:
-    return F.aggregate(F.zip_with(features, _numbers(values), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+def _dot(x: Column, w: Column) -> Column:
+    return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
 @dataclass(frozen=True)
@@ -52,22 +53,16 @@ class Head:
     def centres(self) -> tuple[float, ...]:
         return self.solution.centres
 
-    def features(self, of: Column, width: int | None = None) -> Column:
-        """The columns this head reads, out of the array of all."""
-        columns = self.solution.spec.columns
-        if width == len(columns) and columns == tuple(range(width)):
-            return of
-        return F.transform(F.split(F.lit(",".join(map(str, columns))), ",").cast("array<int>"), lambda k: F.get(of, k))
-
     def predict(self, df: DataFrame, out: str = "y_pred") -> DataFrame:
         """``df`` with the prediction, NULL where a feature is; class heads add ``probabilities``."""
-        coef = self.solution.coef
-        x = df.withColumn("_x", self.features(F.col("features")))
-        outputs = [F.lit(float(coef[0, k])) + _dot(F.col("_x"), coef[1:, k]) for k in range(coef.shape[1])]
+        columns, coef = self.solution.spec.columns, self.solution.coef
+        own = F.transform(_literal(list(columns), "array<int>"), lambda k: F.get(F.col("features"), k))
+        x = df.withColumn("_x", F.concat(F.array(F.lit(1.0)), own))
+        x = x.withColumn("_z", F.transform(_literal(coef.T.tolist(), "array<array<double>>"), lambda w: _dot(F.col("_x"), w)))
         if not self.centres:
-            return x.withColumn(out, outputs[0]).drop("_x")
-        scored = prob.softmax(x.withColumn("_z", F.array(*outputs)), "_z", "probabilities")
-        return scored.withColumn(out, prob.expected_value("probabilities", self.centres)).drop("_x", "_z")
+            return x.withColumn(out, F.col("_z")[0]).drop("_x", "_z")
+        scored = prob.softmax(x, "_z", "probabilities")
+        return scored.withColumn(out, _dot(F.col("probabilities"), _literal(list(self.centres), "array<double>"))).drop("_x", "_z")
 
 
 def _width(rows: DataFrame) -> int:
@@ -89,7 +84,9 @@ def fit(train: DataFrame, head: str, regularisation: float = 0.01, cfg: AuditCon
 
 
 def score(head: Head, rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return A.agreement(head.predict(rows), "y", "y_pred", by).withColumns({"head": F.lit(head.name), "converged": F.lit(head.converged)})
+    # Written, so that a prediction is computed once and not in every measure.
+    predicted = written(head.predict(rows).select("y", "y_pred", *by))
+    return A.agreement(predicted, "y", "y_pred", by).withColumns({"head": F.lit(head.name), "converged": F.lit(head.converged)})
 
 
 def choose_many(rows: DataFrame, heads: Sequence[str] = HEADS, grid: Sequence[float] | None = None, cfg: AuditConfig = DEFAULTS) -> dict[str, Head]:
