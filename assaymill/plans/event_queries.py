@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from assaymill.config import AuditConfig
 from assaymill.operators import events as E
 from assaymill.plans.registry import published, query, r
-from assaymill.plans.views import BODIES, TELEMETRY
+from assaymill.plans.views import BODIES, FEEDBACK, TELEMETRY
 from assaymill.session import configure, shared_folder
 from assaymill.sources.events import stream_events
 from assaymill.streaming import intake as S
@@ -84,12 +84,9 @@ ROUTED = f"""SELECT event_id, error_field, coalesce(code0, CASE WHEN error_field
 
 @query("body_fields", "F17 F19: fields typed by their JSON type", ROUTED)
 def body_fields(spark: SparkSession, sf: str) -> DataFrame:
-    df = E.parsed_fields(_bodies(spark, sf).withColumn("_body", E.body_error(F.col("body"))))
-    wrong = E.field_error({n: F.col(f"{n}_given") for n in E.RANGES})
-    df = df.withColumn("error_field", F.when(F.col("_body").isNull(), wrong))
-    return df.select(
-        "event_id", "error_field", F.coalesce("_body", F.when(F.col("error_field").isNotNull(), E.INVALID)).alias("code")
-    )
+    df = E.judged_bodies(_bodies(spark, sf))
+    code = F.coalesce("body_code", F.when(F.col("error_field").isNotNull(), E.INVALID))
+    return df.select("event_id", "error_field", code.alias("code"))
 
 
 @query(
@@ -137,19 +134,53 @@ def rate_limit_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return E.rate_limit(_telemetry(spark, sf), limit=1, window_ms=DAY_MS // 4).select("event_id", "allowed")
 
 
-@query(
-    "event_intake",
-    "F17 F19 W15 W16 in order",
-    f"""WITH l AS ({limit_sql(5, DAY_MS)}), j AS (SELECT x.*, allowed, CASE WHEN NOT allowed THEN 'RATE_LIMITED' WHEN code0 IS NOT NULL THEN code0
-     WHEN error_field IS NOT NULL THEN 'INVALID_BODY' END AS code FROM {JUDGED} x JOIN l USING (event_id)),
-    c AS (SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) > 120 THEN 'RATE_LIMITED' END AS code,
+def intake_sql(judged: str, cap: int) -> str:
+    return f"""WITH l AS ({limit_sql(5, DAY_MS)}), j AS (SELECT x.*, allowed, CASE WHEN NOT allowed THEN 'RATE_LIMITED' WHEN code0 IS NOT NULL THEN code0
+     WHEN error_field IS NOT NULL THEN 'INVALID_BODY' END AS code FROM {judged} x JOIN l USING (event_id)),
+    c AS (SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) > {cap} THEN 'RATE_LIMITED' END AS code,
      cast(NULL AS VARCHAR) AS error_field FROM j WHERE code IS NULL)
     SELECT event_id, code, error_field FROM c UNION ALL
-    SELECT event_id, code, CASE WHEN allowed THEN error_field END FROM j WHERE code IS NOT NULL""",
-)
+    SELECT event_id, code, CASE WHEN allowed THEN error_field END FROM j WHERE code IS NOT NULL"""
+
+
+# Limits at which the given events, a few per user and day, are refused at all.
+TELEMETRY_CFG = AuditConfig(rate_limit=5, rate_window_ms=DAY_MS, telemetry_daily_cap=120)
+FEEDBACK_CFG = AuditConfig(rate_limit=5, rate_window_ms=DAY_MS, feedback_daily_cap=100)
+HB = "try_cast(json_extract_string(safe, '$.hb') AS DOUBLE)"
+REPORTED = f"""(SELECT event_id, key, ts, code0, CASE WHEN code0 IS NULL AND NOT coalesce(json_type(safe, '$.hb') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND {HB} BETWEEN 3 AND 25, false)
+ THEN 'hb' END AS error_field FROM (SELECT *, {BODY} AS code0, CASE WHEN json_valid(body) THEN body ELSE '{{}}' END AS safe FROM ({FEEDBACK.sql()})))"""
+
+
+def _reports(spark: SparkSession, sf: str) -> DataFrame:
+    return FEEDBACK.frame(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _answers(df: DataFrame) -> DataFrame:
+    return df.select("event_id", "code", "error_field")
+
+
+@query("event_intake", "F17 F19 W15 W16 in order", intake_sql(JUDGED, 120))
 def event_intake(spark: SparkSession, sf: str) -> DataFrame:
-    cfg = AuditConfig(rate_limit=5, rate_window_ms=DAY_MS, telemetry_daily_cap=120)
-    return E.intake(_bodies(spark, sf), cfg).select("event_id", "code", "error_field")
+    return _answers(E.intake(_bodies(spark, sf), TELEMETRY_CFG))
+
+
+@query("feedback_intake", "F19 F20 S17 W15 W16: laboratory values, with limit and cap of their own", intake_sql(REPORTED, 100))
+def feedback_intake(spark: SparkSession, sf: str) -> DataFrame:
+    return _answers(E.intake(_reports(spark, sf), FEEDBACK_CFG, "feedback"))
+
+
+@query("event_intake_stream", "T1 T2 T3 F17 F19 W15 W16: the whole chain on a stream", intake_sql(JUDGED, 120))
+def event_intake_stream(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared_folder(spark)
+    S.intake(BODIES.over(_stream(spark, sf)), folder, "telemetry", TELEMETRY_CFG)
+    return _answers(S.taken_in(spark, folder))
+
+
+@query("feedback_stream", "T1 T2 T3 F20 S17: laboratory values on a stream", intake_sql(REPORTED, 100))
+def feedback_stream(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared_folder(spark)
+    S.intake(FEEDBACK.over(_stream(spark, sf)), folder, "feedback", FEEDBACK_CFG)
+    return _answers(S.taken_in(spark, folder))
 
 
 DAYS = f"SELECT strftime(ts, '%Y-%m-%d') AS day, band, count(*) AS n FROM {TL} GROUP BY 1, 2"

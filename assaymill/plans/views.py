@@ -305,3 +305,16 @@ BODIES = View(
         " ',\"extra\":', props, '}') end",
     },
 )
+# Feedback requests: a laboratory value, some bodies of another shape or type.
+FEEDBACK = View(
+    source="",
+    parent=TELEMETRY,
+    columns={
+        "event_id": "event_id",
+        "ts": "ts",
+        "key": "key",
+        "body": "case event_id % 40 when 1 then '{\"hb\":' when 2 then '[12.5]' when 3 then '{\"hb\":\"12.5\"}' when 4 then '{\"hb\":null}'"
+        " when 5 then concat('{\"pad\":\"', repeat('x', 1100), '\"}') when 6 then '{\"value\":12.5}'"
+        " else concat('{\"hb\":', cast(lab as string), ',\"comment\":\"dropped\"}') end",
+    },
+)

@@ -11,8 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assaymill.config import AuditConfig, DEFAULTS
@@ -37,12 +40,7 @@ def _run(stream: DataFrame, folder: str, each, mode: str = "append") -> None:
 
 def route(bodies: DataFrame, folder: str, cfg: AuditConfig = DEFAULTS) -> None:
     """Validate each body and store it as accepted or rejected with its code."""
-    checked = E.parsed_fields(bodies.withColumn("_body", E.body_error(F.col("body"), cfg)))
-    wrong = E.field_error({n: F.col(f"{n}_given") for n in E.RANGES})
-    judged = checked.withColumn("error_field", F.when(F.col("_body").isNull(), wrong))
-    judged = judged.withColumn(
-        "code", F.coalesce("_body", F.when(F.col("error_field").isNotNull(), E.INVALID))
-    ).drop("_body", *[f"{n}_given" for n in E.RANGES])
+    judged = E.judged_bodies(bodies, cfg=cfg).withColumn("code", E.intake_code(F.lit(True))).drop("body_code")
 
     def each(batch: DataFrame, number: int) -> None:
         marked = batch.withColumn("accepted", F.col("code").isNull())
@@ -78,22 +76,47 @@ def capped(events: DataFrame, folder: str, cap: int) -> None:
 
 
 def counted(events: DataFrame, folder: str, late: str = "1 day") -> None:
-    """Counts per day and band; the newest batch holds the full table."""
+    """Counts per day and band, kept as one partition per day.
+
+    A batch brings the counts that it changed, and replaces the partitions of those days
+    alone; a day behind the watermark leaves the state. So state and output of a batch
+    depend on the days it touches, not on all days so far. A partition is written with
+    the bands its day already had, and a repeated batch writes the same again.
+    """
     days = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "band").agg(
         F.count(F.lit(1)).alias("n")
     )
     table = days.select(E.utc_day(F.col("w.start")).alias("day"), "band", "n")
+    path = f"{folder}/days"
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-
-    _run(table, folder, each, "complete")
+        session = batch.sparkSession
+        fresh = f"{folder}/changed/batch={number}"
+        batch.write.mode("overwrite").parquet(fresh)
+        changed = session.read.schema(batch.schema).parquet(fresh)
+        touched = [r[0] for r in changed.select("day").distinct().collect()]  # days of one batch
+        if not touched:
+            return
+        merged = changed
+        try:
+            known = newest(session, folder)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            bands = known.where(F.col("day").isin(touched)).alias("a").join(changed.alias("b"), (F.col("a.day") == F.col("b.day")) & F.col("a.band").eqNullSafe(F.col("b.band")), "left_anti")
+            merged = changed.unionByName(bands)
+        whole = f"{folder}/merged/batch={number}"
+        merged.write.mode("overwrite").parquet(whole)
+        new = session.read.schema(merged.schema).parquet(whole)
+        new.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+    _run(table, folder, each, "update")
 
 
 def newest(spark, folder: str) -> DataFrame:
-    df = spark.read.option("basePath", folder).parquet(folder)
-    last = df.agg(F.max("batch")).scalar()
-    return df.where(F.col("batch") == last).drop("batch")
+    """The table that ``counted`` keeps."""
+    return spark.read.schema("band string, n long, day string").parquet(f"{folder}/days").select("day", "band", "n")
 
 
 def limited(events: DataFrame, limit: int, window_ms: int, late: str = "1 minute") -> DataFrame:
@@ -111,16 +134,7 @@ def limited(events: DataFrame, limit: int, window_ms: int, late: str = "1 minute
         reset, used = state.get if state.exists else (E.START, 0)
         rows = pd.concat(list(parts), ignore_index=True).sort_values(["ms", "event_id"], ignore_index=True)
         ms = rows["ms"].to_numpy(dtype=np.int64)
-        at = int(np.searchsorted(ms, reset, side="right"))
-        allowed = np.empty(len(ms), bool)
-        allowed[:at] = used + np.arange(1, at + 1) <= limit
-        used += at
-        while at < len(ms):  # one step per window, not per row
-            reset = int(ms[at]) + window_ms
-            end = int(np.searchsorted(ms, reset, side="right"))
-            used = end - at
-            allowed[at:end] = np.arange(1, used + 1) <= limit
-            at = end
+        allowed, reset, used = _allowed(ms, reset, used, limit, window_ms)
         state.update((reset, used))
         state.setTimeoutTimestamp(max(reset, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "allowed": allowed})
@@ -138,6 +152,113 @@ def limited(events: DataFrame, limit: int, window_ms: int, late: str = "1 minute
     return timed.unionByName(untimed)
 
 
+class _WindowLimit(StatefulProcessor):
+    """The open window of one client: when it ends, and what it has taken.
+
+    A timer at the window's end forgets the client once the watermark is past it, so
+    the store holds the clients of open windows only.
+    """
+
+    def __init__(self, limit: int, window_ms: int, columns: list[str]) -> None:
+        self.limit, self.window_ms, self.columns = limit, window_ms, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", T.StructType([T.StructField("reset", T.LongType()), T.StructField("used", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        reset, used = self.window.get() if self.window.exists() else (E.START, 0)
+        entered = reset
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ms", "event_id"], ignore_index=True)
+        allowed, reset, used = _allowed(batch["ms"].to_numpy(dtype=np.int64), reset, used, self.limit, self.window_ms)
+        self.window.update((reset, used))
+        if reset != entered:
+            if entered != E.START:
+                self.handle.deleteTimer(entered)
+            self.handle.registerTimer(reset)
+        yield batch[self.columns].assign(allowed=allowed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.window.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _allowed(ms: np.ndarray, reset: int, used: int, limit: int, window_ms: int) -> tuple[np.ndarray, int, int]:
+    """Which of a client's events, in order of time, its limit lets through; and the window left open."""
+    at = int(np.searchsorted(ms, reset, side="right"))
+    allowed = np.empty(len(ms), bool)
+    allowed[:at] = used + np.arange(1, at + 1) <= limit
+    used += at
+    while at < len(ms):  # one step per window, not per row
+        reset = int(ms[at]) + window_ms
+        end = int(np.searchsorted(ms, reset, side="right"))
+        used = end - at
+        allowed[at:end] = np.arange(1, used + 1) <= limit
+        at = end
+    return allowed, reset, used
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def intake(events: DataFrame, folder: str, kind: str = "telemetry", cfg: AuditConfig = DEFAULTS, late: str = "1 minute") -> None:
+    """The whole chain on a stream of (event_id, key, ts, body): limit, body, fields, daily cap.
+
+    Bodies are parsed before the state, so the state sees typed fields and no body. The
+    limit is kept per client in the state store; the cap, which belongs to a day and not
+    to a client, in a small table that each batch reads from its predecessor and writes
+    anew. A batch that is repeated replaces its own output. All rows of one client in one
+    batch are sorted in one task: bound a batch with the source's own options.
+    """
+    spark = events.sparkSession
+    judged = E.judged_bodies(events, kind, cfg)
+    fields = [c for c in judged.columns if c not in ("key", "ts", "body")]
+    keyed = judged.where("ts IS NOT NULL").withWatermark("ts", late)
+    # NULL is a client of its own, and told apart from any name by the first letter.
+    client = F.coalesce(F.concat(F.lit("k"), F.col("key").cast("string")), F.lit("")).alias("client")
+    slim = keyed.select(client, "key", "ts", F.unix_millis("ts").alias("ms"), *fields)
+    out = ["key", "ts", *fields]
+    schema = T.StructType([*[slim.schema[c] for c in out], T.StructField("allowed", T.BooleanType())])
+    limited = slim.groupBy("client").transformWithStateInPandas(_WindowLimit(cfg.rate_limit, cfg.rate_window_ms, out), schema, "Append", "eventTime")
+    untimed = judged.where("ts IS NULL").select(*out, F.lit(True).alias("allowed"))
+    answered = limited.unionByName(untimed).withColumns({"code": E.intake_code(F.col("allowed")), "error_field": F.when(F.col("allowed"), F.col("error_field"))}).drop("allowed", "body_code")
+
+    def each(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        # Written first: every action on the batch would run the stateful step again.
+        batch.write.mode("overwrite").parquet(f"{folder}/answered/batch={number}")
+        rows = session.read.schema(batch.schema).parquet(f"{folder}/answered/batch={number}")
+        used = session.read.parquet(f"{folder}/taken/batch={number - 1}") if number > 0 else None
+        capped = E.daily_cap(rows.where("code IS NULL"), E.cap_of(kind, cfg), used=used)
+        stored = capped.withColumn("code", F.when(~F.col("accepted"), E.LIMITED)).drop("accepted")
+        done = rows.where("code IS NOT NULL").unionByName(stored)
+        done.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        taken = session.read.schema(done.schema).parquet(f"{folder}/rows/batch={number}").where("code IS NULL")
+        days = taken.groupBy(E.utc_day(F.col("ts")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+        if used is not None:
+            days = days.unionByName(used).groupBy("day").agg(F.sum("n").alias("n"))
+        days.write.mode("overwrite").parquet(f"{folder}/taken/batch={number}")
+
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        _run(answered, folder, each)
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
+def taken_in(spark, folder: str) -> DataFrame:
+    """All events of an intake stream with their ``code``."""
+    return spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows").drop("batch")
+
+
 def store(stream: DataFrame, folder: str) -> None:
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")

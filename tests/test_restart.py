@@ -2,8 +2,10 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from assaymill.config import AuditConfig
 from assaymill.operators import events as E
 from assaymill.streaming import intake as S
 
@@ -42,3 +44,65 @@ def test_counts_and_routes_go_on_after_a_restart(spark, tmp_path):
         S.route(stream.withColumn("body", F.lit('{"model_id": "m", "band": "mild"}')).select("event_id", "body"), routes)
     assert [r.n for r in S.newest(spark, counts).collect()] == [40]
     assert S.routed(spark, routes).count() == 40
+
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """A stream opens one store per partition in every batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+INTAKE = "event_id long, key string, ts timestamp, body string"
+
+
+def _bodies(kind, first, last, gap=1):
+    start = dt.datetime(2024, 1, 1, 23, 59, 0)
+    good = '{"hb": 12.5}' if kind == "feedback" else '{"model_id": "m", "band": "mild", "hb_hat": 12}'
+    body = {3: '{"hb": 99}', 7: "[1]", 11: '{"model_id": "m", "band": "x"}', 13: None}
+    rows = [(k, None if k % 5 == 0 else f"c{k % 3}", start + dt.timedelta(seconds=k * gap), body.get(k % 17, good)) for k in range(first, last)]
+    return rows + ([(10_000 + first, "c0", None, good)] if first == 0 else [])
+
+
+@pytest.mark.parametrize("kind", ["telemetry", "feedback"])
+def test_intake_goes_on_after_a_restart(spark, tmp_path, kind):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    cfg = AuditConfig(rate_limit=9, rate_window_ms=40_000, telemetry_daily_cap=40, feedback_daily_cap=30)
+    for first, last in ((0, 60), (60, 130), (130, 131)):
+        spark.createDataFrame(_bodies(kind, first, last), INTAKE).coalesce(1).write.mode("append").parquet(source)
+        S.intake(spark.readStream.schema(INTAKE).parquet(source), out, kind, cfg)
+    got = {r.event_id: (r.code, r.error_field) for r in S.taken_in(spark, out).collect()}
+    want = {r.event_id: (r.code, r.error_field) for r in E.intake(spark.createDataFrame(_bodies(kind, 0, 131), INTAKE), cfg, kind).collect()}
+    assert got == want and len(got) == 132
+    assert {c for c, _ in got.values()} == {None, "RATE_LIMITED", "INVALID_BODY"}
+
+
+def test_idle_clients_leave_the_state(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    cfg = AuditConfig(rate_limit=2, rate_window_ms=1000)
+    start = dt.datetime(2024, 1, 1)
+    for number in range(3):
+        rows = [(number * 100 + k, f"client {number} {k}", start + dt.timedelta(hours=number), '{"hb": 10}') for k in range(50)]
+        spark.createDataFrame(rows, INTAKE).coalesce(1).write.mode("append").parquet(source)
+        S.intake(spark.readStream.schema(INTAKE).parquet(source), out, "feedback", cfg)
+    state = spark.read.format("statestore").option("stateVarName", "window").load(f"{out}/_checkpoint")
+    clients = {r[0] for r in state.select("key.client").collect()}
+    assert clients and all(c.startswith("kclient 2") for c in clients)
+    assert S.taken_in(spark, out).where("code IS NULL").count() == 150
+
+
+def test_counts_replace_only_the_days_of_a_batch(spark, tmp_path):
+    source, counts = str(tmp_path / "in"), str(tmp_path / "counts")
+    start = dt.datetime(2024, 1, 1)
+    written = []
+    for number in range(4):
+        rows = [(k, "k", start + dt.timedelta(days=number, hours=k - 2), "mild" if k % 2 else None) for k in range(10)]
+        written += rows
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        S.counted(spark.readStream.schema(SCHEMA).parquet(source), counts)
+    want = E.counts_by_day_and_band(spark.createDataFrame(written, SCHEMA))
+    assert sorted(map(str, S.newest(spark, counts).collect())) == sorted(map(str, want.collect()))
+    sizes = [spark.read.parquet(f"{counts}/merged/batch={b}").count() for b in range(4) if (tmp_path / "counts" / "merged" / f"batch={b}").exists()]
+    assert max(sizes) <= 4  # two days of two bands, however many days came before

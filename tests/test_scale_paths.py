@@ -95,8 +95,9 @@ def brute_limit(events, limit, window):
     return allowed
 
 
-@pytest.mark.parametrize("seed, window, span", [(1, 50, 20_000), (2, 1000, 9_000), (3, 7, 60_000)])
-def test_rate_limit(spark, seed, window, span):
+@pytest.mark.parametrize("seed, window, span, fan", [(1, 50, 20_000, 256), (2, 1000, 9_000, 2), (3, 7, 60_000, 3), (4, 7, 60_000, 7)])
+def test_rate_limit(spark, seed, window, span, fan, monkeypatch):
+    monkeypatch.setattr(E, "FAN", fan)  # several levels of composed chunks
     rng = random.Random(seed)
     # One key has most of the events, some at the same millisecond; one has long gaps.
     events = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(5)}", rng.randrange(span), i) for i in range(3000)]
