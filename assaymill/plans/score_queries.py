@@ -12,6 +12,7 @@ from assaymill.operators import calibration as C
 from assaymill.operators import coverage as V
 from assaymill.operators import fairness as E
 from assaymill.operators import ordered as O
+from assaymill.operators import row_bootstrap as RB
 from assaymill.operators import screening as S
 from assaymill.operators.clean import finite_rows
 from assaymill.plans.registry import published, query, r
@@ -415,6 +416,61 @@ def bias_bootstrap_exact(spark: SparkSession, sf: str) -> DataFrame:
     return published(B.bias_interval_multinomial(PRED.frame(spark, sf), "id"))
 
 
+# 32-bit arithmetic in unsigned 64 bits, as the counters of the row bootstrap.
+def _mix32(x: str) -> str:
+    one = f"xor({x}, {x} >> 16)"
+    return f"(({one} * {RB.MIX[0]}::UBIGINT) & 4294967295::UBIGINT)"
+
+
+def _mixed(x: str, source: str, columns: str, out: str) -> str:
+    """SELECT with ``out`` = the finaliser of ``x``, step by step so that no term repeats."""
+    return f"""(SELECT {columns}, xor(m2, m2 >> 16) AS {out} FROM (SELECT {columns}, (xor(m1, m1 >> 13) * {RB.MIX[1]}::UBIGINT) & 4294967295::UBIGINT AS m2
+        FROM (SELECT {columns}, {_mix32('m0')} AS m1 FROM (SELECT {columns}, ({x}) & 4294967295::UBIGINT AS m0 FROM {source}))))"""
+
+
+_HALF = "cast(('0x' || substr(md5('42|' || id), {}, 8)) AS UBIGINT)"
+_REPS = "(SELECT cast(i AS UBIGINT) AS rep FROM range(2000) x(i))"
+_ROWS = f"(SELECT site, d, {_HALF.format(1)} AS a, {_HALF.format(9)} AS b FROM {OK})"
+_INNER = _mixed(f"b + rep * {RB.GOLDEN}::UBIGINT", f"({_ROWS} CROSS JOIN {_REPS})", "site, d, rep, a", "h")
+_DRAWN = _mixed("xor(a, h)", _INNER, "site, d, rep", "u")
+_COUNT = " + ".join(f"CASE WHEN u >= {c}::UBIGINT THEN 1 ELSE 0 END" for c in RB.STEPS if c < 2**32)
+
+
+@query(
+    "bias_bootstrap_rows",
+    "A12 J11: Poisson weights per row",
+    f"""WITH s AS (SELECT site, rep, sum(w*d)/sum(w) AS stat FROM (SELECT site, rep, d, {_COUNT} AS w FROM {_DRAWN}) GROUP BY site, rep),
+    n AS (SELECT site, count(*) AS n_rows FROM {OK} GROUP BY site)
+    SELECT site, {BOOT}, 'poisson row' AS method, any_value(n_rows) AS n_rows FROM s JOIN n USING (site) GROUP BY site""",
+)
+def bias_bootstrap_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return published(RB.bias_interval_rows(PRED.frame(spark, sf), "id", by=["site"]))
+
+
+_SEEDED = _mixed("rep + 42", _REPS, "rep", "r")
+_NEXT = _mixed("rep + 43", _REPS, "rep", "r")
+_J = f"(SELECT rep, r, j.i AS j, n FROM {_SEEDED} CROSS JOIN (SELECT count(*) AS n FROM {OK}) CROSS JOIN (SELECT cast(unnest(range((SELECT count(*) FROM {OK}))) AS UBIGINT) AS i) j)"
+_J1 = _mixed(f"j * {RB.GOLDEN}::UBIGINT", _J, "rep, n, r", "h")
+_J2 = _mixed("xor(r, h)", _J1, "rep, n", "u")
+_K = f"(SELECT c.rep, r, block, cast(unnest(range(k)) AS UBIGINT) AS q FROM counted c JOIN {_NEXT} x ON x.rep = c.rep)"
+_K1 = _mixed(f"((q * {RB.GOLDEN}::UBIGINT) & 4294967295::UBIGINT) + ((block * {RB.MIX[0]}::UBIGINT) & 4294967295::UBIGINT)", _K, "rep, block, r", "h")
+_K2 = _mixed("xor(r, h)", _K1, "rep, block", "u")
+
+
+@query(
+    "bias_bootstrap_rows_exact",
+    "A12 J11: as many draws with replacement as rows",
+    f"""WITH p AS (SELECT d, row_number() OVER (ORDER BY md5('42|' || id), id) - 1 AS place FROM {OK}),
+    counted AS (SELECT rep, cast(((u * n::UBIGINT) >> 32) // {RB.BLOCK} AS UBIGINT) AS block, count(*) AS k FROM {_J2} GROUP BY ALL),
+    sizes AS (SELECT place // {RB.BLOCK} AS block, count(*) AS size FROM p GROUP BY 1),
+    picks AS (SELECT rep, block * {RB.BLOCK} + ((u * size::UBIGINT) >> 32) AS place FROM {_K2} k JOIN sizes USING (block)),
+    s AS (SELECT rep, avg(d) AS stat FROM picks JOIN p ON p.place = picks.place GROUP BY rep)
+    SELECT {BOOT}, 'multinomial row' AS method, (SELECT count(*) FROM {OK}) AS n_rows FROM s""",
+)
+def bias_bootstrap_rows_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return published(RB.bias_interval_exact(PRED.frame(spark, sf), "id"))
+
+
 # --- scalar functions ---------------------------------------------------------
 
 
