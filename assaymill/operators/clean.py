@@ -73,6 +73,12 @@ def non_finite_gate(df: DataFrame, columns: Sequence[str], by: Sequence[str]) ->
     return counts.unpivot(list(by), list(columns), "column", "n_bad").where(F.col("n_bad") > 0)
 
 
+def non_finite_rows(df: DataFrame, columns: Sequence[str], by: Sequence[str], row_id: str) -> DataFrame:
+    """One row per bad cell: the group, the ``column`` and the id of the row it stands in."""
+    bad = F.array_compact(F.array(*[F.when(~finite(F.col(c)), F.lit(c)) for c in columns]))
+    return df.select(*by, row_id, F.explode(bad).alias("column"))
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round numbers for publication; text and booleans are left alone."""
     numeric = (T.NumericType,)

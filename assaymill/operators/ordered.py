@@ -3,7 +3,7 @@
 A window without a partition key, or with a key that holds a third of the rows,
 sorts everything in one task. Here the value range is cut into buckets first:
 
-1. approximate quantiles give cut points; a value so frequent that it spans
+1. quantile sketches, of all columns in one pass, give cut points; a value so frequent that it spans
    several of them becomes a bucket of its own, divided further by a hash of the
    row id, which is also the tie-break, so the order stays exact;
 2. one aggregation gives rows and sums per (group, bucket), and a running sum
@@ -20,6 +20,7 @@ their rank is NULL. A NULL group is a group.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -34,6 +35,8 @@ from assaymill.session import written
 ROWS_PER_BUCKET = 1_000_000
 # Quantiles asked for at least, so that frequent values show.
 QUANTILES = 2048
+# Size of a quantile sketch: ranks are right to about a thousandth of the rows.
+SKETCH = 2048
 
 
 @dataclass(frozen=True)
@@ -50,14 +53,27 @@ class Cuts:
         return F.col("_bucket").isin(self.frequent) if self.frequent else F.lit(False)
 
 
-def cut_points(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> Cuts:
-    """Cut points from one pass of approximate quantiles."""
-    n = df.agg(F.count(column)).first()[0]
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, math.ceil(n / rows_per_bucket), min(least, n))
-    number = max(QUANTILES, 2 * buckets)
-    probs = [i / number for i in range(1, number)]
-    quantiles = df.agg(F.percentile_approx(column, probs, 4 * number)).first()[0] or []
+def cut_points_of(df: DataFrame, columns: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> list[Cuts]:
+    """Cut points of several columns from one pass: a mergeable quantile sketch and a count each."""
+    spark = df.sparkSession
+    sketches = df.agg(*[x for c in columns for x in (F.kll_sketch_agg_double(F.col(c).cast("double"), SKETCH), F.count(c))]).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts, plans, asked = [], [], []
+    for k in range(len(columns)):
+        sketch, n = sketches[2 * k], sketches[2 * k + 1]
+        buckets = max(1, math.ceil(n / rows_per_bucket), min(least, n))
+        number = max(QUANTILES, 2 * buckets)
+        plans.append((sketch, n, buckets, number))
+        if n:
+            probs = F.from_json(F.lit(json.dumps([i / number for i in range(1, number)])), "array<double>")
+            asked.append(F.kll_sketch_get_quantile_double(F.lit(bytes(sketch)), probs))
+    answers = iter(spark.range(1).select(*asked).first() if asked else ())
+    for _, n, buckets, number in plans:
+        cuts.append(_cuts(list(next(answers)) if n else [], buckets, number))
+    return cuts
+
+
+def _cuts(quantiles: list[float], buckets: int, number: int) -> Cuts:
     step = number / buckets
     kept = {float(quantiles[min(len(quantiles) - 1, round(i * step) - 1)]) for i in range(1, buckets)} if quantiles else set()
     share: dict[float, int] = {}
@@ -69,6 +85,10 @@ def cut_points(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKE
     return Cuts(splits, [splits.index(v) for v in sorted(heavy)], buckets)
 
 
+def cut_points(df: DataFrame, column: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> Cuts:
+    return cut_points_of(df, [column], rows_per_bucket)[0]
+
+
 def _tie(row_id: str) -> Column:
     return F.md5(F.col(row_id).cast("string"))
 
@@ -138,9 +158,15 @@ def rows_at(
     return join_null_safe(ranked, asked, [*by, "position"])
 
 
-def _cells(df: DataFrame, column: str, by: Sequence[str], rows_per_bucket: int) -> tuple[Cuts, DataFrame]:
-    cuts = cut_points(df, column, rows_per_bucket)
-    return cuts, written(_offsets(cuts.assign(df, column), by, ["_bucket"]).select(*by, "_bucket", "_n", "_before"))
+def _cells(df: DataFrame, columns: Sequence[str], by: Sequence[str], rows_per_bucket: int) -> list[tuple[Cuts, DataFrame]]:
+    """Per column its cut points, and rows per bucket with those before; counted together."""
+    cuts = cut_points_of(df, columns, rows_per_bucket)
+    marked = df
+    for k, column in enumerate(columns):
+        marked = cuts[k].assign(marked, column).withColumnRenamed("_bucket", f"_bucket{k}")
+    each = F.array(*[F.struct(F.lit(k).alias("_column"), F.col(f"_bucket{k}").alias("_bucket")) for k in range(len(columns))])
+    cells = written(_offsets(marked.select(*by, F.inline(each)), [*by, "_column"], ["_bucket"]).select(*by, "_column", "_bucket", "_n", "_before"))
+    return [(c, cells.where(F.col("_column") == k).drop("_column")) for k, c in enumerate(cuts)]
 
 
 def _ranked(df: DataFrame, column: str, row_id: str, out: str, by: Sequence[str], cuts: Cuts, cells: DataFrame) -> DataFrame:
@@ -160,7 +186,7 @@ def average_rank(
 ) -> DataFrame:
     """Rank from 1 with ties sharing their mean rank; NULL where the value is not finite."""
     known = finite_rows(df, column)
-    ranked = _ranked(known, column, row_id, out, by, *_cells(known, column, by, rows_per_bucket))
+    ranked = _ranked(known, column, row_id, out, by, *_cells(known, [column], by, rows_per_bucket)[0])
     rest = df.where(~finite(F.col(column))).withColumn(out, F.lit(None).cast("double"))
     return ranked.unionByName(rest)
 
@@ -171,9 +197,9 @@ def spearman(df: DataFrame, a: str, b: str, row_id: str, by: Sequence[str] = (),
 
     slim = written(finite_rows(df.select(*by, row_id, a, b), a, b))
     ranked = slim
-    for column, out in ((a, "_ra"), (b, "_rb")):
-        # Cut points and offsets come from the written rows, not from the first ranking.
-        ranked = _ranked(ranked, column, row_id, out, by, *_cells(slim, column, by, rows_per_bucket))
+    # Cut points and offsets come from the written rows, not from the first ranking.
+    for column, out, cells in zip((a, b), ("_ra", "_rb"), _cells(slim, [a, b], by, rows_per_bucket)):
+        ranked = _ranked(ranked, column, row_id, out, by, *cells)
     return grouped(ranked, by, False, F.count(a).alias("n"), pearson(F.col("_ra"), F.col("_rb")).alias("spearman_rho"))
 
 

@@ -67,6 +67,11 @@ def kfold(
     return rows.select("fold", row_id, split.alias("split"))
 
 
+def with_records(folds: DataFrame, records: DataFrame, row_id: str) -> DataFrame:
+    """Each fold's assignment with the records it assigns; an id without a record keeps NULLs."""
+    return folds.join(records, row_id, "left")
+
+
 def stratified_split(
     df: DataFrame, row_id: str, stratum: str, val_fraction: float = 0.2, seed: int = DEFAULTS.seed
 ) -> DataFrame:

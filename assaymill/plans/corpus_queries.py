@@ -45,6 +45,22 @@ def kfold_plain(spark: SparkSession, sf: str) -> DataFrame:
     return S.kfold(PATIENTS.frame(spark, sf), "patient_id")
 
 
+@query(
+    "kfold_patients",
+    "J4: folds joined to the patients they assign",
+    f"""SELECT fold, split, site, count(*) AS n, count(value) AS n_value, cast(sum(cast(round(value * 100) AS BIGINT)) AS BIGINT) AS hundredths, {r('min(value)', 'least')}, {r('max(value)', 'most')}
+    FROM ({_kfold_sql("")}) JOIN {P} USING (patient_id) GROUP BY fold, split, site""",
+)
+def kfold_patients(spark: SparkSession, sf: str) -> DataFrame:
+    people = PATIENTS.frame(spark, sf)
+    joined = S.with_records(S.kfold(people, "patient_id"), people, "patient_id")
+    return published(
+        joined.groupBy("fold", "split", "site").agg(
+            F.count(F.lit(1)).alias("n"), F.count("value").alias("n_value"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("hundredths"), F.min("value").alias("least"), F.max("value").alias("most")
+        )
+    )
+
+
 @query("kfold_stratified", "W9: blocks inside every severity band", _kfold_sql("band"))
 def kfold_stratified(spark: SparkSession, sf: str) -> DataFrame:
     return S.kfold(_banded(spark, sf), "patient_id", strata=["band"])
@@ -80,6 +96,18 @@ def site_holdout_folds(spark: SparkSession, sf: str) -> DataFrame:
     return S.holdout_sizes(people, "site", _sites(people))
 
 
+@query(
+    "site_holdout_rows",
+    "W11: every record in every fold of every ordered pair of sites",
+    f"""WITH s AS (SELECT DISTINCT site FROM {P} WHERE site IS NOT NULL)
+    SELECT concat(a.site, '->', b.site) AS fold, p.patient_id, CASE WHEN p.site = a.site THEN 'train' ELSE 'test' END AS split
+    FROM s a JOIN s b ON a.site <> b.site JOIN {P} p ON p.site IN (a.site, b.site)""",
+)
+def site_holdout_rows(spark: SparkSession, sf: str) -> DataFrame:
+    people = PATIENTS.frame(spark, sf)
+    return S.site_holdout(people, "patient_id", "site", _sites(people))
+
+
 @query(
     "site_holdout_rejects",
     "W11: rows a holdout would lose",
@@ -301,6 +329,38 @@ def non_finite_gate(spark: SparkSession, sf: str) -> DataFrame:
     return clean.non_finite_gate(FEATURES.frame(spark, sf), COLUMNS, ["split"])
 
 
+NOT_FINITE = " UNION ALL ".join(f"SELECT split, '{c}' AS \"column\", id FROM {FT} WHERE {c} IS NULL OR isnan({c}) OR isinf({c})" for c in COLUMNS)
+
+
+@query(
+    "non_finite_offenders",
+    "F14 O3: the first eight ids of every column and split that is not finite",
+    f"""SELECT split, "column", any_value(n) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn) FILTER (WHERE rn <= 8) AS first
+    FROM (SELECT *, row_number() OVER (PARTITION BY split, "column" ORDER BY id) AS rn, count(*) OVER (PARTITION BY split, "column") AS n FROM ({NOT_FINITE}))
+    GROUP BY split, "column\"""",
+)
+def non_finite_offenders(spark: SparkSession, sf: str) -> DataFrame:
+    bad = clean.non_finite_rows(FEATURES.frame(spark, sf), COLUMNS, ["split"], "id")
+    return I.first_offenders(bad, ["split", "column"], "id", 8)
+
+
+@query(
+    "leak_offenders",
+    "X1 X2 O3: the first eight leaking ids of every fold and kind, the first eight paths of every pair of splits",
+    f"""WITH l AS (SELECT 'id' AS what, concat(kind, ' in fold ', CAST(fold AS VARCHAR)) AS "where", patient_id AS item FROM ({LEAKS})
+     UNION ALL SELECT 'path', concat(min(split), ' and ', max(split)), path FROM (SELECT path, split FROM
+      (SELECT DISTINCT patient_id, split FROM ({FAULTY})) JOIN
+      (SELECT patient_id, concat(site, '/', cast(cast(floor(key / 100) as int) as string), '.png') AS path FROM {P}) USING (patient_id))
+     GROUP BY path HAVING min(split) <> max(split))
+    SELECT what, "where", any_value(n) AS n, string_agg(item, ',' ORDER BY rn) FILTER (WHERE rn <= 8) AS first
+    FROM (SELECT *, row_number() OVER (PARTITION BY what, "where" ORDER BY item) AS rn, count(*) OVER (PARTITION BY what, "where") AS n FROM l) GROUP BY what, "where\"""",
+)
+def leak_offenders(spark: SparkSession, sf: str) -> DataFrame:
+    ids = split_leakage(spark, sf).select(F.lit("id").alias("what"), F.concat("kind", F.lit(" in fold "), F.col("fold").cast("string")).alias("where"), F.col("patient_id").alias("item"))
+    paths = file_leakage(spark, sf).select(F.lit("path").alias("what"), F.concat("first_split", F.lit(" and "), "last_split").alias("where"), F.col("path").alias("item"))
+    return I.first_offenders(ids.unionByName(paths), ["what", "where"], "item", 8)
+
+
 @query(
     "model_ready_columns",
     "F13 F16: undefined column dropped, numbers rounded, text kept",

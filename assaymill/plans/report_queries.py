@@ -224,6 +224,31 @@ def holdout_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+SHIFT = "(y_pred + cast(length(t.site) - 5 as double) / 8)"
+ALL_PAIRS = f"(SELECT o.head, t.site AS train_site, o.site AS test_site, o.sex, y_true, {SHIFT} - y_true AS d FROM {OK} o JOIN (SELECT DISTINCT site FROM {OK}) t ON t.site <> o.site)"
+
+
+@query(
+    "holdout_directions",
+    "A46 O5: all ordered pairs of sites",
+    f"""SELECT head, train_site || '->' || test_site AS fold, train_site, test_site, n, mae, r2, bias, sex_mae_gap,
+    {r('mt.mean', 'mean_truth_test_site')}, {r('mr.mean', 'mean_truth_train_site')} FROM
+    (SELECT head, train_site, test_site, count(*) AS n, {r('avg(abs(d))', 'mae')}, {r('1 - sum(d*d)/regr_sxx(y_true, y_true)', 'r2')},
+     {r('avg(d)', 'bias')} FROM {ALL_PAIRS} GROUP BY ALL) h
+    JOIN (SELECT head, train_site, test_site, {r('max(m) - avg(m)', 'sex_mae_gap')} FROM (SELECT head, train_site, test_site, sex, avg(abs(d)) AS m FROM {ALL_PAIRS} GROUP BY ALL)
+     GROUP BY ALL) g USING (head, train_site, test_site) JOIN {MEANS} mt ON mt.site = test_site JOIN {MEANS} mr ON mr.site = train_site""",
+)
+def holdout_directions(spark: SparkSession, sf: str) -> DataFrame:
+    df = written(finite_rows(PRED.frame(spark, sf), "y_true", "y_pred").select("head", "site", "sex", "y_true", "y_pred"))
+    means = df.groupBy("site").agg(F.avg("y_true").alias("mean"))
+    # A head per training site, as a model of another site would predict these rows.
+    sites = sorted(row["site"] for row in means.select("site").collect())
+    others = F.array_except(F.array(*[F.lit(s) for s in sites]), F.array("site"))
+    scored = df.select("*", F.explode(others).alias("train_site")).withColumnRenamed("site", "test_site")
+    scored = scored.withColumns({"y_pred": F.col("y_pred") + (F.length("train_site") - 5).cast("double") / 8, "fold": F.concat_ws("->", "train_site", "test_site")})
+    return published(B.holdout_table(scored, means).select("head", "fold", "train_site", "test_site", "n", "mae", "r2", "bias", "sex_mae_gap", "mean_truth_test_site", "mean_truth_train_site"))
+
+
 @query(
     "printed_head_table",
     "S14 S19 O5: text projection in display order",
