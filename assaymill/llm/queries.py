@@ -25,7 +25,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from assaymill.llm.suffix import remove_repeats
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs, length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs, length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.expr("make_valid_utf8(CAST(kept AS STRING))").alias("text"))
 
 
 @query
