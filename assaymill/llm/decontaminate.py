@@ -40,6 +40,8 @@ RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 # For weighted votes of items whose shingles weigh unequally.
 WIDE_BLOCK_RADIUS = BLOCK_RADIUS + 1
 WIDE_RADIUS = BLOCKS * (WIDE_BLOCK_RADIUS + 1) - 1
+# Texts with a window to try, at 8 bytes each, up to which their list is broadcast.
+BROADCAST_IDS = 4_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -164,7 +166,11 @@ def find_leaks(
 
     weight = lambda h: F.coalesce(F.get(F.map_values(F.map_filter("light", lambda k, _: k == h)), F.lit(0)), F.lit(1.0))
     # Words and shingles are columns of their own: inside a lambda they would be built anew for every element.
-    held = texts.join(wanted, "_h").select("_id", "size", "runs", "lined", "light", word_hashes(F.col("_text")).alias("_words"))
+    # A narrow list of the texts with windows to try picks them out where they lie; only these meet the wide rows.
+    listed_texts = written(wanted.select("_h").distinct())
+    narrow = F.broadcast(listed_texts) if listed_texts.count() <= BROADCAST_IDS else listed_texts
+    few = written(texts.join(narrow, "_h", "left_semi"))
+    held = few.join(wanted, "_h").select("_id", "size", "runs", "lined", "light", word_hashes(F.col("_text")).alias("_words"))
     held = held.select("_id", "size", "runs", "lined", "light", _any_width(F.col("_words"), F.col("size"), widths).alias("hashes"))
     weighed = F.when(F.col("light").isNull(), F.transform("hashes", lambda h: F.struct(h.alias("h"), F.lit(1.0).alias("w")))).otherwise(
         F.transform("hashes", lambda h: F.struct(h.alias("h"), weight(h).alias("w")))
