@@ -116,12 +116,35 @@ def _sketch(bands: int, rows: int):
     return run
 
 
+class _Repeats:
+    """Whether a set was seen before among the rows of its node that stand together."""
+
+    def __init__(self) -> None:
+        self.node, self.seen = None, set()
+
+    def __call__(self, node: int, content: bytes) -> bool:
+        if node != self.node:
+            self.node, self.seen = node, set()
+        if content in self.seen:
+            return True
+        self.seen.add(content)
+        return False
+
+
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map batches (_node, _text, seats) to one row per seat, with the node's shingle set."""
+    """Map batches (_node, _text, seats) to one row per seat, with the node's shingle set.
+
+    Rows that repeat a node and its set, next to each other, are one.
+    """
+    repeated = _Repeats()
     for batch in batches:
+        nodes_of = batch.column("_node").to_numpy()
         for first, last, data, offsets in pieces(batch.column("_text")):
             sets = shingle_sets(*words_of(data, offsets))
             seats = batch.column("seats").slice(first, last - first)
+            once = np.array([not repeated(nodes_of[first + k], s.tobytes()) for k, s in enumerate(sets)], bool)
+            if not once.all():
+                seats = pa.compute.if_else(pa.array(once), seats, pa.scalar([], seats.type))
             counts = pa.compute.list_value_length(seats).to_numpy()
             inner = seats.flatten()
             row = np.repeat(np.arange(last - first), counts)
@@ -176,7 +199,7 @@ def _forest(percent: int):
             yield int(nodes[k]), int(nodes[label[k]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets, out = None, [], [], []
+        key, nodes, sets, out, repeated = None, [], [], [], _Repeats()
 
         def flush() -> None:
             if len(nodes) > 1:
@@ -190,9 +213,12 @@ def _forest(percent: int):
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if key != (now := tuple(keys[a])):
                     flush()
-                    key, nodes, sets = now, [], []
-                nodes.extend(ids[a:b])
-                sets.extend(np.frombuffer(v.as_buffer(), U64) for v in values.slice(a, b - a))
+                    key, nodes, sets, repeated = now, [], [], _Repeats()
+                for node, value in zip(ids[a:b], values.slice(a, b - a)):
+                    # Rows that repeat an id and its text would widen the matrix for nothing.
+                    if not repeated(node, value.as_py()):
+                        nodes.append(node)
+                        sets.append(np.frombuffer(value.as_buffer(), U64))
             if out:
                 pairs = np.array(out, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
