@@ -267,3 +267,40 @@ def test_manifest_empty(spark):
 
     df = manifest(spark.createDataFrame([], DOCS))
     assert df.withColumn("r", fold(F.col("leaf"), F.col("proof"))).collect() == []
+
+
+# ---------------------------------------------------------------- repeated rows, and letters that change their length
+def test_repeated_rows_do_not_widen_a_block(spark):
+    from assaymill.llm import minhash
+
+    import numpy as np
+    import pyarrow as pa
+
+    one, near, other = np.arange(100, dtype=np.uint64), np.arange(2, 102, dtype=np.uint64), np.arange(500, 600, dtype=np.uint64)
+    rows = [(7, one)] * 20000 + [(8, near)] * 20000 + [(9, other)] * 3
+    names = ["b", "i", "j", "_node", "set"]
+    batches = [
+        pa.RecordBatch.from_arrays([*(pa.array([1] * len(part), t) for t in (pa.int64(), pa.int32(), pa.int32())), pa.array([r[0] for r in part], pa.int64()), pa.array([r[1].tobytes() for r in part], pa.binary())], names=names)
+        for part in (rows[k : k + 1000] for k in range(0, len(rows), 1000))
+    ]
+    assert [b.to_pylist() for b in minhash._forest(85)(iter(batches))] == [[{"a": 8, "b": 7}]]
+
+
+def test_near_duplicates_of_repeated_null_ids(spark):
+    from assaymill.llm.minhash import near_duplicates
+
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(400)}" for _ in range(120))
+    rows = [(None, text)] * 1500 + [(5, text + " end")] + [(6, text)] * 300
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {5}
+    assert sum(r.kept for r in got) == 1
+
+
+def test_letters_that_grow_when_lowered(spark):
+    from assaymill.llm.html_template import extract_main
+
+    page = lambda k: f"<html><body><article><p>{'İ' * 40} before {k}</p><script>var x{k} = 1;</SCRIPT ><p>The paragraph after the script, number {k}, stays whole.</p></article></body></html>"
+    rows = [(k, f"http://h/{k}", page(k)) for k in range(6)]
+    got = extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"{'İ' * 40} before {k}\n\nThe paragraph after the script, number {k}, stays whole." for k in range(6)}
