@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaymill.operators.clean import join_null_safe
+
 
 def split_leakage(assigned: DataFrame, row_id: str, fold: str = "fold", split: str = "split") -> DataFrame:
     """Ids in two splits of a fold, or twice in one split."""
@@ -45,7 +47,7 @@ def first_offenders(df: DataFrame, by: Sequence[str], item: str, k: int = 5) ->
     listed = top.groupBy(*by).agg(
         F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("_rn", item))), lambda x: x[item].cast("string"))).alias("first")
     )
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(listed, list(by))
+    return join_null_safe(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), listed, list(by))
 
 
 def id_sets(a: DataFrame, b: DataFrame, row_id: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaymill.config import AuditConfig, CONFOUND_NOTE
@@ -12,13 +12,14 @@ from assaymill.operators import sweep as W
 from assaymill.operators import tables as B
 from assaymill.operators import training as T
 from assaymill.operators.clean import finite_rows
+from assaymill.operators.integrity import union_of_keys
 from assaymill.plans import agreement_queries as AQ
 from assaymill.plans import score_queries as SQ
 from assaymill.plans.evaluate import evaluate, long_form
 from assaymill.plans.registry import published, query, r
 from assaymill.plans.views import FEATURES, PRED, View
 from assaymill.session import shared_folder, written
-from assaymill.sources import feature_store, predictions, reports
+from assaymill.sources import feature_store, predictions, reports, sinks
 
 P = f"({PRED.sql()})"
 OK = AQ.OK
@@ -366,6 +367,55 @@ def prediction_file_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return published(A.agreement(predictions.read_predictions(spark, path), by=["head", "site"]))
 
 
+@query(
+    "prediction_json_lines",
+    "S1 F2: JSON lines with other column names, read by suffix",
+    f"SELECT head, site, {AQ.REPORT_SQL} FROM {OK} GROUP BY head, site",
+)
+def prediction_json_lines(spark: SparkSession, sf: str) -> DataFrame:
+    df = PRED.frame(spark, sf).select("head", "site", F.col("y_true").alias("Hb"), F.col("y_pred").alias("Hb_hat"))
+    path = f"{shared_folder(spark)}/predictions.jsonl"
+    df.write.json(path)
+    return published(A.agreement(predictions.read_predictions(spark, path), by=["head", "site"]))
+
+
+def _counts(done: sinks.Stored) -> dict[str, Column]:
+    return {name: F.lit(getattr(done, name)).cast("long") for name in ("rows_in", "rows_written", "rows_dropped")}
+
+
+@query(
+    "stored_predictions",
+    "S9 S18 S19: per-patient predictions stored by head and fold, counted by the write itself",
+    f"""SELECT head, count(*) AS n, {r('round(avg(abs(e)), 4)', 'mae', 4)}, {r('min(p)', 'lowest')}, {r('max(p)', 'highest')},
+    (SELECT count(*) FROM {P}) AS rows_in, (SELECT count(*) FROM {OK}) AS rows_written, (SELECT count(*) FROM {P} WHERE y_pred IS NULL OR y_true IS NULL) AS rows_dropped
+    FROM (SELECT head, round(y_pred, 4) AS p, round(y_pred - y_true, 4) AS e FROM {OK}) GROUP BY head""",
+)
+def stored_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    df = PRED.frame(spark, sf)
+    people = df.select(F.col("id").alias("patient_id"), "site", "sex", F.lit(None).cast("double").alias("age"), "y_true")
+    guesses = df.select(F.col("id").alias("patient_id"), "head", "y_pred", F.concat_ws("->", "site", "sex").alias("fold"))
+    rows = predictions.with_attributes(guesses, people).join(guesses.select("patient_id", "head", "fold"), "patient_id")
+    path = f"{shared_folder(spark)}/predictions"
+    predictions.write_predictions(rows, path, settings={"query": "stored_predictions"})
+    done = sinks.manifest_of(spark, path)
+    return published(predictions.stored_by_head(spark.read.parquet(path)).withColumns(_counts(done)))
+
+
+@query(
+    "stored_union",
+    "S8 X4: rows of two shapes stored under the union of their columns",
+    f"""SELECT site, count(*) AS n, count(y_pred) AS n_pred, count(sigma) AS n_sigma, (SELECT 2 * count(*) FROM {P}) AS rows_in,
+    (SELECT 2 * count(*) FROM {P}) AS rows_written, 0 AS rows_dropped
+    FROM (SELECT site, y_pred, CAST(NULL AS DOUBLE) AS sigma FROM {P} UNION ALL SELECT site, NULL, sigma FROM {P}) GROUP BY site""",
+)
+def stored_union(spark: SparkSession, sf: str) -> DataFrame:
+    df = PRED.frame(spark, sf)
+    path = f"{shared_folder(spark)}/union"
+    done = sinks.store(union_of_keys(df.select("id", "site", "y_pred"), df.select("id", "site", "sigma")), path)
+    counts = spark.read.parquet(path).groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.count("y_pred").alias("n_pred"), F.count("sigma").alias("n_sigma"))
+    return counts.withColumns(_counts(done))
+
+
 @query("feature_fingerprints", "Q22: equal feature tables share a fingerprint")
 def feature_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     df = FEATURES.frame(spark, sf)

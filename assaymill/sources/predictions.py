@@ -12,6 +12,7 @@ from assaymill.config import AuditConfig, DEFAULTS
 from assaymill.functions.names import PREDICTION_ALIASES
 from assaymill.functions.who import severity_band
 from assaymill.operators.clean import nan_to_null, rename_by_alias
+from assaymill.sources.sinks import Stored, store
 
 NUMERIC = ("y_true", "y_pred", "ita", "confidence", "sigma", "age")
 
@@ -63,8 +64,9 @@ def with_attributes(predictions: DataFrame, people: DataFrame, cfg: AuditConfig
     )
 
 
-def write_predictions(df: DataFrame, path: str, partitions: Sequence[str] = ("head", "fold")) -> None:
-    df.write.mode("errorifexists").partitionBy(*partitions).parquet(path)
+def write_predictions(df: DataFrame, path: str, partitions: Sequence[str] = ("head", "fold"), settings: dict[str, object] | None = None, corpus: str = "unknown") -> Stored:
+    """Store per-patient predictions; rows without truth or prediction are left out, and counted."""
+    return store(df, path, F.col("hb_true").isNotNull() & F.col("hb_pred").isNotNull(), partitions, settings, corpus)
 
 
 def stored_by_head(df: DataFrame) -> DataFrame:
