@@ -52,6 +52,30 @@ def classified(files: DataFrame) -> DataFrame:
     return out.withColumns({"roi": F.when(png, F.col("_roi")), "is_photo": F.col("is_image") & F.col("_roi").isNull()}).drop("_roi")
 
 
+def collapsed_masks(files: DataFrame) -> DataFrame:
+    """One mask per folder and region, where copies of equal size count as one file.
+
+    Masks are met in the order of their names. One of the size of the mask held so
+    far is a copy, and the later name stays; of two different files the better
+    ranked one stays. ``n_masks`` and ``n_copies`` say what was there. Each list holds
+    the masks of one region of one folder.
+    """
+    masks = classified(files).where("roi IS NOT NULL").withColumn("_rank", names.mask_rank(F.col("name")))
+    listed = masks.groupBy("site", "folder", "roi").agg(F.array_sort(F.collect_list(F.struct("name", "path", "length", "_rank"))).alias("_masks"))
+    first = F.struct(F.element_at("_masks", 1).alias("m"), F.lit(0).alias("copies"))
+    held = F.aggregate(
+        F.slice("_masks", F.lit(2), F.size("_masks")),
+        first,
+        lambda acc, x: F.struct(
+            F.when((x["length"] == acc["m"]["length"]) | (x["_rank"] < acc["m"]["_rank"]), x).otherwise(acc["m"]).alias("m"),
+            (acc["copies"] + F.when(x["length"] == acc["m"]["length"], 1).otherwise(0)).alias("copies"),
+        ),
+    )
+    return listed.withColumn("_held", held).select(
+        "site", "folder", "roi", F.col("_held.m.path").alias("path"), F.col("_held.m.length").alias("length"), F.size("_masks").alias("n_masks"), F.col("_held.copies").alias("n_copies")
+    )
+
+
 def folders(files: DataFrame) -> DataFrame:
     """One row per patient folder: photograph and one mask per region.
 

@@ -559,6 +559,22 @@ def _mask_pick(roi: str) -> str:
     return f"arg_min(path, {rank}) FILTER (WHERE roi = '{roi}')"
 
 
+_MASKS = f"""(SELECT site, folder, roi, list({{'path': path, 'length': length, 'copied': CASE WHEN regexp_matches({STEM}, '\\([0-9]+\\)$') THEN 1 ELSE 0 END,
+ 'size': length(name), 'name': name, 'copies': 0}} ORDER BY name) AS m FROM {CLASSED} WHERE roi IS NOT NULL GROUP BY site, folder, roi)"""
+
+
+@query(
+    "collapsed_masks",
+    "W6: copies of one region and size are one mask",
+    f"""SELECT site, folder, roi, h.path AS path, h.length AS length, len(m) AS n_masks, h.copies AS n_copies FROM (SELECT *, list_reduce(m, lambda a, x:
+    CASE WHEN x.length = a.length OR (x.copied, x.size, x.name) < (a.copied, a.size, a.name)
+     THEN {{'path': x.path, 'length': x.length, 'copied': x.copied, 'size': x.size, 'name': x.name, 'copies': a.copies + CASE WHEN x.length = a.length THEN 1 ELSE 0 END}}
+     ELSE {{'path': a.path, 'length': a.length, 'copied': a.copied, 'size': a.size, 'name': a.name, 'copies': a.copies}} END) AS h FROM {_MASKS})""",
+)
+def collapsed_masks(spark: SparkSession, sf: str) -> DataFrame:
+    return C.collapsed_masks(LISTING.frame(spark, sf))
+
+
 KEY = "CASE WHEN regexp_matches(folder, '^[0-9]+$') THEN cast(cast(folder AS BIGINT) AS VARCHAR) ELSE folder END"
 FOLDERS = f"""(SELECT site, folder, {KEY} AS number, arg_min(path, name) FILTER (WHERE is_photo) AS image, count(*) AS n_files,
  {', '.join(f'{_mask_pick(x)} AS mask_{x}' for x in names.ROIS)} FROM {CLASSED} GROUP BY site, folder HAVING bool_or(is_image))"""
