@@ -117,33 +117,36 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(docs, items, similarity=0.8).drop("distance")
 
 
+# Every start of every text that shares a shingle with an item of the window's size, by number or by weight.
 SQL["op4_decontamination"] = rf"""
-WITH i AS (
-    SELECT item_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM benchmark
-), ig AS (
-    SELECT item_id, len(ws) AS size, least(len(ws), 5) AS k, unnest(range(0, len(ws) - least(len(ws), 5) + 1)) AS back, ws FROM i WHERE len(ws) > 0
-), ih AS (SELECT item_id, size, k, back, array_to_string(ws[back + 1:back + k], ' ') AS h FROM ig),
-rw AS (SELECT h, 1.0 / count(DISTINCT item_id) AS w FROM ih GROUP BY h),
-d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
-kk AS (SELECT DISTINCT k FROM ih),
+WITH i AS (SELECT DISTINCT item_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+q AS (SELECT ws, row_number() OVER () AS seq, len(ws) AS size, least(len(ws), 5) AS k FROM (SELECT DISTINCT ws FROM i WHERE len(ws) > 0)),
+qg AS (SELECT seq, size, k, ws, unnest(range(0, size - k + 1)) AS back FROM q),
+qh AS (SELECT seq, size, k, back, array_to_string(ws[back + 1:back + k], ' ') AS h FROM qg),
+rw AS (SELECT h, 1.0e0 / count(DISTINCT seq) AS w FROM qh GROUP BY h),
+qu AS (SELECT DISTINCT seq, size, k, h FROM qh),
+qt AS (SELECT seq, count(*) AS n_item, sum(w) AS w_item FROM qu JOIN rw USING (h) GROUP BY seq),
+kk AS (SELECT DISTINCT k FROM q),
+d AS (SELECT DISTINCT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 dg AS (SELECT doc_id, k, len(ws) AS n, ws, unnest(range(0, len(ws) - k + 1)) AS pos FROM d JOIN kk ON len(ws) >= k),
 dh AS (SELECT doc_id, k, n, pos, array_to_string(ws[pos + 1:pos + k], ' ') AS h FROM dg),
+sz AS (SELECT DISTINCT doc_id, dh.k, size, greatest(n - size, 0) AS latest FROM dh JOIN qu ON qu.h = dh.h AND qu.k = dh.k),
+st AS (SELECT *, unnest(range(0, latest + 1)) AS start FROM sz),
 win AS (
-    SELECT DISTINCT doc_id, dh.k, size, least(greatest(pos - back, 0), greatest(n - size, 0)) AS start FROM dh JOIN ih ON dh.h = ih.h AND dh.k = ih.k
-), wh AS (
-    SELECT DISTINCT win.doc_id, win.size, win.start, dh.h FROM win JOIN dh ON dh.doc_id = win.doc_id AND dh.k = win.k AND dh.pos BETWEEN win.start AND win.start + win.size - win.k
-), wt AS (SELECT doc_id, size, start, sum(coalesce(w, 1.0)) AS total FROM wh LEFT JOIN rw USING (h) GROUP BY ALL),
-iu AS (SELECT DISTINCT item_id, size, h FROM ih),
-it AS (SELECT item_id, sum(w) AS total FROM iu JOIN rw USING (h) GROUP BY item_id),
+    SELECT DISTINCT st.doc_id, st.size, st.start, dh.h FROM st JOIN dh ON dh.doc_id = st.doc_id AND dh.k = st.k AND dh.pos BETWEEN st.start AND st.start + st.size - st.k
+), wt AS (SELECT doc_id, size, start, count(*) AS n_win, sum(coalesce(w, 1.0e0)) AS w_win FROM win LEFT JOIN rw USING (h) GROUP BY ALL),
 m AS (
-    SELECT wh.doc_id, iu.item_id, wh.size, wh.start, sum(rw.w) AS common FROM wh JOIN iu ON iu.h = wh.h AND iu.size = wh.size JOIN rw ON rw.h = wh.h GROUP BY ALL
+    SELECT doc_id, seq, win.size, start, count(*) AS n_common, sum(w) AS w_common FROM win JOIN qu ON qu.h = win.h AND qu.size = win.size JOIN rw ON rw.h = win.h GROUP BY ALL
 ), s AS (
-    SELECT m.doc_id, m.item_id, m.size, m.start, m.common / (it.total + wt.total - m.common) AS similarity
-    FROM m JOIN it USING (item_id) JOIN wt ON wt.doc_id = m.doc_id AND wt.size = m.size AND wt.start = m.start
+    SELECT m.doc_id, m.seq, m.size, m.start, round(greatest(n_common / (n_item + n_win - n_common), w_common / (w_item + w_win - w_common)), 12) AS similarity
+    FROM m JOIN qt USING (seq) JOIN wt ON wt.doc_id = m.doc_id AND wt.size = m.size AND wt.start = m.start
+), lined AS (
+    SELECT DISTINCT sz.doc_id, sz.size, least(greatest(pos - back, 0), latest) AS start FROM sz JOIN dh ON dh.doc_id = sz.doc_id AND dh.k = sz.k JOIN qh ON qh.h = dh.h AND qh.size = sz.size
+), b AS (
+    SELECT s.doc_id, i.item_id, s.start, s.size, s.similarity, row_number() OVER (PARTITION BY s.doc_id, i.item_id ORDER BY s.similarity DESC, l.start IS NOT NULL DESC, s.start) AS r
+    FROM s JOIN q USING (seq) JOIN i ON i.ws = q.ws LEFT JOIN lined l ON l.doc_id = s.doc_id AND l.size = s.size AND l.start = s.start WHERE s.similarity >= 0.8 - 1e-9
 )
-SELECT doc_id, item_id, CAST(start AS BIGINT) AS first_word, CAST(size AS BIGINT) AS n_words, round(CAST(similarity AS DOUBLE), 9) AS similarity
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(CAST(similarity AS DOUBLE), 12) DESC, start) AS r FROM s WHERE similarity >= 0.8 - 1e-9)
-WHERE r = 1
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS first_word, CAST(size AS BIGINT) AS n_words, round(similarity, 9) AS similarity FROM b WHERE r = 1
 """
 
 
