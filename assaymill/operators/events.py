@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -132,26 +133,39 @@ def rows_per_day(df: DataFrame, ts: str = "ts") -> DataFrame:
 def daily_cap(df: DataFrame, cap: int, ts: str = "ts", row_id: str = "event_id", used: DataFrame | None = None) -> DataFrame:
     """Mark the first ``cap`` rows of every UTC day, by time and id.
 
-    Counts per minute tell which minute a day's cap falls into; only the rows of
-    that one minute are sorted. ``used`` may bring the rows a day already has. A
-    row without a time belongs to no day and is not accepted.
+    Counts per minute tell which minute a day's cap falls into, and counts per
+    millisecond of that one minute where in it; only the rows of that millisecond are
+    sorted, so a burst that fills a minute is no longer one task's work. ``used`` may
+    bring the rows a day already has. A row without a time belongs to no day and is not
+    accepted.
     """
     rows = df.withColumns({"_day": utc_day(F.col(ts)), "_minute": F.date_trunc("minute", ts)})
     cells = rows.groupBy("_day", "_minute").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    cells = cells.withColumn("_before", _ahead("_minute", "_day"))
     if used is not None:
         base = used.select(F.col("day").alias("_day"), F.col("n").alias("_used"))
         cells = cells.join(base, "_day", "left").withColumn("_before", F.col("_before") + F.coalesce("_used", F.lit(0))).drop("_used")
-    cells = written(cells)
-    placed = rows.join(cells, ["_day", "_minute"])
     whole = F.col("_before") + F.col("_n") <= cap
     none = F.col("_before") >= cap
+    placed = rows.join(written(cells), ["_day", "_minute"])
     decided = placed.where(whole | none).withColumn("accepted", whole)
-    split = Window.partitionBy("_day", "_minute").orderBy(ts, row_id)
-    partly = placed.where(~(whole | none)).withColumn("accepted", F.col("_before") + F.row_number().over(split) <= cap)
-    undated = rows.where(F.col(ts).isNull()).drop("_day", "_minute").withColumn("accepted", F.lit(False))
-    return decided.unionByName(partly).drop("_day", "_minute", "_n", "_before").unionByName(undated)
+    # The minute that the cap cuts, by milliseconds.
+    cut = placed.where(~(whole | none)).withColumn("_ms", F.unix_millis(ts)).withColumnRenamed("_before", "_start").drop("_n")
+    fine = cut.groupBy("_day", "_minute", "_start", "_ms").agg(F.count(F.lit(1)).alias("_n"))
+    fine = fine.withColumn("_before", F.col("_start") + _ahead("_ms", "_day", "_minute")).drop("_start")
+    inside = cut.drop("_start").join(written(fine), ["_day", "_minute", "_ms"])
+    split = Window.partitionBy("_day", "_minute", "_ms").orderBy(ts, row_id)
+    known = inside.where(whole | none).withColumn("accepted", whole)
+    partly = inside.where(~(whole | none)).withColumn("accepted", F.col("_before") + F.row_number().over(split) <= cap)
+    undated = rows.where(F.col(ts).isNull()).withColumn("accepted", F.lit(False))
+    parts = [p.select(*df.columns, "accepted") for p in (decided, known, partly, undated)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ahead(cell: str, *group: str) -> Column:
+    """Rows ``_n`` of the cells before this one."""
+    before = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_n").over(before), F.lit(0))
 
 
 # --- rate limit with windows anchored at the first event ------------------------

@@ -119,6 +119,17 @@ def test_daily_cap_with_used(spark):
         assert [got[i] for i in ids] == [True] * room + [False] * (100 - room)
 
 
+@pytest.mark.parametrize("cap", [0, 1, 700, 1499, 5000])
+def test_daily_cap_inside_one_minute(spark, cap):
+    rng = random.Random(cap)
+    # All of a day's rows in one minute, many of them in one millisecond and out of order.
+    rows = [(i, 1_700_000_000_000 + (500 if rng.random() < 0.4 else rng.randrange(1000))) for i in range(1500)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "event_id long, ms long").select("event_id", F.timestamp_millis("ms").alias("ts")).repartition(4)
+    got = {r.event_id for r in E.daily_cap(df, cap).where("accepted").collect()}
+    assert got == {i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))[:cap]}
+
+
 @pytest.mark.parametrize("strata", [[], ["s"]])
 def test_kfold_invariants(spark, strata):
     df = spark.createDataFrame([(f"p{i}", "a" if i % 3 else "b") for i in range(103)], "id string, s string")
