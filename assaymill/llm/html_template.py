@@ -52,7 +52,6 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 CONTAINERS = frozenset("html head body article main section div nav header footer aside form menu dialog noscript object svg canvas button select template table ul ol dl figure fieldset details span p".split())
-LOWER = {k: k + 32 for k in range(65, 91)}
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
@@ -82,7 +81,7 @@ def tokens(page: str) -> list[Token]:
     stack: list[tuple[str, str, bool, bool]] = []  # name, path, furniture, main
     parts: list[str] = []
     # Only A-Z, one for one: other letters change their length, and with it all places after them.
-    lowered = page.translate(LOWER)
+    lowered = page.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
