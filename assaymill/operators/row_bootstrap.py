@@ -29,7 +29,8 @@ from assaymill.config import DEFAULTS
 from assaymill.operators.agreement import grouped
 from assaymill.operators.bootstrap import poisson_steps
 from assaymill.operators.clean import finite_rows
-from assaymill.operators.splits import shuffled
+from assaymill.operators.ordered import ROWS_PER_BUCKET, hex_digits, positions
+from assaymill.operators.splits import shuffle_key
 from assaymill.session import written
 
 # fixed values: multipliers of a published 32-bit finaliser, and the golden ratio
@@ -144,12 +145,14 @@ def bias_interval_exact(
 ) -> DataFrame:
     """Percentile interval where every replicate draws as many rows as its group has.
 
-    Groups of fewer than 2**32 rows: a draw has 32 bits. Ids are those of one row each.
+    Groups of fewer than 2**32 rows: a draw has 32 bits. Rows that share an id are
+    ordered by their difference.
     """
     by = list(by)
-    rows = finite_rows(df, truth, pred).select(*by, F.col(row_id).alias("_id"), (F.col(pred) - F.col(truth)).cast("double").alias("_d"))
-    placed = shuffled(rows, "_id", by, seed).select("_id", "_place", "_size")
-    blocks = written(rows.join(placed, "_id").select(*by, "_d", F.floor(F.col("_place") / BLOCK).alias("_block"), (F.col("_place") % BLOCK).alias("_at"), "_size"))
+    rows = written(finite_rows(df, truth, pred).select(*by, F.col(row_id).alias("_id"), shuffle_key(row_id, seed).alias("_key"), (F.col(pred) - F.col(truth)).cast("double").alias("_d")))
+    digits = hex_digits(-(-rows.count() // ROWS_PER_BUCKET))
+    placed = positions(rows, by, F.substring("_key", 1, digits), ["_key", "_id", "_d"], "_place").withColumn("_place", F.col("_place") - 1)
+    blocks = written(placed.select(*by, "_d", F.floor(F.col("_place") / BLOCK).alias("_block"), (F.col("_place") % BLOCK).alias("_at"), F.col("_place_of").alias("_size")))
     sizes = blocks.groupBy(*by).agg(F.max("_size").alias("_size"))
     pieces = sizes.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_size") - 1) / DRAWS))).alias("_piece")).select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
     tasks = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

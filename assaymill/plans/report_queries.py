@@ -386,9 +386,11 @@ def _counts(done: sinks.Stored) -> dict[str, Column]:
 @query(
     "stored_predictions",
     "S9 S18 S19: per-patient predictions stored by head and fold, counted by the write itself",
-    f"""SELECT head, count(*) AS n, {r('round(avg(abs(e)), 4)', 'mae', 4)}, {r('min(p)', 'lowest')}, {r('max(p)', 'highest')},
-    (SELECT count(*) FROM {P}) AS rows_in, (SELECT count(*) FROM {OK}) AS rows_written, (SELECT count(*) FROM {P} WHERE y_pred IS NULL OR y_true IS NULL) AS rows_dropped
-    FROM (SELECT head, round(y_pred, 4) AS p, round(y_pred - y_true, 4) AS e FROM {OK}) GROUP BY head""",
+    f"""WITH j AS (SELECT a.y_true, b.y_pred, c.head FROM {P} a JOIN {P} b ON a.id = b.id JOIN {P} c ON c.id = a.id),
+    k AS (SELECT head, round(y_pred, 4) AS p, round(y_pred - y_true, 4) AS e FROM j WHERE y_true IS NOT NULL AND y_pred IS NOT NULL)
+    SELECT head, count(*) AS n, {r('round(avg(abs(e)), 4)', 'mae', 4)}, {r('min(p)', 'lowest')}, {r('max(p)', 'highest')},
+    (SELECT count(*) FROM j) AS rows_in, (SELECT count(*) FROM k) AS rows_written, (SELECT count(*) FROM j) - (SELECT count(*) FROM k) AS rows_dropped
+    FROM k GROUP BY head""",
 )
 def stored_predictions(spark: SparkSession, sf: str) -> DataFrame:
     df = PRED.frame(spark, sf)

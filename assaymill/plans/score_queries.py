@@ -460,7 +460,7 @@ _K2 = _mixed("xor(r, h)", _K1, "rep, block", "u")
 @query(
     "bias_bootstrap_rows_exact",
     "A12 J11: as many draws with replacement as rows",
-    f"""WITH p AS (SELECT d, row_number() OVER (ORDER BY md5('42|' || id), id) - 1 AS place FROM {OK}),
+    f"""WITH p AS (SELECT d, row_number() OVER (ORDER BY md5('42|' || id), id, d) - 1 AS place FROM {OK}),
     counted AS (SELECT rep, cast(((u * n::UBIGINT) >> 32) // {RB.BLOCK} AS UBIGINT) AS block, count(*) AS k FROM {_J2} GROUP BY ALL),
     sizes AS (SELECT place // {RB.BLOCK} AS block, count(*) AS size FROM p GROUP BY 1),
     picks AS (SELECT rep, block * {RB.BLOCK} + ((u * size::UBIGINT) >> 32) AS place FROM {_K2} k JOIN sizes USING (block)),
