@@ -47,6 +47,7 @@ TOP = 5
 LARGE = 0.99  # discount of counts above TOP
 HEAVY = 2000
 BUCKET_TOKENS = 3_000_000
+PAIR_TOKENS = 500_000  # of a bucket that are counted at once
 PIECE_BYTES = 8 << 20
 START, END = U64(hash_of_text(" start ")), U64(hash_of_text(" end "))  # no word holds a space
 OUTPUT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -110,6 +111,18 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([*signed(w), 0], pa.int64(), mask=np.arange(len(w) + 1) == len(w)), pa.array([*c, len(word)], pa.int64())], names=["w", "c"])
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Unsigned numbers byte by byte of their places, compressed; the width and the size stand first."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return bytes([x.itemsize]) + planes.size.to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _spread(packed: bytes) -> np.ndarray:
+    """What ``_squeezed`` was given."""
+    planes = np.frombuffer(pa.decompress(pa.py_buffer(packed)[9:], int.from_bytes(packed[1:9], "little"), "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(packed[0], -1).T).view(f"u{packed[0]}").ravel()
+
+
 def _packed(heavy: np.ndarray, buckets: int):
     """Map (_row, _id, _train, _text) to one row of packed triples per piece and bucket."""
 
@@ -133,7 +146,8 @@ def _packed(heavy: np.ndarray, buckets: int):
                     by_word = np.argsort(iw, kind="stable")
                     short = np.uint16 if max(len(h), len(w)) <= 1 << 16 else np.uint32
                     docs = np.uint16 if last - first <= 1 << 15 else np.uint32
-                    out.append((int(b), w.tobytes(), np.bincount(iw).astype(np.uint32).tobytes(), h.tobytes(), ih[by_word].astype(short).tobytes(), own[at][by_word].astype(docs).tobytes()))
+                    # Hashes are sorted, so their differences have leading zeros.
+                    out.append((int(b), _squeezed(np.diff(w, prepend=U64(0))), _squeezed(np.bincount(iw).astype(np.uint32)), _squeezed(np.diff(h, prepend=U64(0))), _squeezed(ih[by_word].astype(short)), _squeezed(own[at][by_word].astype(docs))))
                 names = ["bucket", "w", "n", "h", "ih", "docs"]
                 columns = [pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[c] for x in out], pa.binary()) for c in range(1, 6))]
                 known = rows[first:last].astype(np.int64).tobytes()
@@ -161,66 +175,82 @@ def _sums(unigrams: Unigrams):
         return pa.RecordBatch.from_arrays(columns, names=["kind", "k1", "k2", *_SUMS])
 
     def bucket(blocks: list[dict]) -> Iterator[pa.RecordBatch]:
-        word, before, doc, train = [], [], [], []
+        held, rows_held = [], []
         for x in blocks:
-            if not x["n"]:
-                flags = np.frombuffer(x["docs"], np.uint8)
-                yield rows_of(_ROW, np.frombuffer(x["rows"], np.int64), np.frombuffer(x["w"], np.int64), n=flags & 1, known=flags >> 1)
+            if x["n"]:
+                held.append(x)
+                rows_held.append(np.frombuffer(x["rows"], np.int64))
                 continue
-            w, n, h = np.frombuffer(x["w"], U64), np.frombuffer(x["n"], np.uint32), np.frombuffer(x["h"], U64)
-            size = int(n.sum())
-            word.append(np.repeat(w, n))
-            before.append(h[np.frombuffer(x["ih"], np.uint16 if len(x["ih"]) == 2 * size else np.uint32)])
-            own = np.frombuffer(x["docs"], np.uint16 if len(x["docs"]) == 2 * size else np.uint32)
-            rows = np.frombuffer(x["rows"], np.int64)
-            doc.append(rows[own >> 1] if len(rows) > 1 else rows[0] + (own >> 1).astype(np.int64))
-            train.append((own & 1).astype(bool))
-        if not word:
-            return
-        word, before, doc, train = (np.concatenate(x) for x in (word, before, doc, train))
+            flags = np.frombuffer(x["docs"], np.uint8)
+            yield rows_of(_ROW, np.frombuffer(x["rows"], np.int64), np.frombuffer(x["w"], np.int64), n=flags & 1, known=flags >> 1)
         blocks.clear()
-        words, iw = np.unique(word, return_inverse=True)
-        word, iw = None, iw.astype(np.int32)
-        histories, ih = np.unique(before, return_inverse=True)
-        before, ih = None, ih.astype(np.int32)
+        if not held:
+            return
+        # Each block lists its words and histories once, so tokens become small numbers without sorting their hashes.
+        lists = [(np.cumsum(_spread(x["w"]), dtype=U64), np.cumsum(_spread(x["h"]), dtype=U64), _spread(x["n"])) for x in held]
+        words, histories = (np.unique(np.concatenate([x[k] for x in lists])) for k in (0, 1))
+        n_tokens = sum(int(x[2].sum()) for x in lists)
+        iw, ih, idoc, train = np.empty(n_tokens, np.int32), np.empty(n_tokens, np.int32), np.empty(n_tokens, np.int32), np.empty(n_tokens, bool)
+        docs, first, n_docs = [], 0, 0
+        for k, rows in enumerate(rows_held):
+            (w, h, n), x = lists[k], held[k]
+            held[k] = lists[k] = None
+            own = _spread(x["docs"])
+            at = slice(first, first + len(own))
+            iw[at] = np.repeat(np.searchsorted(words, w).astype(np.int32), n)
+            ih[at] = np.searchsorted(histories, h).astype(np.int32)[_spread(x["ih"])]
+            train[at] = own & 1
+            # Every row of the table is in one piece, so no other block of the bucket has these.
+            here, inverse = np.unique(own >> 1, return_inverse=True)
+            idoc[at] = inverse + n_docs
+            docs.append(rows[here] if len(rows) > 1 else rows[0] + here.astype(np.int64))
+            first, n_docs = at.stop, n_docs + len(here)
+        docs = np.concatenate(docs)
         count = np.bincount(iw[train], minlength=len(words))
         if len(unigrams.heavy):  # their counts are known, only a share of them is here
             k = np.minimum(np.searchsorted(unigrams.heavy, words), len(unigrams.heavy) - 1)
             count = np.where(unigrams.heavy[k] == words, unigrams.heavy_counts[k], count)
-        pairs, ip = np.unique(iw.astype(np.int64) * len(histories) + ih, return_inverse=True)
-        ip = ip.astype(np.int32)
-        pair_count = np.bincount(ip[train], minlength=len(pairs))
-        # Histories: every pair seen in training, once.
-        seen = np.flatnonzero(pair_count)
-        of, c = pairs[seen] % len(histories), pair_count[seen]
+        # Pairs and their histories, a share of the tokens at a time; the pairs of one word are together.
         size = len(histories)
-        values = {f"m{r}": np.bincount(of[c == r], minlength=size) for r in range(1, TOP + 2)}
-        values["large"] = np.bincount(of[c > TOP], minlength=size)
-        values["n"] = np.bincount(of, c, minlength=size)
-        values["a"] = np.bincount(of, unigrams.probability(count[pairs[seen] // len(histories)]), minlength=size)
-        any_ = np.flatnonzero(values["n"])
-        yield rows_of(_HISTORY, histories[any_].view(np.int64), np.zeros(len(any_)), **{k: v[any_] for k, v in values.items()})
+        sums = {name: np.zeros(size, float if name == "a" else np.int64) for name in ("n", "a", *(f"m{r}" for r in range(1, TOP + 2)), "large")}
+        seen_pairs = np.empty(n_tokens, np.int32)
+        shares = max(1, -(-n_tokens // PAIR_TOKENS))
+        for share in range(shares):
+            own = np.flatnonzero(iw % shares == share) if shares > 1 else np.arange(n_tokens)
+            pairs, ip = np.unique(iw[own].astype(np.int64) * size + ih[own], return_inverse=True)
+            pair_count = np.bincount(ip[train[own]], minlength=len(pairs))
+            seen_pairs[own] = pair_count[ip]
+            seen = np.flatnonzero(pair_count)
+            of, c = pairs[seen] % size, pair_count[seen]
+            for r in range(1, TOP + 2):
+                sums[f"m{r}"] += np.bincount(of[c == r], minlength=size)
+            sums["large"] += np.bincount(of[c > TOP], minlength=size)
+            sums["n"] += np.bincount(of, c, minlength=size).astype(np.int64)
+            sums["a"] += np.bincount(of, unigrams.probability(count[pairs[seen] // size]), minlength=size)
+        any_ = np.flatnonzero(sums["n"])
+        yield rows_of(_HISTORY, histories[any_].view(np.int64), np.zeros(len(any_)), **{k: v[any_] for k, v in sums.items()})
         # Documents.
-        docs, idoc = np.unique(doc, return_inverse=True)
-        doc, idoc = None, idoc.astype(np.int32)
-        own = count[iw]
-        c = pair_count[ip]
-        hit = c > 0
-        part = np.zeros(len(c))
-        part[hit] = np.log10(c[hit])
-        part[~hit] = np.log10(unigrams.probability(own[~hit]))
-        history = (own > 0) & (words[iw] != END)
-        part[history] -= np.log10(own[history])
         size = len(docs)
-        values = {f"m{r}": np.bincount(idoc[c == r], minlength=size) for r in range(1, TOP + 1)}
-        values["large"] = np.bincount(idoc[c > TOP], minlength=size)
-        values["n"] = np.bincount(idoc, minlength=size)
-        values["known"] = np.bincount(idoc[own > 0], minlength=size)
-        values["a"] = np.bincount(idoc, np.log10(own + 0.5), minlength=size)
-        values["b"] = np.bincount(idoc, part, minlength=size)
+        values = {name: np.zeros(size, float if name in "ab" else np.int64) for name in _SUMS if name != f"m{TOP + 1}"}
+        for first in range(0, n_tokens, PAIR_TOKENS):
+            at = slice(first, first + PAIR_TOKENS)
+            of, c, own = idoc[at], seen_pairs[at], count[iw[at]]
+            hit = c > 0
+            part = np.zeros(len(c))
+            part[hit] = np.log10(c[hit])
+            part[~hit] = np.log10(unigrams.probability(own[~hit]))
+            history = (own > 0) & (words[iw[at]] != END)
+            part[history] -= np.log10(own[history])
+            for r in range(1, TOP + 1):
+                values[f"m{r}"] += np.bincount(of[c == r], minlength=size)
+            values["large"] += np.bincount(of[c > TOP], minlength=size)
+            values["n"] += np.bincount(of, minlength=size)
+            values["known"] += np.bincount(of[own > 0], minlength=size)
+            values["a"] += np.bincount(of, np.log10(own + 0.5), minlength=size)
+            values["b"] += np.bincount(of, part, minlength=size)
         yield rows_of(_DOC, docs, np.zeros(size), **values)
         # Places where a text backs off.
-        miss = np.flatnonzero(~hit)
+        miss = np.flatnonzero(seen_pairs == 0)
         place, n = np.unique(ih[miss].astype(np.int64) * len(docs) + idoc[miss], return_counts=True)
         yield rows_of(_BACKOFF, histories[place // len(docs)].view(np.int64), docs[place % len(docs)], n=n)
 

@@ -201,6 +201,31 @@ def test_katz_backoff(docs, monkeypatch):
         assert math.isclose(r.score, sum(math.log10(probability(h, x)) for h, x in zip([" start ", *w[:-1]], w)), rel_tol=1e-9)
 
 
+def test_katz_counts_a_bucket_in_shares(docs, monkeypatch):
+    """A bucket's tokens are counted a few at a time, with the sums of all of them at once."""
+    from pyspark.sql import functions as F
+
+    from assaymill.llm import katz
+
+    marked = docs.select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 5 != 1).alias("train"))
+    whole = {r.doc_id: r for r in katz.score_texts(marked, "train").collect()}
+    monkeypatch.setattr(katz, "PAIR_TOKENS", 700)
+    parts = {r.doc_id: r for r in katz.score_texts(marked, "train").collect()}
+    assert set(whole) == set(parts)
+    for k, r in parts.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (whole[k].n_tokens, whole[k].n_known, whole[k].train_tokens)
+        assert (r.base_score, r.score) == pytest.approx((whole[k].base_score, whole[k].score))
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16, np.uint32, np.uint64])
+def test_katz_squeezed_numbers_come_back(kind):
+    from assaymill.llm import katz
+
+    for n in (0, 1, 5000):
+        x = np.random.default_rng(n).integers(0, np.iinfo(kind).max, n, kind, endpoint=True)
+        assert (katz._spread(katz._squeezed(x)) == x).all() and katz._spread(katz._squeezed(x)).dtype == kind
+
+
 def test_katz_awkward(awkward, empty):
     from assaymill.llm.katz import score_texts
 
