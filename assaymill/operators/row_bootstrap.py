@@ -9,7 +9,7 @@ only those are shuffled, so a group with most of the rows costs nothing extra. I
 sizes vary a little from one replicate to the next.
 
 ``bias_interval_exact`` draws exactly as many rows as there are. Rows have places in a
-hashed order and lie in blocks of ``BLOCK``; first, draws are counted per block, and then
+hashed order and lie in blocks of ``BLOCK``; first, the draws of a replicate are counted per block in one task, and then
 each block makes its own draws among its rows. Draws themselves are never shuffled.
 """
 
@@ -39,18 +39,26 @@ GOLDEN = 2654435769
 # ------------------------------------------------------------------------------
 BLOCK = 65536
 STEPS = tuple(math.ceil(c * 2**32) for c in poisson_steps())
-ROWS = 64  # of one block of draws, which stays in the cache
-DRAWS = 1 << 22  # of one row of stage one
+ROWS = 32  # of one block of draws, which stays in the cache
+DRAWS = 1 << 14  # counted at once, likewise
+REPLICATES = 64  # that share the first half of each draw's hash
+COMMON = 6  # weights up to this are told by comparisons, the rare larger ones by search
+
+
+def mix_into(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """A bijection of 32 bits that spreads every bit; ``x`` is overwritten."""
+    for shift, factor in ((16, MIX[0]), (13, MIX[1])):
+        np.right_shift(x, np.uint32(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        np.multiply(x, np.uint32(factor), out=x)
+    np.right_shift(x, np.uint32(16), out=spare)
+    return np.bitwise_xor(x, spare, out=x)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 32 bits that spreads every bit."""
+    """The same, of a copy."""
     x = np.array(x, np.uint32)
-    for shift, factor in ((16, MIX[0]), (13, MIX[1])):
-        x ^= x >> np.uint32(shift)
-        x *= np.uint32(factor)
-    x ^= x >> np.uint32(16)
-    return x
+    return mix_into(x, np.empty_like(x))
 
 
 def drawn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -58,17 +66,19 @@ def drawn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(np.asarray(a, np.uint32) ^ mixed(b))
 
 
-# Weights by the upper 16 bits of a draw; NaN where the lower ones decide.
-_LOW, _HIGH = (sum((((np.arange(65536, dtype=np.uint64) << np.uint64(16)) | np.uint64(rest)) >= step).astype(float) for step in STEPS) for rest in (0, 65535))
-WEIGHTS = np.where(_LOW == _HIGH, _LOW, np.nan)
+_STEPS = np.array([step for step in STEPS if step < 2**32], np.uint32)
 
 
-def weights(u: np.ndarray) -> np.ndarray:
-    """Poisson(1) numbers of 32-bit draws, by inversion."""
-    w = WEIGHTS[u >> np.uint32(16)]
-    unclear = np.isnan(w)
-    if unclear.any():
-        w[unclear] = sum((u[unclear] >= step).astype(float) for step in STEPS)
+def weights(u: np.ndarray, w: np.ndarray | None = None, above: np.ndarray | None = None) -> np.ndarray:
+    """Poisson(1) numbers of 32-bit draws, by inversion, as bytes; ``w`` and ``above`` are room for them."""
+    w = np.empty(u.shape, np.uint8) if w is None else w
+    above = np.empty(u.shape, bool) if above is None else above
+    np.greater_equal(u, _STEPS[0], out=w.view(bool))
+    for step in _STEPS[1:COMMON]:
+        np.greater_equal(u, step, out=above)
+        np.add(w, above.view(np.uint8), out=w)
+    rare = np.nonzero(above)
+    w[rare] += np.searchsorted(_STEPS[COMMON:], u[rare], side="right").astype(np.uint8)
     return w
 
 
@@ -94,6 +104,8 @@ def bias_interval_rows(
         from pyspark import TaskContext
 
         part, found = TaskContext.get().partitionId(), {}
+        shape = (ROWS, replicates)
+        u, spare, w, above, real = (np.empty(shape, kind) for kind in (np.uint32, np.uint32, np.uint8, bool, float))
         for batch in batches:
             get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
             a, b, d = get("_a").astype(np.uint32), get("_b").astype(np.uint32), get("_d")
@@ -105,8 +117,13 @@ def bias_interval_rows(
                 total[0] += len(own)
                 for at in range(0, len(own), ROWS):
                     rows = own[at : at + ROWS]
-                    w = weights(drawn(a[rows, None], b[rows, None] + counters[None, :]))
-                    both = np.stack([np.ones(len(rows)), d[rows]]) @ w
+                    n = len(rows)
+                    np.add(b[rows, None], counters[None, :], out=u[:n])
+                    mix_into(u[:n], spare[:n])
+                    np.bitwise_xor(u[:n], a[rows, None], out=u[:n])
+                    mix_into(u[:n], spare[:n])
+                    real[:n] = weights(u[:n], w[:n], above[:n])
+                    both = np.stack([np.ones(n), d[rows]]) @ real[:n]
                     total[1] += both[0]
                     total[2] += both[1]
         for name, total in found.items():
@@ -140,6 +157,26 @@ def bias_interval_rows(
     return _interval(values, by, "poisson row")
 
 
+def draws_per_block(size: int, reps: Sequence[int], seed: int, block: int = BLOCK, at_once: int = DRAWS) -> list[np.ndarray]:
+    """How many of the ``size`` draws of each replicate fall into each block of rows (a power of two)."""
+    counts = [np.zeros(-(-size // block), np.int64) for _ in reps]
+    seeds = mixed(np.array([(rep + seed) % 2**32 for rep in reps], np.uint32))
+    u, spare, place = np.empty(at_once, np.uint32), np.empty(at_once, np.uint32), np.empty(at_once, np.uint64)
+    # A place is the upper half of draw times size, its block what is left without 16 more bits.
+    shift = np.uint64(32 + block.bit_length() - 1)
+    for first in range(0, size, at_once):
+        half = mixed((np.arange(first, min(size, first + at_once), dtype=np.uint64) * np.uint64(GOLDEN)).astype(np.uint32))
+        m = len(half)
+        for k, count in enumerate(counts):
+            np.bitwise_xor(half, seeds[k], out=u[:m])
+            mix_into(u[:m], spare[:m])
+            np.multiply(u[:m], np.uint64(size), out=place[:m], dtype=np.uint64)
+            np.right_shift(place[:m], shift, out=place[:m])
+            n = np.bincount(place[:m].view(np.int64))
+            count[: len(n)] += n
+    return counts
+
+
 def bias_interval_exact(
     df: DataFrame, row_id: str, truth: str = "y_true", pred: str = "y_pred", by: Sequence[str] = (), seed: int = DEFAULTS.seed, replicates: int = 2000
 ) -> DataFrame:
@@ -154,28 +191,28 @@ def bias_interval_exact(
     placed = positions(rows, by, F.substring("_key", 1, digits), ["_key", "_id", "_d"], "_place").withColumn("_place", F.col("_place") - 1)
     blocks = written(placed.select(*by, "_d", F.floor(F.col("_place") / BLOCK).alias("_block"), (F.col("_place") % BLOCK).alias("_at"), F.col("_place_of").alias("_size")))
     sizes = blocks.groupBy(*by).agg(F.max("_size").alias("_size"))
-    pieces = sizes.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_size") - 1) / DRAWS))).alias("_piece")).select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
+    wanted_reps = sizes.where("_size IS NOT NULL").select(*by, "_size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_rep"))
     tasks = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = pieces.repartition(tasks, "_rep", "_piece")
+    wanted_reps = wanted_reps.repartition(tasks, "_rep")
     counted = T.StructType([*_kept(by, rows.schema), *[T.StructField(c, T.LongType()) for c in ("_rep", "_block", "_draws")]])
 
+    block, at_once = BLOCK, DRAWS
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            groups: dict[tuple, list[int]] = {}
             for row in pdf.itertuples(index=False):
-                size = int(row[len(by)])
+                groups.setdefault((*row[: len(by)], int(row[len(by)])), []).append(int(row[len(by) + 1]))
+            for (*key, size), reps in groups.items():
                 if size >= 2**32:
                     raise ValueError("a group has 2**32 rows or more: use the Poisson form")
-                j = np.arange(int(row[len(by) + 1]) * DRAWS, min(size, (int(row[len(by) + 1]) + 1) * DRAWS), dtype=np.uint64)
-                u = drawn(mixed(np.array([row[len(by) + 2] + seed])), (j * np.uint64(GOLDEN)).astype(np.uint32)).astype(np.uint64)
-                n = np.bincount(((u * np.uint64(size)) >> np.uint64(32)).astype(np.int64) // BLOCK)
-                here = np.flatnonzero(n)
-                out.append(pd.DataFrame({**{c: [v] * len(here) for c, v in zip(by, row)}, "_rep": int(row[len(by) + 2]), "_block": here, "_draws": n[here]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    draws = pieces.select(*by, "_size", "_piece", "_rep").mapInPandas(count, counted)
-    draws = draws.groupBy(*by, "_block", "_rep").agg(F.sum("_draws").alias("_draws"))
+                for at in range(0, len(reps), REPLICATES):
+                    own = reps[at : at + REPLICATES]
+                    for rep, n in zip(own, draws_per_block(size, own, seed, block, at_once)):
+                        here = np.flatnonzero(n)
+                        yield pd.DataFrame({**{c: [v] * len(here) for c, v in zip(by, key)}, "_rep": rep, "_block": here, "_draws": n[here]})
+
+    draws = wanted_reps.mapInPandas(count, counted)
     summed = T.StructType([*_kept(by, rows.schema), T.StructField("_rep", T.LongType()), T.StructField("_s", T.DoubleType()), T.StructField("_m", T.LongType())])
 
     def resample(key: tuple, values: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:

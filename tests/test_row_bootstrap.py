@@ -82,3 +82,24 @@ def test_weights_are_poisson():
 
 def test_no_rows(frame):
     assert RB.bias_interval_rows(frame.where("1 = 0"), "id", by=["g"]).count() == 0
+
+
+def test_one_row_per_replicate_and_block():
+    """Draws are counted in one go per replicate: their rows do not grow with pieces times blocks."""
+    n, reps = 100_000, [0, 7]
+    for rep, counts in zip(reps, RB.draws_per_block(n, reps, 42, 1024, 1000)):
+        j = np.arange(n, dtype=np.uint64)
+        u = RB.drawn(RB.mixed(np.array([rep + 42])), (j * np.uint64(RB.GOLDEN)).astype(np.uint32)).astype(np.uint64)
+        want = np.bincount(((u * np.uint64(n)) >> np.uint64(32)).astype(np.int64) // 1024)
+        assert len(counts) == 98 and counts.sum() == n and (counts == want).all()
+
+
+def test_exact_draws_of_no_rows(frame):
+    assert RB.bias_interval_exact(frame.where("1 = 0"), "id", replicates=3).count() <= 1
+
+
+def test_weights_are_bytes_in_given_room():
+    u = np.arange(0, M, 65537 * 7, dtype=np.uint64).astype(np.uint32).reshape(-1)
+    w, above = np.empty(u.shape, np.uint8), np.empty(u.shape, bool)
+    assert RB.weights(u, w, above) is w
+    assert (w == sum((u >= step).astype(np.uint8) for step in RB.STEPS if step < M)).all()
