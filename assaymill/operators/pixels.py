@@ -18,6 +18,7 @@ from assaymill.session import written
 
 ID = "image_id"
 MIN_PERCENTILE_PIXELS = 100
+ROWS_PER_TASK = 1_000_000
 FLT_EPSILON = 1.1920929e-07
 DBL_EPSILON = 2.220446049250313e-16
 BALANCE_EPS = 1e-6
@@ -28,8 +29,16 @@ FEATURES = (
 UNDEFINED = ("erythema_index",)
 
 
+def _spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt by ``columns`` to as many tasks as its rows ask for, where the session's number is too few."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = -(-df.count() // ROWS_PER_TASK)
+    return df.repartition(tasks, *columns) if tasks > least else df
+
+
 def colour_counts(pixels: DataFrame) -> DataFrame:
-    return pixels.groupBy(ID, "r", "g", "b", "in_roi").agg(F.count(F.lit(1)).alias("n"))
+    colours = [ID, "r", "g", "b", "in_roi"]
+    return _spread(pixels, *colours).groupBy(*colours).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _inside() -> Column:
@@ -164,6 +173,8 @@ def illuminant(counts: DataFrame, method: str = "grey_world") -> DataFrame:
 
 def balanced(counts: DataFrame, method: str = "grey_world") -> DataFrame:
     """Counts with the illuminant divided out, clipped and rounded half to even."""
+    # Written, as the lights and the pixels both read them.
+    counts = _spread(written(counts), ID)
     lit = counts.join(illuminant(counts, method), ID)
 
     def fixed(c: str) -> Column:
