@@ -173,6 +173,8 @@ def _ranked(df: DataFrame, column: str, row_id: str, out: str, by: Sequence[str]
     base = cuts.assign(df, column)
     salt = F.when(cuts.is_frequent(), F.pmod(F.xxhash64(row_id), F.lit(max(QUANTILES, cuts.buckets)))).otherwise(F.lit(0))
     rows = join_null_safe(base.withColumn("_salt", salt), cells, [*by, "_bucket"])
+    # As many tasks as the rows ask for: their memory does not grow with the table.
+    rows = rows.repartition(cuts.buckets, *by, "_bucket", "_salt")
     inside = Window.partitionBy(*by, "_bucket", "_salt")
     ties = Window.partitionBy(*by, "_bucket", "_salt", column)
     rank = F.rank().over(inside.orderBy(column)) + (F.count(F.lit(1)).over(ties) - 1) / 2.0

@@ -175,3 +175,18 @@ def test_site_holdout(spark):
     assert got == {("a->b", "a/1"): "train", ("a->b", "a/2"): "train", ("a->b", "b/1"): "test",
                    ("b->a", "a/1"): "test", ("b->a", "a/2"): "test", ("b->a", "b/1"): "train"}
     assert {r.id: r.reason for r in S.without_site(df, "id", "site").collect()} == {"c/1": "blank", "d/1": "missing"}
+
+
+def test_ranks_and_colours_take_as_many_tasks_as_rows_ask_for(spark, monkeypatch):
+    from assaymill.operators import pixels as X
+
+    monkeypatch.setattr(X, "ROWS_PER_TASK", 10)
+    px = spark.range(400).selectExpr("id % 5 AS image_id", "cast(id % 7 as int) AS r", "cast(id % 11 as int) AS g", "cast(id % 3 as int) AS b", "id % 2 = 0 AS in_roi")
+    counts = X.colour_counts(px)
+    moved = X.balanced(counts)
+    assert "REPARTITION_BY_NUM" in counts._jdf.queryExecution().toString()
+    assert moved.agg({"n": "sum"}).first()[0] == 400
+    rows = spark.range(300).selectExpr("id", "cast(id % 50 as double) AS v")
+    ranked = O.average_rank(rows, "v", "id", "rk", rows_per_bucket=10)
+    assert "REPARTITION_BY_NUM" in ranked._jdf.queryExecution().toString()
+    assert {(r.v, r.rk) for r in ranked.collect()} == {(float(v), 6 * v + 3.5) for v in range(50)}
