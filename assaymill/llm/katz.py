@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaymill.llm.common import U64, bounded_batches, gathered, hash_of_text, mix, pieces, signed, text_of, words_of, written
+from assaymill.llm.common import PIECE, U64, bounded_batches, gathered, hash_of_text, mix, pieces, signed, text_of, words_of, written
 
 TOP = 5
 LARGE = 0.99  # discount of counts above TOP
@@ -84,9 +84,21 @@ class Unigrams:
         return np.where(count > 0, known, self.unknown)
 
 
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``words_of`` a large piece, ``PIECE`` bytes of whole rows at a time: hashing takes many times the bytes it reads."""
+    words, at, first, n = [np.zeros(0, U64)], [np.zeros(1, np.int64)], 0, 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, side="right")) - 1)
+        part, where = words_of(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        words.append(part)
+        at.append(where[1:] + n)
+        first, n = last, n + len(part)
+    return np.concatenate(words), np.concatenate(at)
+
+
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, predecessor, row) of every token of a piece; each row ends with one END."""
-    words, at = words_of(data, offsets)
+    words, at = _words(data, offsets)
     rows = len(offsets) - 1
     own = np.repeat(np.arange(rows), np.diff(at) + 1)
     ends = at[1:] + np.arange(rows)

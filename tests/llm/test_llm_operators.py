@@ -226,6 +226,35 @@ def test_katz_squeezed_numbers_come_back(kind):
         assert (katz._spread(katz._squeezed(x)) == x).all() and katz._spread(katz._squeezed(x)).dtype == kind
 
 
+def test_katz_hashes_large_pieces_in_parts(monkeypatch):
+    """Hashing takes many times the bytes it reads, so it reads a part at a time, with the same words."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from assaymill.llm import common, katz
+
+    monkeypatch.setattr(common, "_powers", {})
+    texts = [("Some words, " + chr(97 + k % 26) * 7 + " \u00e9 ") * 300 if k % 9 else "" for k in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array(range(1200)), pa.array([k % 5 != 1 for k in range(1200)]), pa.array(texts)], names=["_row", "_id", "_train", "_text"])
+    assert batch.column("_text").nbytes > 7 * common.PIECE
+    tracemalloc.start()
+    try:
+        for run in (katz._word_counts, katz._packed(np.zeros(0, np.uint64), 8)):
+            tracemalloc.reset_peak()
+            assert sum(len(x) for x in run(iter([batch]))) > 0
+            assert tracemalloc.get_traced_memory()[1] < 200e6
+    finally:
+        tracemalloc.stop()
+    assert len(common._powers["up"]) == 1 << 21
+    data, offsets = common.buffers(pa.array([*texts[:30], "", "one"]))
+    whole, at = common.words_of(data, offsets)
+    for size in (1, 5000, 1 << 20):
+        monkeypatch.setattr(katz, "PIECE", size)
+        parts, places = katz._words(data, offsets)
+        assert (parts == whole).all() and (places == at).all()
+
+
 def test_katz_awkward(awkward, empty):
     from assaymill.llm.katz import score_texts
 
