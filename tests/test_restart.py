@@ -106,3 +106,72 @@ def test_counts_replace_only_the_days_of_a_batch(spark, tmp_path):
     assert sorted(map(str, S.newest(spark, counts).collect())) == sorted(map(str, want.collect()))
     sizes = [spark.read.parquet(f"{counts}/merged/batch={b}").count() for b in range(4) if (tmp_path / "counts" / "merged" / f"batch={b}").exists()]
     assert max(sizes) <= 4  # two days of two bands, however many days came before
+
+
+def test_a_client_is_answered_in_place_with_one_read_of_its_state():
+    """What a client costs is paid once per client and batch: no sorted copies, no second call to read the state."""
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.value, self.calls, self.timers = None, [], set()
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers.remove(at)
+
+    handle, step = Handle(), S._WindowLimit(2, 10)
+    step.init(handle)
+    # Times repeat and come out of order, the larger numbers first; a null number is last.
+    first = [((100 + k * 7 % 2500) * 1000 + k % 900, None if k == 40 else 5000 - k % 1250, f"n{k}") for k in range(2500)]
+    later = [((2595 + k) * 1000, k, f"m{k}") for k in range(5)]
+    got, want, reset, used = {}, {}, None, 0
+    for rows, cut in ((first, 1000), (later, 5)):
+        frames = [pd.DataFrame(rows[k : k + cut], columns=["us", "event_id", "carried"]) for k in range(0, len(rows), cut)]
+        handle.calls.clear()
+        (answer,) = step.handleInputRows(("k",), iter(frames), None)
+        assert handle.calls == ["get", "update"] and handle.timers == {handle.value[0]}
+        assert (answer is frames[0]) == (len(frames) == 1) and len(answer) == len(rows)
+        got |= dict(zip(answer["carried"], map(bool, answer["allowed"])))
+        for us, number, note in sorted(rows, key=lambda r: (r[0] // 1000, r[1] is None, r[1])):
+            if reset is None or us // 1000 > reset:
+                reset, used = us // 1000 + 10, 0
+            used += 1
+            want[note] = used <= 2
+    assert got == want and len(got) == 2505
+
+
+def test_intake_brings_every_field_back(spark, tmp_path):
+    """Typed fields, odd keys and times of a stream are those of the batch form, to the last digit."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    start = dt.datetime(2024, 1, 1, 0, 0, 0, 123457)
+    bodies = ['{"model_id": "m", "band": "mild", "hb_hat": 7.300000000000001, "sigma": 0.1, "quality": 1e-300, "latency_ms": 5}', '{"model_id": "\u00e9\\n\\"", "band": "x", "hb_hat": -0.0}', "{", "", None]
+    keys = [None, "", 'a"b\\', "line\nend", "\u00e9\U0001f600", "NaN", "null"]
+    rows = [(k, keys[k % 7], start + dt.timedelta(microseconds=700001 * k), bodies[k % 5]) for k in range(70)] + [(99, "a", None, bodies[0])]
+    cfg = AuditConfig(rate_limit=6, rate_window_ms=30_000)
+    spark.createDataFrame(rows, INTAKE).coalesce(1).write.parquet(source)
+    S.intake(spark.readStream.schema(INTAKE).parquet(source), out, "telemetry", cfg)
+    got = S.taken_in(spark, out)
+    judged = E.judged_bodies(spark.createDataFrame(rows, INTAKE), "telemetry", cfg)
+    names = ["event_id", "key", "ts", "model_id", "band", "hb_hat", "sigma", "quality", "latency_ms"]
+    assert {c: t for c, t in got.dtypes if c in names} == {c: t for c, t in judged.dtypes if c in names}
+    assert sorted(map(repr, got.select(names).collect())) == sorted(map(repr, judged.select(names).collect()))
+    want = {r.event_id: (r.code, r.error_field) for r in E.intake(spark.createDataFrame(rows, INTAKE), cfg, "telemetry").collect()}
+    assert {r.event_id: (r.code, r.error_field) for r in got.collect()} == want and len(want) == 71
